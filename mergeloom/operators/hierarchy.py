@@ -123,15 +123,17 @@ def _tour(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pid, has = _longs(pdf["pid"])
         head, has_head = _longs(pdf["head"])  # first child, if children are in several blocks
         beyond, has_beyond = _longs(pdf["beyond"])  # next sibling, if it is in another block
-        order = np.lexsort((nid, pid, ~has))
-        first = np.r_[True, (pid[order][1:] != pid[order][:-1]) | (has[order][1:] != has[order][:-1])]
+        block = pdf["block"].to_numpy(np.int64)
+        order = np.lexsort((nid, block, pid, ~has))
+        p, h, b = pid[order], has[order], block[order]
+        first = np.r_[True, (p[1:] != p[:-1]) | (h[1:] != h[:-1]) | (b[1:] != b[:-1])]
         final = np.r_[first[1:], True]
         # Elements are numbered 2 * node for the entry and one more for the exit.
         after_exit = np.empty(n, np.int64)
-        after_exit[order] = np.where(final, 2 * pid[order] + 1, 2 * np.r_[nid[order][1:], 0])
+        after_exit[order] = np.where(final, 2 * p + 1, 2 * np.r_[nid[order][1:], 0])
         after_exit = np.where(has_beyond, 2 * beyond, after_exit)
         after_entry = 2 * nid + 1
-        heads = order[first & has[order]]
+        heads = order[first & h]
         at = _places(nid, pid[heads])
         after_entry[at[at >= 0]] = 2 * nid[heads[at >= 0]]
         after_entry = np.where(has_head, 2 * head, after_entry)
