@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.prefix import running_total
 from ..storage import Workspace
 
 BUCKET_ROWS = 100_000
@@ -20,18 +21,6 @@ def source_name(c: Column) -> Column:
     return F.regexp_replace(F.lower(c), r"\s+", "")
 
 
-def running_total(rows: DataFrame, by: list[str], value: str, bucket: Column, order: list[Column], name: str) -> DataFrame:
-    """Sum of ``value`` within ``by`` up to and with each row, in the order of (``bucket``, ``order``).
-
-    ``bucket`` splits a key that has many rows: sums of whole buckets are added up first, then rows within each.
-    """
-    cut = rows.withColumn("_b", bucket)
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut.groupBy(*by, "_b").agg(F.sum(value).alias("_s")).withColumn("_start", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
-    inside = F.sum(value).over(Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return cut.join(sums, [*by, "_b"]).withColumn(name, F.col("_start") + inside).drop("_b", "_start")
-
-
 def targets_of(targets: DataFrame) -> DataFrame:
     """``source, target_share, max_repeats`` with clean names; a source named twice has the sum of its shares and its least repeats."""
     t = targets.select(source_name(F.col("source")).alias("source"), "target_share", F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
