@@ -24,7 +24,7 @@ from ..storage import Workspace
 FINGERPRINT = 12
 BAND = 64
 GENERATIONS = 8
-SHARD_KEYS = 50_000
+SHARD_KEYS = 12_500
 _M64 = (1 << 64) - 1
 
 
