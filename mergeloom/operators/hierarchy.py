@@ -148,7 +148,8 @@ def _tour(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         depth = 1 - total[:n]
         label, ids = pdf["label"].to_numpy(object), pdf["object_id"].to_numpy(object)
         path = np.empty(n, object)
-        for v in np.argsort(depth, kind="stable") if not outside[:n].any() else _downwards(up):
+        named = pdf["label"].notna().any()
+        for v in (np.argsort(depth, kind="stable") if not outside[:n].any() else _downwards(up)) if named else ():
             path[v] = label[v] if up[v] < 0 else f"{path[up[v]]}/{label[v]}"
         top, _, _, _ = _jump(up, np.zeros(n))
         out = pd.DataFrame({"nid": nid, "doc_id": pdf["doc_id"], "object_id": ids, "root_id": np.where(outside[:n], None, ids[last[:n] % n])})
@@ -191,24 +192,12 @@ def _any(df: DataFrame) -> bool:
     return df.limit(1).count() > 0
 
 
-def tree_of_objects(ops: DataFrame, block_nodes: int = BLOCK_NODES, work: Workspace | None = None) -> DataFrame:
-    """One row per operation of ``ops`` that makes an object, visible or not.
+def _forest(nodes: DataFrame, work: Workspace, block_nodes: int) -> tuple[DataFrame, DataFrame]:
+    """Tours of all trees among ``nodes``, and the nodes that are in or below a loop.
 
-    Columns ``doc_id, object_id, root_id, tree_depth, key_path, entry_rank, exit_rank, n_descendants``. Its
-    container is the object named by ``obj``; without one in the document the object
-    is topmost, of depth 1 and its own root. Without ``key`` an object contributes its id to the path.
-    In or below a loop the depth is -1, root and path are empty, ranks are null and ``n_descendants`` is -1. Ranks count
-    from the end of the tour: entries are greater than the exits they enclose. If rows of one operation contradict one
-    another, the smallest (object, key) counts; rows without a whole operation id give nothing.
+    ``nodes`` is a written table of ``nid, doc_id, ctr, object_id, obj, label``: ``nid`` is unique, siblings are visited in its
+    order, ``obj`` names the parent by ``object_id`` and ``label`` goes into the path (all null: no paths).
     """
-    work = work or Workspace(ops.sparkSession, "hierarchy")
-    made = ops.filter("action like 'make%' and ctr is not null and actor is not null").select(
-        "doc_id", "ctr", bare_key(F.col("actor")).alias("actor"), object_id(F.col("obj")).alias("obj"), "key"
-    )
-    made = made.groupBy("doc_id", "ctr", "actor").agg(F.min(F.struct("obj", "key")).alias("at"))
-    nodes = work.put(
-        made.select(F.monotonically_increasing_id().alias("nid"), "doc_id", "ctr", opid(F.col("ctr"), F.col("actor")).alias("object_id"), "at.obj", "at.key").withColumn("label", F.coalesce("key", "object_id")), "nodes"
-    )
     sizes = nodes.groupBy(F.col("doc_id").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max("ctr").alias("most")).filter(F.col("n") > block_nodes)
     part = F.floor(F.col("ctr") * F.ceil(F.col("n") / block_nodes) / (F.col("most") + 1))
     placed = nodes.join(sizes, F.col("doc_id").eqNullSafe(F.col("d")), "left").withColumn("block", F.xxhash64("doc_id", F.coalesce(part, F.lit(0))))
@@ -234,7 +223,7 @@ def tree_of_objects(ops: DataFrame, block_nodes: int = BLOCK_NODES, work: Worksp
     if split:
         by = F.col("pid").isNotNull()
         runs = good.filter(by).groupBy("pid", "block").agg(F.min("nid").alias("head"), F.max("nid").alias("tail"), F.max(F.col("pblock") != F.col("block")).alias("away"))
-        w = Window.partitionBy("pid").orderBy("block")
+        w = Window.partitionBy("pid").orderBy("head")
         runs = runs.withColumns({"beyond": F.lead("head").over(w), "k": F.row_number().over(w)})
         firsts = runs.filter("k = 1").select(F.col("pid").alias("nid"), "head")
         good = good.join(firsts, "nid", "left").join(runs.filter("beyond is not null").select(F.col("tail").alias("nid"), "beyond"), "nid", "left")
@@ -243,12 +232,39 @@ def tree_of_objects(ops: DataFrame, block_nodes: int = BLOCK_NODES, work: Worksp
     toured = good.select("nid", "pid", "head", "beyond", "block", "doc_id", "object_id", "label").repartition("block").sortWithinPartitions("block").mapInPandas(_tour, _TOUR)
     if split:
         toured = _between_blocks(work.put(toured, "toured"), links, work)
+    return toured, links.join(looped, "nid", "left_semi").select("doc_id", "object_id")
+
+
+def tours(nodes: DataFrame, work: Workspace, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """``doc_id, object_id, root_id, in_len, out_len, in_sum, path`` of every node that is not in or below a loop."""
+    return _forest(nodes, work, block_nodes)[0].select("doc_id", "object_id", "root_id", "in_len", "out_len", "in_sum", "path")
+
+
+def tree_of_objects(ops: DataFrame, block_nodes: int = BLOCK_NODES, work: Workspace | None = None) -> DataFrame:
+    """One row per operation of ``ops`` that makes an object, visible or not.
+
+    Columns ``doc_id, object_id, root_id, tree_depth, key_path, entry_rank, exit_rank, n_descendants``. Its
+    container is the object named by ``obj``; without one in the document the object
+    is topmost, of depth 1 and its own root. Without ``key`` an object contributes its id to the path.
+    In or below a loop the depth is -1, root and path are empty, ranks are null and ``n_descendants`` is -1. Ranks count
+    from the end of the tour: entries are greater than the exits they enclose. If rows of one operation contradict one
+    another, the smallest (object, key) counts; rows without a whole operation id give nothing.
+    """
+    work = work or Workspace(ops.sparkSession, "hierarchy")
+    made = ops.filter("action like 'make%' and ctr is not null and actor is not null").select(
+        "doc_id", "ctr", bare_key(F.col("actor")).alias("actor"), object_id(F.col("obj")).alias("obj"), "key"
+    )
+    made = made.groupBy("doc_id", "ctr", "actor").agg(F.min(F.struct("obj", "key")).alias("at"))
+    nodes = work.put(
+        made.select(F.monotonically_increasing_id().alias("nid"), "doc_id", "ctr", opid(F.col("ctr"), F.col("actor")).alias("object_id"), "at.obj", "at.key").withColumn("label", F.coalesce("key", "object_id")), "nodes"
+    )
+    toured, looped = _forest(nodes, work, block_nodes)
     done = toured.select(
         "doc_id", "object_id", "root_id", (1 - F.col("in_sum")).alias("tree_depth"), F.col("path").alias("key_path"), F.col("in_len").alias("entry_rank"), F.col("out_len").alias("exit_rank"),
         ((F.col("in_len") - F.col("out_len") - 1) / 2).cast("long").alias("n_descendants"),
     )
     none = F.lit(None).cast("long")
-    bad = links.join(looped, "nid", "left_semi").select(
+    bad = looped.select(
         "doc_id", "object_id", F.lit("").alias("root_id"), F.lit(-1).cast("long").alias("tree_depth"), F.lit("").alias("key_path"), none.alias("entry_rank"), none.alias("exit_rank"), F.lit(-1).cast("long").alias("n_descendants")
     )
     return done.unionByName(bad)
