@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import opid
+from ..functions.values import parse_opid
 from ..storage import Workspace
 from .hierarchy import BLOCK_NODES, tours
 from .prefix import running_total
@@ -84,7 +85,7 @@ def win_spans(state: DataFrame) -> DataFrame:
 
 def win_coalesce_edits(state: DataFrame) -> DataFrame:
     """Runs of elements that one multi-insert would make: neighbours of one actor and type with counters that follow each other."""
-    islands = state.withColumn("own", F.split("elem", "@")).select(*LIST, "idx", F.col("own")[0].cast("long").alias("c"), F.col("own")[1].alias("by"), "vtype")
+    islands = state.withColumn("own", parse_opid(F.col("elem"))).select(*LIST, "idx", F.col("own.ctr").alias("c"), F.col("own.actor").alias("by"), "vtype")
     w = Window.partitionBy(*LIST).orderBy("idx")
     same = (F.lag("by").over(w) == F.col("by")) & F.lag("vtype").over(w).eqNullSafe(F.col("vtype")) & (F.lag("c").over(w) == F.col("c") - 1)
     runs = islands.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -93,8 +94,8 @@ def win_coalesce_edits(state: DataFrame) -> DataFrame:
 
 def win_multi_del(ops: DataFrame) -> DataFrame:
     """Runs of deletions that one multiple deletion would make: of one actor, operations and elements both one after the other."""
-    d = ops.filter("action = 'del' and key is null and elem is not null").withColumn("e", F.split("elem", "@"))
-    d = d.select(*LIST, "ctr", "actor", F.col("e")[0].cast("long").alias("ec"), F.col("e")[1].alias("ea"))
+    d = ops.filter("action = 'del' and key is null and elem is not null").withColumn("e", parse_opid(F.col("elem")))
+    d = d.select(*LIST, "ctr", "actor", F.col("e.ctr").alias("ec"), F.col("e.actor").alias("ea"))
     w = Window.partitionBy(*LIST, "actor").orderBy("ctr")
     same = (F.lag("ctr").over(w) == F.col("ctr") - 1) & (F.lag("ea").over(w) == F.col("ea")) & (F.lag("ec").over(w) == F.col("ec") - 1)
     runs = d.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -103,7 +104,7 @@ def win_multi_del(ops: DataFrame) -> DataFrame:
 
 def win_multi_ins(ops: DataFrame) -> DataFrame:
     """Runs of insertions that one ``set`` of several values would make: each after the one before, of one actor and type."""
-    d = ops.filter("action = 'set' and insert").withColumn("e", F.split("elem", "@")).select(*LIST, "ctr", "actor", "vtype", F.col("e")[0].cast("long").alias("ec"), F.col("e")[1].alias("ea"))
+    d = ops.filter("action = 'set' and insert").withColumn("e", parse_opid(F.col("elem"))).select(*LIST, "ctr", "actor", "vtype", F.col("e.ctr").alias("ec"), F.col("e.actor").alias("ea"))
     w = Window.partitionBy(*LIST, "actor").orderBy("ctr")
     same = (F.lag("ctr").over(w) == F.col("ctr") - 1) & (F.col("ec") == F.col("ctr") - 1) & (F.col("ea") == F.col("actor")) & F.lag("vtype").over(w).eqNullSafe(F.col("vtype"))
     runs = d.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
