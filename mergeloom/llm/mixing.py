@@ -68,4 +68,4 @@ def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     per = per_doc.groupBy("source").agg(F.sum("t").alias("n_tokens"), F.sum("times").alias("n_rows"), F.count(F.lit(1)).alias("n_docs"), F.max("times").alias("most_used"))
     out = targets_of(targets).join(per, "source", "left").fillna(0, ["n_tokens", "n_rows", "n_docs", "most_used"])
     out = out.withColumn("everything", F.sum("n_tokens").over(Window.partitionBy(F.lit(1))))  # as many rows as targets
-    return out.select("source", "target_share", F.coalesce(F.round(F.col("n_tokens") / F.col("everything"), 6), F.lit(0.0)).alias("actual_share"), "n_tokens", "n_rows", "n_docs", "most_used", "max_repeats")
+    return out.select("source", "target_share", F.coalesce(F.round(F.try_divide("n_tokens", "everything"), 6), F.lit(0.0)).alias("actual_share"), "n_tokens", "n_rows", "n_docs", "most_used", "max_repeats")

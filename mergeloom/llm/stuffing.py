@@ -192,6 +192,7 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> dict[str, float]:
     sample = docs.select("text").filter("text is not null")
     if n > fit_docs:
         sample = sample.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * fit_docs / n))
+    sample = sample.dropDuplicates(["text"])  # copies teach nothing more
     got = sample.mapInPandas(_seed_counts, "term string, stuffed boolean, n long").groupBy("term").agg(F.sum(F.col("n") * F.col("stuffed").cast("int")).alias("s"), F.sum(F.col("n") * (~F.col("stuffed")).cast("int")).alias("h"))
     rows = {r["term"]: (r["s"], r["h"]) for r in got.filter((F.col("s") + F.col("h") >= MIN_COUNT) | (F.col("term") == "")).collect()}
     spam, ham = rows.pop("", (0, 0))
@@ -227,6 +228,8 @@ class Judge:
         parts = [p for line in shown_lines(text) for p in self.line(line)]
         if not parts:
             return 0.0
+        if not self.weights:  # nothing was learned: the windows alone decide
+            return float(windows(_sequence(text)).mean())
         size = np.array([p[0] for p in parts], float)
         own = np.array([p[1] for p in parts])
         near = own.copy()  # a segment that says little by itself is what its neighbours are
