@@ -1 +1,103 @@
+"""Changes as a stream: each batch is deduplicated, applied as far as possible, and reported as a patch.
 
+What is stored are tables in a folder: applied changes and their operations, and changes
+that wait for others. A change may come at any time and in any order; none is dropped
+for being late, so no watermark is used. Only cells that a batch touches are computed anew.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.keys import opid
+from ..operators import dag, tables, visibility
+
+CHANGES = "doc_id string, hash string, actor string, seq long, deps array<string>"
+OPS = "doc_id string, change_hash string, ctr long, actor string, obj string, key string, elem string, insert boolean, action string, vtype string, i long, s string, pred array<struct<ctr:bigint,actor:string>>"
+
+
+class Store:
+    """Tables of a replica under ``path``, in generations: a batch writes a new one and then names it, so a batch that fails leaves no trace."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _fs(self):
+        sc = self.spark.sparkContext
+        p = sc._jvm.org.apache.hadoop.fs.Path(self.path)
+        return p.getFileSystem(sc._jsc.hadoopConfiguration()), sc._jvm.org.apache.hadoop.fs.Path
+
+    def generation(self) -> int:
+        """The last generation that is complete, -1 if there is none."""
+        fs, path = self._fs()
+        if not fs.exists(path(self.path)):
+            return -1
+        done = [f.getPath().getName() for f in fs.listStatus(path(self.path))]
+        return max((int(n[5:]) for n in done if n.startswith("done-")), default=-1)
+
+    def read(self, table: str, schema: str) -> DataFrame:
+        """Rows of a table: all appended parts of it for applied ones, the last part for waiting ones."""
+        g = self.generation()
+        if g < 0:
+            return self.spark.createDataFrame([], schema)
+        parts = [f"{self.path}/{table}-{k}" for k in (range(g + 1) if table != "waiting" and table != "waiting_ops" else [g])]
+        return self.spark.read.schema(schema).parquet(*parts)
+
+    def applied(self) -> DataFrame:
+        return self.read("applied", CHANGES)
+
+    def ops(self) -> DataFrame:
+        return self.read("ops", OPS)
+
+    def waiting(self) -> DataFrame:
+        return self.read("waiting", CHANGES)
+
+    def apply(self, changes: DataFrame, ops: DataFrame) -> DataFrame:
+        """Take in a batch; returns the patch: ``doc_id, obj, cell, edit, before_id, after_id``."""
+        g = self.generation() + 1
+        old, old_ops = self.applied(), self.ops()
+        new = changes.unionByName(self.waiting()).dropDuplicates(dag.KEY).join(old.select(*dag.KEY), dag.KEY, "left_anti")
+        new_ops = ops.unionByName(self.read("waiting_ops", OPS)).dropDuplicates(["doc_id", "ctr", "actor"])
+        known = old.select("doc_id", F.col("hash").alias("dep"))
+        # What is stored is closed, so a change is blocked by what the batch lacks alone.
+        inner = new.withColumn("dep", F.explode_outer("deps")).join(known, ["doc_id", "dep"], "left_anti")
+        open_deps = inner.filter("dep is not null").groupBy(*dag.KEY).agg(F.collect_list("dep").alias("deps"))
+        reduced = new.select(*dag.KEY).join(open_deps, dag.KEY, "left").withColumn("deps", F.coalesce("deps", F.array().cast("array<string>")))
+        blocked = dag.dag_blocked(reduced)
+        ready = new.join(blocked, dag.KEY, "left_anti")
+        by = ["doc_id", "change_hash"]
+        ready_keys = ready.select("doc_id", F.col("hash").alias("change_hash"))
+        names = {"applied": (ready, CHANGES), "ops": (new_ops.join(ready_keys, by, "left_semi"), OPS), "waiting": (new.join(blocked, dag.KEY, "left_semi"), CHANGES), "waiting_ops": (new_ops.join(blocked.withColumnRenamed("hash", "change_hash"), by, "left_semi"), OPS)}
+        for name, (df, schema) in names.items():
+            cols = [c.split()[0] for c in schema.split(", ")]
+            df.select(*cols).write.mode("overwrite").parquet(f"{self.path}/{name}-{g}")
+        fs, path = self._fs()
+        fs.create(path(f"{self.path}/done-{g}"), True).close()
+        added = self.spark.read.schema(OPS).parquet(f"{self.path}/ops-{g}")
+        touched = visibility.cells(added).select(*visibility.CELL).distinct()
+        return tables.crdt_inc_patch(_winners(old_ops, touched), _winners(old_ops.unionByName(added), touched), visibility.CELL)
+
+
+def _winners(ops: DataFrame, touched: DataFrame) -> DataFrame:
+    """Present values of the touched cells only."""
+    mine = visibility.cells(ops).join(touched, visibility.CELL, "left_semi").drop("cell")
+    return visibility.agg_lww(visibility.visible(mine)).select(*visibility.CELL, opid(F.col("ctr"), F.col("actor")).alias("op_id"), "n_values")
+
+
+def run(stream: DataFrame, store: Store, checkpoint: str, on_patch: Callable[[DataFrame, int], None] | None = None):
+    """Start applying a stream of changes with ``ops`` inside (an array of structs). ``on_patch`` gets each batch's patch.
+
+    A batch that is delivered again after a failure changes nothing: its changes are known.
+    """
+
+    def take(batch: DataFrame, n: int) -> None:
+        changes = batch.select("doc_id", "hash", "actor", "seq", "deps")
+        ops = batch.select("doc_id", F.col("hash").alias("change_hash"), F.explode("ops").alias("o")).select("doc_id", "change_hash", "o.*")
+        patch = store.apply(changes, ops)
+        if on_patch:
+            on_patch(patch, n)
+
+    return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
