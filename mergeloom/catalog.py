@@ -15,7 +15,9 @@ from .functions import values as V
 from .functions.keys import clean_hash, opid
 from .operators import dag, encodings, hierarchy, reconcile, sequences, tables, visibility
 from .problems import _bare, _hash, table
+from .sources import binary
 from .sources.derived import EVENT_CHANGES, EVENT_OPS, duck_sql, event_changes, event_ops, logged_ops, row_objects
+from .storage import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -447,7 +449,7 @@ st AS (SELECT el.doc_id, el.obj, el.elem, row_number() OVER (PARTITION BY el.doc
 
 
 def _log(s, d) -> DataFrame:
-    return logged_ops(table(s, d, "op_log"))
+    return Workspace(s, "logged-ops").put(logged_ops(table(s, d, "op_log")), "ops")  # operators read it more than once
 
 
 def _list(s, d) -> DataFrame:
@@ -503,8 +505,8 @@ def _(s, d):
 
 @query("flt_reachable", f"WITH RECURSIVE {_LOG}, mk AS (SELECT doc_id, id, obj FROM v WHERE action LIKE 'make%'), r AS (SELECT doc_id, id FROM mk WHERE obj = '_root' UNION ALL SELECT mk.doc_id, mk.id FROM r JOIN mk ON mk.doc_id = r.doc_id AND mk.obj = r.id) SELECT doc_id, id AS object_id FROM r")
 def _(s, d):
-    log = table(s, d, "op_log")
-    return visibility.reachable_objects(logged_ops(log), hierarchy.tree_of_objects(log))
+    tree = Workspace(s, "tree").put(hierarchy.tree_of_objects(table(s, d, "op_log")), "tree")
+    return visibility.reachable_objects(_log(s, d), tree)
 
 
 @query("enc_sorted_check", "SELECT row_id FROM op_log WHERE pred IS NOT NULL AND list_sort(list_distinct(pred)) <> pred")
@@ -770,3 +772,126 @@ def _(s, d):
     v = F.col("val")
     shown = F.when(v["vtype"] == "str", v["s"]).when(v["vtype"] == "null", "null").when(v["vtype"] == "bool", v["b"].cast("string")).otherwise(F.coalesce(v["i"].cast("string"), F.lit("x")))
     return table(s, d, "op_log").filter("action = 'set' and val.d is null").select("row_id", shown.alias("shown"))
+
+
+# --- whole documents, links to touched objects, binary form ------------------------------
+
+_TREE_L = f"""{_LOG}, mk AS (SELECT v.doc_id, v.id, v.obj, v.cell FROM v WHERE action LIKE 'make%'),
+rr AS (SELECT doc_id, id, cell AS path, [id] AS up FROM mk WHERE obj = '_root' UNION ALL SELECT mk.doc_id, mk.id, rr.path || '/' || mk.cell, list_append(rr.up, mk.id) FROM rr JOIN mk ON mk.doc_id = rr.doc_id AND mk.obj = rr.id)"""
+
+
+def _shown(s, d) -> tuple[DataFrame, DataFrame]:
+    """Seen operations, and shown objects with their paths."""
+    ops = _log(s, d)
+    tree = Workspace(s, "tree").put(hierarchy.tree_of_objects(table(s, d, "op_log")), "tree")
+    return visibility.visible(ops), tree.join(visibility.reachable_objects(ops, tree), ["doc_id", "object_id"], "left_semi")
+
+
+@query("crdt_whole_doc", f"WITH RECURSIVE {_TREE_L}, top AS (SELECT doc_id, obj, cell, max_by(id, (ctr, actor)) AS op_id FROM v GROUP BY ALL) SELECT top.doc_id, coalesce(rr.path || '/', '') || top.cell AS path, op_id FROM top LEFT JOIN rr ON rr.doc_id = top.doc_id AND rr.id = top.obj WHERE top.obj = '_root' OR rr.id IS NOT NULL")
+def _(s, d):
+    """Every value shown, with its path from the root; elements of lists are named by their ids."""
+    seen, shown = _shown(s, d)
+    top = visibility.agg_lww(seen).select("doc_id", "obj", "cell", opid(F.col("ctr"), F.col("actor")).alias("op_id"))
+    at_root = top.filter("obj = '_root'").select("doc_id", F.col("cell").alias("path"), "op_id")
+    # A list's element is named by its insertion, which for an assigned object is not the object itself.
+    paths = _cell_paths(seen, shown)
+    below = top.join(paths, ["doc_id", "obj"]).select("doc_id", F.concat("above", F.lit("/"), "cell").alias("path"), "op_id")
+    return at_root.unionByName(below)
+
+
+def _cell_paths(seen: DataFrame, shown: DataFrame) -> DataFrame:
+    """``doc_id, obj, above``: path of cells from the root to each shown object, by doubling."""
+    made = seen.filter("action like 'make%'").select("doc_id", opid(F.col("ctr"), F.col("actor")).alias("object_id"), F.col("obj").alias("container"), "cell")
+    links = made.join(shown.select("doc_id", "object_id"), ["doc_id", "object_id"], "left_semi")
+    key = lambda c: F.concat("doc_id", F.lit("|"), c)
+    chain = links.select(key("object_id").alias("x"), F.when(F.col("container") != "_root", key("container")).alias("nxt"), F.col("cell").alias("path"))
+    done = hierarchy.follow(Workspace(seen.sparkSession, "cell-paths"), "paths", chain, {"path": lambda a, b: F.concat(b, F.lit("/"), a)})
+    return links.withColumn("x", key("object_id")).join(done.select("x", F.col("path").alias("above")), "x").select("doc_id", F.col("object_id").alias("obj"), "above")
+
+
+@query("prj_path", f"WITH RECURSIVE {_TREE_L} SELECT doc_id, id AS object_id, path FROM rr")
+def _(s, d):
+    return _cell_paths(*_shown(s, d)).select("doc_id", F.col("obj").alias("object_id"), F.col("above").alias("path"))
+
+
+@query("crdt_patch_link", f"WITH RECURSIVE {_TREE_L}, touched AS (SELECT DISTINCT doc_id, obj FROM v WHERE action = 'set' AND vtype = 'counter' AND obj <> '_root') SELECT DISTINCT doc_id, unnest(up) AS object_id FROM rr JOIN touched t USING (doc_id) WHERE t.obj = rr.id")
+def _(s, d):
+    """Objects on the way from the root to those that were touched, found by their intervals."""
+    seen, shown = _shown(s, d)
+    touched = seen.filter("action = 'set' and vtype = 'counter' and obj <> '_root'").select("doc_id", F.col("obj").alias("object_id")).distinct()
+    low = shown.join(touched, ["doc_id", "object_id"]).select("doc_id", "root_id", F.col("entry_rank").alias("lo"), F.col("exit_rank").alias("hi"))
+    return shown.join(low, ["doc_id", "root_id"]).filter("entry_rank >= lo and exit_rank <= hi").select("doc_id", "object_id").distinct()
+
+
+def _binary(s, d) -> DataFrame:
+    ops = event_ops(s, d).withColumn("change_id", F.col("change_hash")).withColumnRenamed("value", "d").withColumn("s", F.lit(None).cast("string"))
+    changes = event_changes(s, d).withColumn("change_id", F.col("hash")).withColumns({"time_s": F.lit(0).cast("long"), "message": F.col("epoch").cast("string")})
+    return Workspace(s, "binary").put(binary.snk_change(changes, ops), "changes")
+
+
+@query("snk_change", f"{EC} SELECT actor, seq, start_op, CAST(epoch AS VARCHAR) AS message FROM chg")
+def _(s, d):
+    """Changes encoded and their headers read again."""
+    return binary.src_change_meta(_binary(s, d)).select("actor", "seq", "start_op", "message")
+
+
+@query("src_change_decode", f"{E} SELECT ctr, actor, key, action, CASE WHEN action = 'set' THEN value END AS value FROM op")
+def _(s, d):
+    """Operations encoded and decoded again."""
+    return binary.src_ops(_binary(s, d)).select("ctr", "actor", "key", "action", F.col("d").alias("value"))
+
+
+@query("src_columns", f"{E} SELECT ctr, actor, pctr, pactor FROM pred")
+def _(s, d):
+    p = binary.src_ops(_binary(s, d)).select("ctr", "actor", F.explode("pred").alias("p"))
+    return p.select("ctr", "actor", F.col("p.ctr").alias("pctr"), F.col("p.actor").alias("pactor"))
+
+
+@query("src_chunks", f"{EC} SELECT count(*) AS n, CAST(1 AS INTEGER) AS kind FROM chg")
+def _(s, d):
+    """All changes in one file, split again."""
+    return binary.src_chunks(_binary(s, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _chained(s, d) -> DataFrame:
+    """A document per region, made of real changes: one per nation that sets its name under its key."""
+    from .plans.session import Document
+
+    rows = table(s, d, "nation").select("n_regionkey", "n_nationkey", "n_name").orderBy("n_regionkey", "n_nationkey").collect()  # 25 rows, fixed
+    docs: dict[int, Document] = {}
+    for r in rows:
+        doc = docs.setdefault(r[0], Document(f"{r[0]:02x}"))
+        with doc.change(r[2], 0) as root:
+            root[f"n{r[1]}"] = r[2]
+            root["last"] = r[1]
+    return s.createDataFrame([(str(k), doc.save()) for k, doc in docs.items()], "doc_id string, data binary")
+
+
+_NATIONS = "SELECT CAST(n_regionkey AS VARCHAR) AS doc_id, n_nationkey AS k, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn FROM nation"
+
+
+@query("src_load", f"WITH n AS ({_NATIONS}) SELECT doc_id, 'n' || k AS key, n_name AS s FROM n UNION ALL SELECT doc_id, 'last', NULL FROM n GROUP BY doc_id")
+def _(s, d):
+    """Documents saved, loaded, and read: what is seen of them."""
+    return visibility.visible(binary.src_ops(_chained(s, d))).select("doc_id", "key", "s")
+
+
+@query("src_doc_decode", f"WITH n AS ({_NATIONS}) SELECT doc_id, 2 * rn - 1 AS ctr, 'n' || k AS key FROM n UNION ALL SELECT doc_id, 2 * rn, 'last' FROM n")
+def _(s, d):
+    return binary.src_ops(_chained(s, d)).select("doc_id", "ctr", "key")
+
+
+@query("snk_save", f"WITH n AS ({_NATIONS}) SELECT doc_id, CAST(0 AS INTEGER) AS kind, count(*) AS n FROM n GROUP BY doc_id HAVING count(*) > 0")
+def _(s, d):
+    """Saved documents are one container each; saved again from their changes they are the same."""
+    files = _chained(s, d)
+    ops = binary.src_ops(files)
+    per = ops.groupBy("doc_id").agg(F.countDistinct("change_hash").alias("n"))
+    return binary.src_chunks(files).join(per, "doc_id").select("doc_id", "kind", "n")
+
+
+@query("mut_change", f"WITH n AS ({_NATIONS}) SELECT doc_id, 2 * rn AS ctr, CASE WHEN rn > 1 THEN 2 * rn - 2 END AS pctr FROM n")
+def _(s, d):
+    """Each assignment of a key names the one before."""
+    ops = binary.src_ops(_chained(s, d)).filter("key = 'last'")
+    return ops.select("doc_id", "ctr", F.try_element_at("pred", F.lit(1))["ctr"].alias("pctr"))

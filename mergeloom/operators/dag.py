@@ -44,6 +44,7 @@ def reach(start: DataFrame, links: DataFrame, work: Workspace | None = None) ->
     """
     work = work or Workspace(start.sparkSession, "reach")
     front = work.put(start.select(*KEY).distinct(), "round0")
+    links = work.put(links.select(*KEY, "nxt"), "links")  # read again in every round
     found, k = front, 0
     while front.limit(1).count():
         k += 1

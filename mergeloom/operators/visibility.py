@@ -70,13 +70,11 @@ def _hiding(ops: DataFrame) -> DataFrame:
 
     An increment with several predecessors counts for the greatest of the counters among them only (and hides the others).
     """
-    edges = join_pred_succ(ops)
-    counters = cells(ops).filter("action = 'set' and vtype = 'counter'").select(*CELL, F.col("ctr").alias("pctr"), F.col("actor").alias("pactor"), F.lit(True).alias("counter"))
-    edges = edges.join(counters, [*CELL, "pctr", "pactor"], "left")
-    amounts = ops.filter("action = 'inc'").select(*ID, "i")
-    edges = edges.join(amounts, ID, "left")
+    counter = F.expr("action = 'set' and vtype <=> 'counter'")
+    there = cells(ops).filter("action <> 'del'").select(*CELL, F.col("ctr").alias("pctr"), F.col("actor").alias("pactor"), counter.alias("counter"))
+    edges = pred_edges(ops).join(there, [*CELL, "pctr", "pactor"]).select("doc_id", "ctr", "actor", "action", "i", "pctr", "pactor", "counter")
     best = edges.filter("action = 'inc' and counter").groupBy(*ID).agg(F.max(F.struct("pctr", "pactor")).alias("best"))
-    edges = edges.join(best, ID, "left").withColumn("folds", F.coalesce(F.struct("pctr", "pactor") == F.col("best"), F.lit(False)))
+    edges = edges.join(best, ID, "left").withColumn("folds", F.coalesce((F.col("action") == "inc") & (F.struct("pctr", "pactor") == F.col("best")), F.lit(False)))
     return edges.groupBy("doc_id", F.col("pctr").alias("ctr"), F.col("pactor").alias("actor")).agg(
         F.count_if("folds").alias("n_inc"), F.count_if(~F.col("folds")).alias("n_other"), F.sum(F.when(F.col("folds"), F.col("i"))).alias("added")
     )

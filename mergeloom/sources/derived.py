@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import bare_key, clean_hash, object_id, opid
 from ..operators.redelivery import deduplicated, deliveries, with_change_hash
+from ..storage import Workspace
 
 
 def logged_ops(log: DataFrame) -> DataFrame:
@@ -85,20 +86,22 @@ def _run(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
 
 def event_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The map log: operations in the form the operators take, with ``value`` and ``change_hash``."""
-    op = _run(spark, sf_dir, spark_sql(EVENT_OPS, EVENT_CHANGES) + " SELECT op.*, chg.hash AS change_hash FROM op JOIN chg ON chg.actor = op.actor AND chg.epoch = op.epoch")
+    op = _run(spark, sf_dir, spark_sql(EVENT_OPS) + " SELECT op.*, sha2(concat_ws('|', actor, CAST(epoch AS STRING)), 256) AS change_hash FROM op")
     pred = _run(spark, sf_dir, spark_sql(EVENT_OPS) + " SELECT * FROM pred").groupBy("ctr", "actor").agg(F.sort_array(F.collect_list(F.struct(F.col("pctr").alias("ctr"), F.col("pactor").alias("actor")))).alias("pred"))
     none = F.lit(None)
-    return op.join(pred, ["ctr", "actor"], "left").select(
+    ops = op.join(pred, ["ctr", "actor"], "left").select(
         F.lit("map").alias("doc_id"), "ctr", "actor", F.lit("_root").alias("obj"), "key", none.cast("string").alias("elem"), F.lit(False).alias("insert"), "action", F.lit("float64").alias("vtype"), none.cast("long").alias("i"),
         F.coalesce("pred", F.array().cast("array<struct<ctr:bigint,actor:string>>")).alias("pred"), "value", "change_hash", "event_id",
     )
+    return Workspace(spark, "event-ops").put(ops, "ops")  # operators read it more than once
 
 
 def event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The changes of the map log: ``doc_id, hash, actor, epoch, seq, start_op, max_op, n_ops, arrival, deps``."""
     chg = _run(spark, sf_dir, spark_sql(EVENT_OPS, EVENT_CHANGES) + " SELECT * FROM chg")
     dep = _run(spark, sf_dir, spark_sql(EVENT_OPS, EVENT_CHANGES) + " SELECT * FROM dep").groupBy("hash").agg(F.sort_array(F.collect_list("dep")).alias("deps"))
-    return chg.join(dep, "hash", "left").select(F.lit("map").alias("doc_id"), "hash", "actor", "epoch", "seq", "start_op", "max_op", "n_ops", "arrival", F.coalesce("deps", F.array().cast("array<string>")).alias("deps"))
+    changes = chg.join(dep, "hash", "left").select(F.lit("map").alias("doc_id"), "hash", "actor", "epoch", "seq", "start_op", "max_op", "n_ops", "arrival", F.coalesce("deps", F.array().cast("array<string>")).alias("deps"))
+    return Workspace(spark, "event-changes").put(changes, "changes")
 
 
 def row_objects(rows: DataFrame, table: str, key: str) -> DataFrame:
