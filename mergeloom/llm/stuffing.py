@@ -198,8 +198,14 @@ def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> dict[str, float]:
     spam, ham = rows.pop("", (0, 0))
     if not (spam and ham):
         return {}
-    a, b = math.log(spam + 2), math.log(ham + 2)
-    return {t: max(-5.0, min(5.0, math.log(s + 1) - a - math.log(h + 1) + b)) for t, (s, h) in rows.items()}
+    return {t: _weight(s, h, spam, ham) for t, (s, h) in rows.items()}
+
+
+def _weight(s: int, h: int, spam: int, ham: int) -> float:
+    """Logarithm of the odds, added to by two segments in the proportion of the kinds, so that what is rare says little either way."""
+    base = spam / (spam + ham)
+    odds = (s + 2 * base) / (h + 2 * (1 - base)) * ham / spam
+    return max(-5.0, min(5.0, math.log(odds)))
 
 
 _HAM, _SPAM = -3.0, 3.0

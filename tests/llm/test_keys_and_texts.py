@@ -214,6 +214,14 @@ def test_stuffed_texts_without_both_kinds(spark):
     assert stuffing.stuffed(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_few_stuffed_texts_among_many(spark):
+    good, bad = corpus(3, 60)
+    rnd = random.Random(4)
+    rare = [cues([f"Where did {rnd.choice('abcdefgh')}{k}x go with the {w}?" for k in range(6)]) for w in ("map", "boat", "lamp", "key", "coat", "horse", "mill")]
+    got = judged(spark, [*good, *rare, *bad[:2]])
+    assert sum(got[:-2]) == 0 and sum(got[-2:]) == 2
+
+
 def test_layout_does_not_count():
     text = "﻿WEBVTT\n\n1\n00:01.000 --> 00:02.000\n<i>Hello there</i>\n{12}{40}Who is it?|{\\an8}It is me.\n"
     assert list(stuffing.shown_lines(text)) == ["Hello there", "Who is it?|It is me."]
