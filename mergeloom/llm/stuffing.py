@@ -5,7 +5,7 @@ stuffing from speech by its regularity: terms that recur at even gaps, agreement
 sequence with itself at short lags, or lists of ever new nouns without function words,
 links and product tags. Texts that these windows settle, in a bounded sample, teach how
 much each term belongs to one or the other; with those weights every segment of every
-text is judged, and windows are asked again where the weights leave a text in doubt.
+text is judged, and windows settle the segments of which the weights know little.
 A text is spam if more than half of its characters are.
 """
 
@@ -161,8 +161,13 @@ def windows(sequence: list[str]) -> np.ndarray:
     return (speech < 0.1) & ((marks >= 0.2) | (agree >= 0.2) | (even >= 0.3) | listed)
 
 
-def _sequence(text: str) -> list[str]:
-    return [t for line in shown_lines(text) for _, ts in segments(line) for t in ts or ()]
+def in_windows(cut: list[list[str] | None]) -> np.ndarray:
+    """Of every segment, the share of its terms that are in stuffed windows; sounds and songs have none."""
+    n = np.array([len(ts) if ts else 0 for ts in cut])
+    of_term = np.repeat(windows([t for ts in cut for t in ts or ()]), WINDOW)[: n.sum()]
+    upto = np.r_[0, np.cumsum(of_term)]
+    end = np.cumsum(n)
+    return (upto[end] - upto[end - n]) / np.maximum(n, 1)
 
 
 def _seed_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,6 +214,7 @@ def _weight(s: int, h: int, spam: int, ham: int) -> float:
 
 
 _HAM, _SPAM = -3.0, 3.0
+_KNOWN = 1.0  # evidence from which the weights settle a segment
 
 
 class Judge:
@@ -216,14 +222,14 @@ class Judge:
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
-        self.known: dict[str, list[tuple[int, float]]] = {}
+        self.known: dict[str, list[tuple[int, float, list[str] | None]]] = {}
 
-    def line(self, line: str) -> list[tuple[int, float]]:
+    def line(self, line: str) -> list[tuple[int, float, list[str] | None]]:
         got = self.known.get(line)
         if got is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            got = self.known[line] = [(n, _HAM if ts is None else self.score(ts)) for n, ts in segments(line)]
+            got = self.known[line] = [(n, _HAM if ts is None else self.score(ts), ts) for n, ts in segments(line)]
         return got
 
     def score(self, ts: list[str]) -> float:
@@ -234,8 +240,7 @@ class Judge:
         parts = [p for line in shown_lines(text) for p in self.line(line)]
         if not parts:
             return 0.0
-        if not self.weights:  # nothing was learned: the windows alone decide
-            return float(windows(_sequence(text)).mean())
+        stuffed = in_windows([p[2] for p in parts])
         size = np.array([p[0] for p in parts], float)
         own = np.array([p[1] for p in parts])
         near = own.copy()  # a segment that says little by itself is what its neighbours are
@@ -243,12 +248,8 @@ class Judge:
             near[far:] += own[:-far] / (2 * far)
             near[:-far] += own[far:] / (2 * far)
         near = np.where(np.abs(own) >= 2, own, near)
-        share = float(size[near > 0].sum() / size.sum())
-        if 0.4 < share < 0.6 or np.abs(own).mean() < 0.7:  # little is known of its terms
-            weak = np.abs(near) < 1
-            if weak.mean() > 0.3:
-                return 0.5 * share + 0.5 * float(windows(_sequence(text)).mean())
-        return share
+        # Where the weights know little, the windows decide.
+        return float(size[np.where(np.abs(near) < _KNOWN, stuffed > 0.5, near > 0)].sum() / size.sum())
 
 
 def stuffed(docs: DataFrame, keep: list[str] | None = None, fit_docs: int = FIT_DOCS) -> DataFrame:

@@ -222,6 +222,14 @@ def test_few_stuffed_texts_among_many(spark):
     assert sum(got[:-2]) == 0 and sum(got[-2:]) == 2
 
 
+def test_stuffed_text_of_terms_that_no_text_taught():
+    judge = stuffing.Judge({"where": -2.0, "letter": -1.0, "sofa": 2.0})
+    unknown = cues([" ".join(["qorvex plimt"] * 6) for _ in range(8)])
+    assert judge.share(unknown) == 1.0
+    assert judge.share(cues(["♪ qorvex plimt ♪"] * 20)) == 0  # sounds and songs are none, known or not
+    assert judge.share(cues(SPEECH * 3)) == 0
+
+
 def test_layout_does_not_count():
     text = "﻿WEBVTT\n\n1\n00:01.000 --> 00:02.000\n<i>Hello there</i>\n{12}{40}Who is it?|{\\an8}It is me.\n"
     assert list(stuffing.shown_lines(text)) == ["Hello there", "Who is it?|It is me."]
