@@ -3,8 +3,8 @@
 What a reader is shown is cut into segments. Windows over the sequence of terms tell
 stuffing from speech by its regularity: terms that recur at even gaps, agreement of the
 sequence with itself at short lags, or lists of ever new nouns without function words,
-links and product tags. Texts that these windows settle, in a bounded sample, teach how
-much each term belongs to one or the other; with those weights every segment of every
+links and product tags. All texts that these windows settle teach how much each term
+belongs to one or the other; with those weights every segment of every
 text is judged, and windows settle the segments of which the weights know little.
 A text is spam if more than half of its characters are.
 """
@@ -22,7 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FIT_DOCS = 5_000  # texts, about, that the weights are learned from
+from ..storage import Workspace
+
 WINDOW = 32
 LAGS = 12
 MIN_COUNT = 4
@@ -141,12 +142,12 @@ def windows(sequence: list[str]) -> np.ndarray:
     starts = np.arange(0, n, WINDOW)
     size = np.diff(np.r_[starts, n])
     rate = lambda flags: np.add.reduceat(flags.astype(np.int64), starts) / size
-    speech = rate(np.fromiter((t in _FUNCTION or t.split("'")[0] in _FUNCTION for t in sequence), bool, n))
-    marks = rate(np.fromiter((t[0] == "<" and t not in ("<num>", "<sep>") for t in sequence), bool, n))
-    agree = np.zeros(len(starts))
-    for lag in range(1, min(LAGS, n - 1) + 1):  # how often the sequence repeats itself a few terms later
-        same = np.r_[ids[lag:] == ids[:-lag], np.zeros(lag, bool)]
-        agree = np.maximum(agree, rate(same))
+    speech = rate(np.fromiter((t in _FUNCTION or t.split("'")[0] in _FUNCTION for t in code), bool, len(code))[ids])
+    marks = rate(np.fromiter((t[0] == "<" and t not in ("<num>", "<sep>") for t in code), bool, len(code))[ids])
+    same = np.zeros((min(LAGS, n - 1), n), np.int32)
+    for lag in range(1, len(same) + 1):  # how often the sequence repeats itself a few terms later
+        same[lag - 1, :-lag] = ids[lag:] == ids[:-lag]
+    agree = np.add.reduceat(same, starts, axis=1).max(axis=0) / size
     # Evenness of the gaps at which a term comes again: their deviation against their mean.
     order = np.argsort(ids, kind="stable")
     gap = np.diff(order)
@@ -161,44 +162,80 @@ def windows(sequence: list[str]) -> np.ndarray:
     return (speech < 0.1) & ((marks >= 0.2) | (agree >= 0.2) | (even >= 0.3) | listed)
 
 
-def in_windows(cut: list[list[str] | None]) -> np.ndarray:
-    """Of every segment, the share of its terms that are in stuffed windows; sounds and songs have none."""
+def in_windows(cut: list[list[str] | None]) -> tuple[np.ndarray, float]:
+    """Of every segment, the share of its terms that are in stuffed windows, sounds and songs having none; and the share of windows that are."""
     n = np.array([len(ts) if ts else 0 for ts in cut])
-    of_term = np.repeat(windows([t for ts in cut for t in ts or ()]), WINDOW)[: n.sum()]
+    found = windows([t for ts in cut for t in ts or ()])
+    of_term = np.repeat(found, WINDOW)[: n.sum()]
     upto = np.r_[0, np.cumsum(of_term)]
     end = np.cumsum(n)
-    return (upto[end] - upto[end - n]) / np.maximum(n, 1)
+    return (upto[end] - upto[end - n]) / np.maximum(n, 1), float(found.mean())
+
+
+class Reader:
+    """Cuts texts; lines that come again are cut once."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, list[tuple[int, list[str] | None]]] = {}
+
+    def line(self, line: str) -> list[tuple[int, list[str] | None]]:
+        got = self.known.get(line)
+        if got is None:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            got = self.known[line] = segments(line)
+        return got
+
+    def read(self, text: str | None) -> tuple[str, bytes, bytes, int, float]:
+        """Terms (a line per segment), characters of each segment (negative: sound or song), whether it is in stuffed windows; how many have terms, and the share of windows that are stuffed."""
+        parts = [p for line in shown_lines(text) for p in self.line(line)] if isinstance(text, str) else []
+        if not parts:
+            return "", b"", b"", 0, 0.0
+        cut = [ts for _, ts in parts]
+        stuffed, share = in_windows(cut)
+        size = np.array([-n if ts is None else n for n, ts in parts], np.int32)
+        return "\n".join([" ".join(ts) if ts else "" for ts in cut]), size.tobytes(), (stuffed > 0.5).tobytes(), sum(map(bool, cut)), share
+
+
+_READ = ["_terms", "_size", "_stuffed", "_n", "_share"]
+
+
+def read_texts(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` of every document, a digest of its text, and what ``Reader.read`` gives of it."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r = Reader()
+        for pdf in batches:
+            got = pd.DataFrame([r.read(t) for t in pdf["text"]], columns=_READ, index=pdf.index)
+            yield pd.concat([pdf[[*keep, "_digest"]], got], axis=1)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    return docs.select(*keep, F.md5("text").alias("_digest"), "text").mapInPandas(read, f"{schema}, _digest string, _terms string, _size binary, _stuffed binary, _n int, _share double")
 
 
 def _seed_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """How many segments of texts that the windows settle have each term."""
+    """How many segments of stuffed texts and of others have each term."""
     for pdf in batches:
         counts: Counter[tuple[str, bool]] = Counter()
-        for text in pdf["text"]:
-            if not isinstance(text, str):
-                continue
-            parts = [ts for line in shown_lines(text) for _, ts in segments(line) if ts]
-            cut = [set(ts) for ts in parts]
-            share = windows([t for ts in parts for t in ts]).mean()
-            if cut and (share >= 0.8 or share <= 0.1) and (len(cut) >= 4 or share >= 0.8):
-                stuffed = bool(share >= 0.8)
-                for s in cut:
-                    counts.update((t, stuffed) for t in s)
-                counts["", stuffed] += len(cut)
+        for stuffed in (False, True):
+            own: Counter[str] = Counter()
+            for text in pdf["_terms"][(pdf["_share"] >= 0.8) == stuffed]:
+                for s in text.split("\n"):
+                    if s:
+                        own.update(set(s.split(" ")))
+                        own[""] += 1
+            counts.update({(t, stuffed): n for t, n in own.items()})
         yield pd.DataFrame([(t, s, n) for (t, s), n in counts.items()], columns=["term", "stuffed", "n"])
 
 
-def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> dict[str, float]:
+def fit(texts: DataFrame) -> dict[str, float]:
     """Weight of each term: logarithm of how much likelier a segment with it is stuffed than speech.
 
-    Learned from about ``fit_docs`` texts, chosen by a hash of the text; counts, not texts, come to the driver.
+    Learned from all texts that the windows settle; counts, not texts, come to the driver.
     """
-    n = docs.count()
-    sample = docs.select("text").filter("text is not null")
-    if n > fit_docs:
-        sample = sample.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * fit_docs / n))
-    sample = sample.dropDuplicates(["text"])  # copies teach nothing more
-    got = sample.mapInPandas(_seed_counts, "term string, stuffed boolean, n long").groupBy("term").agg(F.sum(F.col("n") * F.col("stuffed").cast("int")).alias("s"), F.sum(F.col("n") * (~F.col("stuffed")).cast("int")).alias("h"))
+    settled = texts.filter("_n > 0 and (_share >= 0.8 or _share <= 0.1 and _n >= 4)")
+    settled = settled.select("_digest", "_terms", "_share").dropDuplicates(["_digest"])  # copies teach nothing more
+    got = settled.mapInPandas(_seed_counts, "term string, stuffed boolean, n long").groupBy("term").agg(F.sum(F.col("n") * F.col("stuffed").cast("int")).alias("s"), F.sum(F.col("n") * (~F.col("stuffed")).cast("int")).alias("h"))
     rows = {r["term"]: (r["s"], r["h"]) for r in got.filter((F.col("s") + F.col("h") >= MIN_COUNT) | (F.col("term") == "")).collect()}
     spam, ham = rows.pop("", (0, 0))
     if not (spam and ham):
@@ -222,51 +259,48 @@ class Judge:
 
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
-        self.known: dict[str, list[tuple[int, float, list[str] | None]]] = {}
-
-    def line(self, line: str) -> list[tuple[int, float, list[str] | None]]:
-        got = self.known.get(line)
-        if got is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            got = self.known[line] = [(n, _HAM if ts is None else self.score(ts), ts) for n, ts in segments(line)]
-        return got
 
-    def score(self, ts: list[str]) -> float:
-        w = self.weights
-        return max(_HAM, min(_SPAM, sum(w.get(t, 0.0) for t in ts))) if ts else 0.0
+    def score(self, segment: str) -> float:
+        get = self.weights.get
+        return max(_HAM, min(_SPAM, sum([get(t, 0.0) for t in segment.split(" ")]))) if segment else 0.0
 
     def share(self, text: str) -> float:
-        parts = [p for line in shown_lines(text) for p in self.line(line)]
-        if not parts:
+        read = Reader().read(text)
+        return self.of(*read[:3])
+
+    def of(self, terms: str, sizes: bytes, windowed: bytes) -> float:
+        """The same of what ``Reader.read`` gives."""
+        if not sizes:
             return 0.0
-        stuffed = in_windows([p[2] for p in parts])
-        size = np.array([p[0] for p in parts], float)
-        own = np.array([p[1] for p in parts])
+        size = np.frombuffer(sizes, np.int32)
+        stuffed = np.frombuffer(windowed, bool)
+        own = np.where(size < 0, _HAM, [self.score(s) for s in terms.split("\n")])
+        size = np.abs(size)
         near = own.copy()  # a segment that says little by itself is what its neighbours are
         for far in (1, 2, 3):
             near[far:] += own[:-far] / (2 * far)
             near[:-far] += own[far:] / (2 * far)
         near = np.where(np.abs(own) >= 2, own, near)
         # Where the weights know little, the windows decide.
-        return float(size[np.where(np.abs(near) < _KNOWN, stuffed > 0.5, near > 0)].sum() / size.sum())
+        return float(size[np.where(np.abs(near) < _KNOWN, stuffed, near > 0)].sum() / size.sum())
 
 
-def stuffed(docs: DataFrame, keep: list[str] | None = None, fit_docs: int = FIT_DOCS) -> DataFrame:
+def stuffed(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (``doc_id``), ``spam_share`` and ``spam`` of every document.
 
     ``spam_share`` is the share of characters shown that belong to keywords, links or product tags; ``spam`` is
     whether that is more than half. Speech, songs, sounds and credits don't count, however often they repeat. Null and empty
-    texts have share 0. Rows that repeat a document are judged alike.
+    texts have share 0. Rows that repeat a document are judged alike. Texts are cut once and stored so, for learning and judging.
     """
     keep = keep or ["doc_id"]
-    weights = fit(docs, fit_docs)
+    texts = Workspace(docs.sparkSession, "texts").put(read_texts(docs, keep), "texts")
+    weights = fit(texts)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         j = Judge(weights)
         for pdf in batches:
-            share = [j.share(t) if isinstance(t, str) else 0.0 for t in pdf["text"]]
+            share = [j.of(*x) for x in zip(*(pdf[c] for c in _READ[:3]), strict=True)]
             yield pdf[keep].assign(spam_share=share, spam=[s > 0.5 for s in share])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, "text").mapInPandas(judge, f"{schema}, spam_share double, spam boolean")
+    return texts.select(*keep, *_READ[:3]).mapInPandas(judge, f"{schema}, spam_share double, spam boolean")

@@ -230,6 +230,20 @@ def test_stuffed_text_of_terms_that_no_text_taught():
     assert judge.share(cues(SPEECH * 3)) == 0
 
 
+def test_all_texts_teach(spark):
+    """However many texts there are, terms of each that the windows settle are known."""
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(6_000)]
+    texts = [*(cues([f"Where did you put the {w} of her?"] * 4) for w in words), cues(["wool socks " * 8] * 4)]
+    seen = []
+    real = stuffing.fit
+    stuffing.fit = lambda *a, **k: seen.append(real(*a, **k)) or seen[-1]
+    try:
+        assert [i for i, x in enumerate(judged(spark, texts)) if x] == [6_000]
+    finally:
+        stuffing.fit = real
+    assert {stuffing._fold(w) for w in words} <= set(seen[0]) and seen[0]["socks"] == 5.0
+
+
 def test_layout_does_not_count():
     text = "﻿WEBVTT\n\n1\n00:01.000 --> 00:02.000\n<i>Hello there</i>\n{12}{40}Who is it?|{\\an8}It is me.\n"
     assert list(stuffing.shown_lines(text)) == ["Hello there", "Who is it?|It is me."]
