@@ -55,6 +55,12 @@ def _(s, d):
     return table(s, d, "documents").filter("text is not null").select("doc_id", F.lower(F.hex(F.encode(F.substring("text", 1, 40), "utf-8"))).alias("h"))
 
 
+@query("enc_utf8_hex_whole", "SELECT doc_id, lower(hex(encode(text))) AS h FROM documents WHERE text IS NOT NULL")
+def _(s, d):
+    """All of every text, of which ``enc_utf8_hex`` has the first 40 characters."""
+    return table(s, d, "documents").filter("text is not null").select("doc_id", F.lower(F.hex(F.encode("text", "utf-8"))).alias("h"))
+
+
 _SLEB = "CASE WHEN i >= -64 AND i < 64 THEN 1 WHEN i >= -8192 AND i < 8192 THEN 2 WHEN i >= -1048576 AND i < 1048576 THEN 3 WHEN i >= -134217728 AND i < 134217728 THEN 4 WHEN i >= -17179869184 AND i < 17179869184 THEN 5 WHEN i >= -2199023255552 AND i < 2199023255552 THEN 6 ELSE 7 END"
 _TAG = "CASE vtype WHEN 'str' THEN octet_length(encode(s)) * 16 + 6 WHEN 'int' THEN ({len}) * 16 + 4 WHEN 'counter' THEN ({len}) * 16 + 8 WHEN 'timestamp' THEN ({len}) * 16 + 9 WHEN 'float64' THEN 8 * 16 + 5 WHEN 'null' THEN 0 END"
 
