@@ -165,6 +165,14 @@ def _(s, d):
     return out
 
 
+@query("dag_history_whole", f"{EC}, vis AS (SELECT c.arrival, o.key, o.ctr, o.actor FROM chg c JOIN op o ON o.epoch < c.epoch OR (o.epoch = c.epoch AND o.actor = c.actor) WHERE o.action <> 'del' AND NOT EXISTS (SELECT 1 FROM pred p JOIN op q ON q.ctr = p.ctr AND q.actor = p.actor WHERE p.pctr = o.ctr AND p.pactor = o.actor AND (q.epoch < c.epoch OR (q.epoch = c.epoch AND q.actor = c.actor)))) SELECT arrival, key, max_by(ctr || '@' || actor, (ctr, actor)) AS op_id, count(*) AS n_values FROM vis GROUP BY ALL")
+def _(s, d):
+    """All entries in one plan, of which ``dag_history`` has every sixtieth."""
+    order = F.struct("ctr", "actor")
+    seen = visibility.cells(dag.dag_history(event_changes(s, d), event_ops(s, d))).groupBy("doc_id", "obj", "entry", "cell").agg(F.max(order).alias("w"), F.count(F.lit(1)).alias("n_values"))
+    return seen.select(F.col("entry").alias("arrival"), F.col("cell").alias("key"), opid(F.col("w.ctr"), F.col("w.actor")).alias("op_id"), "n_values")
+
+
 _PATCH = "SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'insert' WHEN a.key IS NULL THEN 'remove' WHEN a.op_id <> b.op_id THEN 'update' WHEN a.n_values <> b.n_values THEN 'conflict' END AS edit, b.op_id AS before_id, a.op_id AS after_id FROM st14 a FULL JOIN st9 b ON a.key = b.key WHERE b.key IS NULL OR a.key IS NULL OR a.op_id <> b.op_id OR a.n_values <> b.n_values"
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
+from .visibility import join_pred_succ
 
 KEY = ["doc_id", "hash"]
 
@@ -36,20 +37,22 @@ def anti_missing_deps(changes: DataFrame) -> DataFrame:
     return edges(changes).select("doc_id", "dep").distinct().join(there, ["doc_id", "dep"], "left_anti")
 
 
-def reach(start: DataFrame, links: DataFrame, work: Workspace | None = None) -> DataFrame:
+def reach(start: DataFrame, links: DataFrame, work: Workspace | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """All ``(doc_id, hash)`` that can be reached from ``start`` over ``links (doc_id, hash, nxt)``, the start included.
 
+    With ``by``, columns of ``start``, for each of their values by itself, all in the same rounds.
+
     A breadth-first search: each round joins only what the last one found, leaves out
     what is known, and is written, until a round finds nothing. No recursion limit applies.
     """
     work = work or Workspace(start.sparkSession, "reach")
-    front = work.put(start.select(*KEY).distinct(), "round0")
+    front = work.put(start.select(*by, *KEY).distinct(), "round0")
     links = work.put(links.select(*KEY, "nxt"), "links")  # read again in every round
     found, k = front, 0
     while front.limit(1).count():
         k += 1
-        step = front.join(links, KEY).select("doc_id", F.col("nxt").alias("hash")).distinct()
-        front = work.put(step.join(found, KEY, "left_anti"), f"round{k}")
+        step = front.join(links, KEY).select(*by, "doc_id", F.col("nxt").alias("hash")).distinct()
+        front = work.put(step.join(found, [*by, *KEY], "left_anti"), f"round{k}")
         found = found.unionByName(front)
         if k % 8 == 0:  # keeps the plan short
             found = work.put(found, f"found{k}")
@@ -137,6 +140,26 @@ def dag_snapshot(changes: DataFrame, ops: DataFrame, heads: DataFrame) -> DataFr
     return ops.join(past, ["doc_id", "change_hash"], "left_semi")
 
 
+def dag_history(changes: DataFrame, ops: DataFrame) -> DataFrame:
+    """Operations seen at every entry of the history, one for each change: ``entry``, the change's arrival, and the columns of ``ops``.
+
+    ``ops`` has ``change_hash``. What an operation of its own change hides is seen at no entry; else an
+    operation is seen where its change is in the entry's past and none that hides it is. Increments hide nothing.
+    """
+    work = Workspace(ops.sparkSession, "history")
+    up = edges(changes).withColumnRenamed("dep", "nxt")
+    past = reach(changes.select("doc_id", "hash", F.col("arrival").alias("entry")), up, work, by=("entry",))
+    past = work.put(past.join(changes.select(*KEY), KEY, "left_semi").withColumnRenamed("hash", "change_hash"), "past")
+    own = ["doc_id", "ctr", "actor"]
+    by_change = ops.select(*own, "change_hash")
+    hides = join_pred_succ(ops).filter("action <> 'inc'").join(by_change, own).select("doc_id", F.col("pctr").alias("ctr"), F.col("pactor").alias("actor"), F.col("change_hash").alias("hider")).distinct()
+    hides = work.put(hides.join(by_change, own), "hides")
+    seen = ops.filter("action not in ('del', 'inc')").join(hides.filter("hider = change_hash"), own, "left_anti")
+    later = hides.filter("hider <> change_hash").join(seen.select(*own), own, "left_semi").drop("change_hash").withColumnRenamed("hider", "change_hash")
+    hidden = later.join(past, ["doc_id", "change_hash"]).select("entry", *own).distinct()
+    return seen.join(past, ["doc_id", "change_hash"]).join(hidden, ["entry", *own], "left_anti")
+
+
 def op_regroup(ops: DataFrame, changes: DataFrame) -> DataFrame:
     """The change that covers each operation: same actor, counter between its first and last.
 

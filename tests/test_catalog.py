@@ -1,6 +1,10 @@
 """Registered queries over small tables, against brute force."""
 
-from mergeloom import catalog_sessions
+import random
+from datetime import datetime, timedelta
+
+from mergeloom import catalog, catalog_sessions
+from mergeloom.sources.derived import event_changes, event_ops
 
 
 def saved(df, tmp_path, name):
@@ -13,3 +17,30 @@ def test_whole_texts_are_encoded(spark, tmp_path):
     d = saved(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), tmp_path, "documents")
     got = {r["doc_id"]: r["h"] for r in catalog_sessions.QUERIES["enc_utf8_hex_whole"](spark, d).collect()}
     assert got == {i: t.encode().hex() for i, t in enumerate(texts) if t is not None}
+
+
+def test_history_has_all_entries(spark, tmp_path):
+    rnd = random.Random(5)
+    rows = [(k, rnd.randrange(3), datetime(2024, 1, 1 + k // 40, 3) + timedelta(seconds=k), rnd.choice(["error", "click", "view"]), float(k)) for k in range(160)]
+    d = saved(spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double"), tmp_path, "events")
+    got = {(r["arrival"], r["key"], r["op_id"], r["n_values"]) for r in catalog.QUERIES["dag_history_whole"](spark, d).collect()}
+    # Brute force: the past of each change by walking up, then what of it nothing in it hides.
+    changes = {r["hash"]: r for r in event_changes(spark, d).collect()}
+    ops = event_ops(spark, d).collect()
+    want = set()
+    for c in changes.values():
+        past, todo = set(), [c["hash"]]
+        while todo:
+            h = todo.pop()
+            if h not in past:
+                past.add(h)
+                todo += changes[h]["deps"]
+        own = [o for o in ops if o["change_hash"] in past]
+        gone = {(p["ctr"], p["actor"]) for o in own for p in o["pred"]}
+        cells = {}
+        for o in own:
+            if o["action"] != "del" and (o["ctr"], o["actor"]) not in gone:
+                cells.setdefault(o["key"], []).append((o["ctr"], o["actor"]))
+        want |= {(c["arrival"], k, "{}@{}".format(*max(v)), len(v)) for k, v in cells.items()}
+    assert len(changes) == 12 and {a for a, *_ in want} == set(range(1, 13))
+    assert got == want
