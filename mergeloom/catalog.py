@@ -782,6 +782,15 @@ def _(s, d):
     return table(s, d, "op_log").filter("action = 'set' and val.d is null").select("row_id", shown.alias("shown"))
 
 
+@query("prj_value_whole")
+def _(s, d):
+    """Values of all types, with the floating-point ones that ``prj_value`` leaves out; SQL engines write these differently."""
+    v = F.col("val")
+    plain = F.when(v["vtype"] == "str", v["s"]).when(v["vtype"] == "null", "null").when(v["vtype"] == "bool", v["b"].cast("string"))
+    shown = plain.when(v["vtype"] == "float64", v["d"].cast("string")).otherwise(F.coalesce(v["i"].cast("string"), F.lit("x")))
+    return table(s, d, "op_log").filter("action = 'set'").select("row_id", shown.alias("shown"))
+
+
 # --- whole documents, links to touched objects, binary form ------------------------------
 
 _TREE_L = f"""{_LOG}, mk AS (SELECT v.doc_id, v.id, v.obj, v.cell FROM v WHERE action LIKE 'make%'),

@@ -80,6 +80,24 @@ def _(s, d):
     return sets.select("row_id", tag(v["vtype"], v["i"].cast("string"), v["d"], v["s"]).alias("tag"))
 
 
+_ULEB = "CASE " + " ".join(f"WHEN i < {1 << 7 * k} THEN {k}" for k in range(1, 8)) + " ELSE 8 END"
+
+
+@query("enc_value_whole", f"SELECT row_id, CAST(CASE vtype WHEN 'bool' THEN CASE WHEN b THEN 2 ELSE 1 END WHEN 'uint' THEN ({_ULEB}) * 16 + 3 ELSE {_TAG.format(len=_SLEB)} END AS BIGINT) AS tag FROM (SELECT row_id, val.vtype AS vtype, val.i AS i, val.s AS s, val.b AS b FROM op_log WHERE action = 'set')")
+def _(s, d):
+    """Tags of values of all types, with those that ``enc_value`` leaves out."""
+
+    @F.pandas_udf("long")
+    def tag(vtype: pd.Series, i: pd.Series, x: pd.Series, text: pd.Series, flag: pd.Series) -> pd.Series:
+        pick = {"str": lambda r: r[3], "float64": lambda r: r[2], "null": lambda r: None, "true": lambda r: None, "false": lambda r: None}
+        kinds = [("true" if b else "false") if t == "bool" else t for t, b in zip(vtype, flag, strict=True)]
+        rows = zip(kinds, i, x, text, strict=True)
+        return pd.Series([codec.encode_value(r[0], pick.get(r[0], lambda r: int(r[1]))(r))[0] for r in rows])
+
+    v = F.col("val")
+    return table(s, d, "op_log").filter("action = 'set'").select("row_id", tag(v["vtype"], v["i"].cast("string"), v["d"], v["s"], v["b"]).alias("tag"))
+
+
 @query("snk_container", "SELECT c_custkey, sha256('\\x01'::BLOB || unhex(printf('%02x', octet_length(encode(c_name)))) || encode(c_name)) AS hash FROM customer")
 def _(s, d):
     @F.pandas_udf("string")

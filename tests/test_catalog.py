@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 from mergeloom import catalog, catalog_sessions
+from mergeloom.sources import codec
 from mergeloom.sources.derived import event_changes, event_ops
 
 
@@ -44,3 +45,21 @@ def test_history_has_all_entries(spark, tmp_path):
         want |= {(c["arrival"], k, "{}@{}".format(*max(v)), len(v)) for k, v in cells.items()}
     assert len(changes) == 12 and {a for a, *_ in want} == set(range(1, 13))
     assert got == want
+
+
+def test_values_of_all_types(spark, tmp_path):
+    values = [("str", "zażółć"), ("str", ""), ("null", None), ("bool", True), ("bool", False), ("int", -65), ("counter", 8191), ("timestamp", 1_700_000_000_000)]
+    values += [("uint", n) for n in (0, 127, 128, 16_384, 2**53 - 1)] + [("float64", x) for x in (0.1, -0.0, 1e300, 5e-324, 3.0)]
+    field = {"str": "s", "bool": "b", "float64": "d"}
+    rows = [(k, "set", {"vtype": t, **({field.get(t, "i"): v} if v is not None else {})}) for k, (t, v) in enumerate(values)]
+    df = spark.createDataFrame([*rows, (99, "del", None)], "row_id long, action string, val struct<vtype:string,b:boolean,i:long,d:double,s:string>")
+    d = saved(df, tmp_path, "op_log")
+    tags = {r["row_id"]: r["tag"] for r in catalog_sessions.QUERIES["enc_value_whole"](spark, d).collect()}
+    assert tags == {k: codec.encode_value({True: "true", False: "false"}[v] if t == "bool" else t, v)[0] for k, (t, v) in enumerate(values)}
+    shown = {r["row_id"]: r["shown"] for r in catalog.QUERIES["prj_value_whole"](spark, d).collect()}
+    assert len(shown) == len(values)
+    for k, (t, v) in enumerate(values):
+        if t == "float64":
+            assert float(shown[k]) == v
+        else:
+            assert shown[k] == {"null": "null", "bool": str(v).lower()}.get(t, str(v))
