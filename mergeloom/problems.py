@@ -35,10 +35,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entry and exit in the tour of the topmost object, and how many objects lie between."""
+    """How many objects lie between entry and exit in the tour of the topmost object."""
     return hierarchy.tree_of_objects(table(spark, sf_dir, "op_log")).select("doc_id", "object_id", "n_descendants")
 
 
+def p4_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entry and exit in the tour of the topmost object, as ranks from its end, and how many objects lie between.
+
+    Descendants of an object are those of the same ``doc_id`` and ``root_id`` with a lower entry and a higher exit.
+    """
+    return hierarchy.tree_of_objects(table(spark, sf_dir, "op_log")).select("doc_id", "object_id", "root_id", "entry_rank", "exit_rank", "n_descendants")
+
+
 def _found5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.dangling(table(spark, sf_dir, "change_feed"), table(spark, sf_dir, "op_log"), table(spark, sf_dir, "purged_changes"))
 
@@ -51,7 +59,7 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.report(_found5(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_kept_per_day, p3_found, p4_found, p4_intervals, p5_found, p5_report)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_kept_per_day, p3_found, p4_found, p4_intervals, p4_tour, p5_found, p5_report)}
 
 
 def _bare(c: str) -> str:

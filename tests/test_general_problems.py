@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from mergeloom import problems
 from mergeloom.operators import changes_applied, hierarchy, redelivery, references
 
 H = {c: c * 64 for c in "abcdef"}
@@ -190,3 +191,15 @@ def test_dangling_references(spark):
     assert {r["n_refs"] for r in references.report(everything).filter(F.col("src_table") == "op_log").collect()} == {1}
     assert references.dangling(feed(spark, []), ops(spark, []), purged).count() == 0
     assert references.dangling_deps(f, purged.limit(0)).count() == 3
+
+
+def test_descendants_are_read_from_the_tour(spark, tmp_path):
+    edges = forest(60, 2)
+    rows = [(int(v.split("@")[0]), "AA", "makeMap", p and (int(p.split("@")[0]), "aA"), k, None) for v, (p, k) in edges.items()]
+    ops(spark, rows).write.parquet(f"{tmp_path}/op_log.parquet")
+    got = {r["object_id"]: r for r in problems.QUERIES["p4_tour"](spark, str(tmp_path)).collect()}
+    placed = {v: r for v, r in got.items() if r["root_id"]}
+    assert set(got) == set(edges) and len(placed) > 20
+    for v, r in placed.items():
+        below = {w for w, x in placed.items() if x["root_id"] == r["root_id"] and x["entry_rank"] < r["entry_rank"] and x["exit_rank"] > r["exit_rank"]}
+        assert below == {w for w in placed if w != v and v in chain(edges, w)} and len(below) == r["n_descendants"]
