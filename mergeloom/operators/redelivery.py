@@ -23,16 +23,17 @@ BITS_PER_KEY = 24  # a filter must stay quiet although all buckets are asked
 PROBES = 8
 
 
-def deliveries(feed: DataFrame) -> DataFrame:
-    """``delivery_id, received_at, doc_id, actor, seq, hash`` with keys in their bare form."""
-    return feed.select("delivery_id", "received_at", "doc_id", bare_key(F.col("actor")).alias("actor"), "seq", clean_hash(F.col("hash")).alias("hash"))
+def deliveries(feed: DataFrame, *more: str) -> DataFrame:
+    """``delivery_id, received_at, doc_id, actor, seq, hash`` with keys in their bare form, and the columns ``more`` as they are."""
+    return feed.select("delivery_id", "received_at", "doc_id", bare_key(F.col("actor")).alias("actor"), "seq", clean_hash(F.col("hash")).alias("hash"), *more)
 
 
-def with_change_hash(d: DataFrame) -> DataFrame:
-    """Give a delivery without a hash the one that another delivery of the same document, actor and sequence number has.
+def change_hashes(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Deliveries that carry a hash, which no join touches, and the few that do not, with the hash another gives.
 
-    If several hashes claim the number, the one delivered first (then the smaller
-    delivery id) counts. Deliveries that nothing names keep a null hash. Adds ``slot``, the digest of the three.
+    A delivery without a hash gets the one that another delivery of the same document, actor and sequence number has. If several
+    hashes claim the number, the one delivered first (then the smaller delivery id) counts. Deliveries that nothing
+    names keep a null hash. Adds ``slot``, the digest of the three.
     """
     d = d.withColumn("slot", digest(F.col("doc_id"), F.col("actor"), F.col("seq")))
     named, bare = d.filter("hash is not null"), d.filter("hash is null")
@@ -40,7 +41,13 @@ def with_change_hash(d: DataFrame) -> DataFrame:
     first = F.struct(F.col("received_at").isNull(), "received_at", "delivery_id")
     donor = named.join(wanted, "slot", "left_semi").groupBy("slot").agg(F.min_by("hash", first).alias("given"))
     filled = bare.join(donor, "slot", "left").withColumn("hash", F.col("given")).drop("given")
-    return named.unionByName(filled.select(named.columns))
+    return named, filled.select(named.columns)
+
+
+def with_change_hash(d: DataFrame) -> DataFrame:
+    """All deliveries with the hash of their change, as ``change_hashes`` finds it."""
+    named, filled = change_hashes(d)
+    return named.unionByName(filled)
 
 
 def _screen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
