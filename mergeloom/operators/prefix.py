@@ -1,4 +1,4 @@
-"""Running totals and numbering within keys that may hold any share of the rows."""
+"""Running totals, numbering and look-ups within keys that may hold any share of the rows."""
 
 from __future__ import annotations
 
@@ -20,3 +20,18 @@ def running_total(rows: DataFrame, by: list[str], value: str, bucket: Column, or
     sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_start")
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     return cut.join(sums, on).withColumn(name, F.col("_start") + F.coalesce(inside, F.lit(0))).drop("_start", *[f"_k{i}" for i in range(len(keys))], "_b")
+
+
+MANY = 1024  # keys that may each hold more than a share of 1 / MANY of the rows: fewer than that, so they can be broadcast
+
+
+def looked_up(rows: DataFrame, found: DataFrame, by: list[str], n_rows: int, n: str = "n") -> DataFrame:
+    """``rows`` joined with ``found``, which has one row per key ``by`` and in ``n`` how many of the ``n_rows`` rows have it.
+
+    Keys with more than a share of 1 / MANY are fewer than MANY, whatever the data, and are broadcast, so their rows stay
+    where they are; only the rest is shuffled. ``found`` should be a written table. ``n`` is dropped.
+    """
+    hot = found.filter(F.col(n) > F.lit(n_rows / MANY))
+    cold = found.filter(F.col(n) <= F.lit(n_rows / MANY)).drop(n)
+    there = rows.join(F.broadcast(hot.select(*by)), by, "left_anti").join(cold, by)
+    return rows.join(F.broadcast(hot.drop(n)), by).unionByName(there)

@@ -22,6 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="mergeloom-")
@@ -29,20 +32,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Workspace:
-    """Tables of one run. ``drop`` removes one early; the rest go when Python ends."""
+    """Tables of one run. ``drop`` removes one early; leaving ``with`` removes all, and what is left then goes when Python ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self._clear)
 
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._clear()
+
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def put(self, df: DataFrame, table: str, **options) -> DataFrame:
-        """Write ``df`` and return what reads it back, with the same schema."""
+    def put(self, df: DataFrame, table: str, by: tuple[str, ...] = ()) -> DataFrame:
+        """Write ``df`` and return what reads it back, with the same schema; a folder for each value of ``by``, so that readers skip the others."""
         schema = df.schema
-        df.write.mode("overwrite").options(**{"compression": "zstd", **options}).parquet(self.path(table))
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(self.path(table))
         return self.spark.read.schema(schema).parquet(self.path(table))
 
     def append(self, df: DataFrame, table: str) -> DataFrame:

@@ -61,6 +61,35 @@ def test_redelivery_empty_and_one_hot_change(spark):
     assert gone(feed(spark, hot)) == list(range(1, 900))
 
 
+def test_redelivery_shards_and_filters_beyond_the_limit(spark):
+    rnd = random.Random(3)
+    rows = [(i, rnd.randrange(40), "d", "aa", i, None, f"{rnd.randrange(500):064x}" if i % 7 else None) for i in range(1200)]
+    df = feed(spark, rows)
+    first = {}
+    for i, t, _, _, s, _, h in rows:
+        k = h or s
+        first[k] = min(first.get(k, (t, i)), (t, i))
+    want = sorted(i for i, t, _, _, s, _, h in rows if first[h or s] != (t, i))
+    for kw in ({}, {"shard_keys": 90}, {"filter_mb": 0}, {"shard_keys": 90, "filter_mb": 0}):
+        assert sorted(r[0] for r in redelivery.repeats(df, **kw).select("delivery_id").collect()) == want
+        assert redelivery.deduplicated(df, **kw).count() == len(first)
+
+
+def test_deduplicated_rows_without_or_with_the_same_id(spark):
+    rows = [(None, 1, "d", "aa", 1, None, H["a"]), (None, 2, "d", "aa", 1, None, H["a"]), (5, 3, "d", "bb", 1, None, H["b"]), (5, 3, "d", "bb", 1, None, H["b"])]
+    got = redelivery.deduplicated(feed(spark, rows))
+    assert got.columns == feed(spark, rows).columns
+    assert sorted((r["hash"], r["received_at"]) for r in got.collect()) == [(H["a"], at(1)), (H["b"], at(3))]
+    assert redelivery.deduplicated(feed(spark, [])).count() == 0
+
+
+def test_screen_passes_what_is_new(spark):
+    rows = [(i, i % 300, "d", "aa", i, None, f"{i:064x}") for i in range(3000)] + [(5000 + i, 310, "d", "aa", i, None, f"{i:064x}") for i in range(50)]
+    asked = redelivery.Screen(feed(spark, rows), redelivery.Workspace(spark, "screen")).rows_asked()
+    n = asked.filter("maybe").count()
+    assert 100 <= n < 130  # both deliveries of 50 changes, and few more
+
+
 def values(spark, rows, **kw):
     return {(r["obj"], r["key"]): r["op_id"] for r in changes_applied.present_values(ops(spark, rows), **kw).collect()}
 
@@ -94,6 +123,17 @@ def test_present_values(spark):
     assert values(spark, []) == {}
 
 
+def test_present_values_of_one_hot_key_and_null_documents(spark):
+    hot = [(k, "aa", "set", None, "hot", [(k - 1, "aa")] if k > 1 else None) for k in range(1, 1500)]
+    counter = [(2000, "bb", "set", None, "n", None, "counter")] + [(2001 + k, "bb", "inc", None, "n", [(2000, "bb")]) for k in range(700)]
+    cold = [(3000 + k, "cc", "set", None, f"c{k}", None) for k in range(50)]
+    got = values(spark, [*hot, *counter, *cold])
+    assert got == {("_root", "hot"): "1499@aa", ("_root", "n"): "2000@bb"} | {("_root", f"c{k}"): f"{3000 + k}@cc" for k in range(50)}
+    rows = [(1, "aa", "set", None, "x", None, "str", None), (2, "aa", "set", None, "x", [(1, "aa")], "str", None), (1, "bb", "set", None, "x", None, "str", ""), (3, "aa", "set", None, "x", None)]
+    found = changes_applied.present_values(ops(spark, rows)).collect()
+    assert {(r["doc_id"], r["op_id"]) for r in found} == {(None, "2@aa"), ("", "1@bb"), ("d", "3@aa")}
+
+
 def brute_tree(edges):
     """edges: id -> (parent or None, label)."""
     out = {}
