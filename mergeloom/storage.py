@@ -54,9 +54,9 @@ class Workspace:
         df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(self.path(table))
         return self.spark.read.schema(schema).parquet(self.path(table))
 
-    def append(self, df: DataFrame, table: str) -> DataFrame:
+    def append(self, df: DataFrame, table: str, by: tuple[str, ...] = ()) -> DataFrame:
         schema = df.schema
-        df.write.mode("append").option("compression", "zstd").parquet(self.path(table))
+        df.write.mode("append").option("compression", "zstd").partitionBy(*by).parquet(self.path(table))
         return self.spark.read.schema(schema).parquet(self.path(table))
 
     def drop(self, *tables: str) -> None:
