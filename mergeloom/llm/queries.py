@@ -35,6 +35,11 @@ def p2_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _seen(spark, sf_dir).audit()
 
 
+def p2_audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the audit is the same for any filters: keys sealed and asked, and those that are there, none of which may be denied."""
+    return _seen(spark, sf_dir).audit().select("origin", "gen", "n_keys", "n_asked", "n_true", "n_missed")
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_sizes(spark, sf_dir, ["doc_id"]), _table(spark, sf_dir, "pack_capacity"))
 
@@ -64,11 +69,23 @@ def p8_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("spam").alias("n_spam"), F.round(F.avg("spam_share"), 4).alias("mean_share"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_audit, p6_packed, p6_report, p7_mixture, p7_shares, p8_found, p8_by_source)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_audit, p2_audit_counts, p6_packed, p6_report, p7_mixture, p7_shares, p8_found, p8_by_source)}
 
 _HASH = r"regexp_extract(regexp_replace(regexp_replace(lower(hash), '\s', '', 'g'), '^(.*:)?(0x)?', ''), '^[0-9a-f]{64}$')"
 
+
+
+def _gen(id_: str, table: str) -> str:
+    return f"CAST(least(7, coalesce(floor((CAST({id_} AS DOUBLE) - (SELECT CAST(min({id_}) AS DOUBLE) FROM {table})) / ((SELECT CAST(max({id_}) AS DOUBLE) - CAST(min({id_}) AS DOUBLE) + 1 FROM {table})) * 8), 7)) AS INTEGER)"
+
+
 ORACLE: dict[str, str] = {
+    "p2_audit_counts": f"""WITH h AS (SELECT DISTINCT {_HASH} AS k, {_gen("message_id", "sync_have")} AS gen FROM sync_have), f AS (SELECT DISTINCT {_HASH} AS k, {_gen("offer_id", "sync_offers")} AS gen FROM sync_offers),
+b AS (SELECT 'have' AS origin, gen, k FROM h WHERE k <> '' UNION ALL SELECT 'offer', gen, k FROM f WHERE k <> ''),
+n AS (SELECT origin, gen, count(*) AS n_keys FROM b GROUP BY ALL),
+a AS (SELECT n.origin, n.gen, count(*) AS n_asked FROM n JOIN f ON k <> '' AND (origin = 'have' OR f.gen > n.gen) GROUP BY ALL),
+t AS (SELECT b.origin, b.gen, count(*) AS n_true FROM b JOIN f ON f.k = b.k AND (origin = 'have' OR f.gen > b.gen) GROUP BY ALL)
+SELECT origin, gen, n_keys, coalesce(n_asked, 0) AS n_asked, coalesce(n_true, 0) AS n_true, CAST(0 AS BIGINT) AS n_missed FROM n LEFT JOIN a USING (origin, gen) LEFT JOIN t USING (origin, gen)""",
     "p2_found": f"""WITH h AS (SELECT DISTINCT {_HASH} AS k FROM sync_have), o AS (SELECT offer_id, {_HASH} AS k FROM sync_offers),
 f AS (SELECT k, min(offer_id) AS first_id FROM o GROUP BY k)
 SELECT offer_id FROM o JOIN f USING (k) WHERE k <> '' AND (offer_id > first_id OR k IN (SELECT k FROM h))""",

@@ -7,25 +7,30 @@ fingerprint. The equations are solved, and only the solution is kept: ``FINGERPR
 bits for about each key, instead of the keys. A key of the batch reproduces its
 fingerprint from the solution; any other does so once in 2 ** FINGERPRINT times. How
 often is measured with keys that certainly are in no batch.
+
+The keys of a filter are divided into lanes with a system each. The systems are solved
+side by side, a step of all lanes at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import clean_hash
+from ..operators.prefix import looked_up
 from ..storage import Workspace
 
-FINGERPRINT = 12
+FINGERPRINT = 24
 BAND = 64
+LANE_KEYS = 800  # each lane has 64 places more than it needs, so it must not be too small
+LANES = 128
 GENERATIONS = 8
-SHARD_KEYS = 12_500
+SHARD_KEYS = 100_000
 _M64 = (1 << 64) - 1
+_BYTES = FINGERPRINT // 8
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -36,58 +41,92 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def equations(a: np.ndarray, b: np.ndarray, seed: int, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, coefficients (the lowest is 1) and fingerprint of each key, given as two 64-bit hashes."""
-    start = ((_mix(a, seed) >> np.uint64(32)) * np.uint64(slots - BAND + 1)) >> np.uint64(32)
-    return start.astype(np.int64), _mix(b, seed + 1) | np.uint64(1), (_mix(a ^ b, seed + 2) & np.uint64((1 << FINGERPRINT) - 1)).astype(np.int64)
-
-
-def _solve(start: np.ndarray, coeff: np.ndarray, right: np.ndarray, slots: int) -> np.ndarray | None:
-    """Solution of the banded system, one fingerprint per slot, or None if it has none."""
-    rows, values = [0] * slots, [0] * slots
-    order = np.argsort(start, kind="stable")
-    for s, c, v in zip(start[order].tolist(), coeff[order].tolist(), right[order].tolist(), strict=True):
-        while (r := rows[s]) != 0:
-            c ^= r
-            v ^= values[s]
-            if c == 0:
-                break
-            low = (c & -c).bit_length() - 1
-            c >>= low
-            s += low
-        if c:
-            rows[s], values[s] = c, v
-        elif v:
+def _scaled(x: np.ndarray, n: int) -> np.ndarray:
+    """Hashes as whole numbers below ``n``."""
+    return (((x >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
+
+
+def equations(a: np.ndarray, b: np.ndarray, seed: int, lanes: int, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lane, start, coefficients (the lowest is 1) and fingerprint of each key, given as two 64-bit hashes."""
+    right = (_mix(a ^ b, seed + 2) & np.uint64((1 << FINGERPRINT) - 1)).astype(np.uint32)
+    return _scaled(_mix(a + b, 3), lanes), _scaled(_mix(a, seed), slots - BAND + 1), _mix(b, seed + 1) | np.uint64(1), right
+
+
+def _eliminated(lane: np.ndarray, start: np.ndarray, coeff: np.ndarray, right: np.ndarray, lanes: int, slots: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Coefficients and right sides by lane and slot, each row beginning at its slot; None if two equations contradict each other."""
+    order = np.lexsort((start, lane))
+    start, coeff, right = start[order], coeff[order], right[order]
+    at = np.searchsorted(lane[order], np.arange(lanes))
+    end = np.r_[at[1:], len(order)]
+    rows, values = np.zeros(lanes * slots, np.uint64), np.zeros(lanes * slots, np.uint32)
+    live = np.flatnonzero(at < end)  # lanes with equations left
+    s, c, v = live * slots + start[at[live]], coeff[at[live]], right[at[live]]
+    while len(live):
+        held = rows[s]
+        free = held == 0
+        rows[s[free]], values[s[free]] = c[free], v[free]
+        v = np.where(free, v, v ^ values[s])
+        c = np.where(free, np.uint64(0), c ^ held)
+        gone = c == 0
+        if (v[gone & ~free] != 0).any():
             return None
-    solution = np.zeros(slots + BAND, np.uint16)
-    columns = [0] * FINGERPRINT  # of each bit, the 64 solved slots that follow
+        shift = np.bitwise_count((c & (~c + np.uint64(1))) - np.uint64(1))
+        shift[gone] = 0
+        c, s = c >> shift.astype(np.uint64), s + shift
+        done = np.flatnonzero(gone)  # these lanes go on to their next equation
+        at[live[done]] += 1
+        more = at[live[done]] < end[live[done]]
+        nxt, into = at[live[done[more]]], done[more]
+        s[into], c[into], v[into] = live[into] * slots + start[nxt], coeff[nxt], right[nxt]
+        if not more.all():
+            keep = np.ones(len(live), bool)
+            keep[done[~more]] = False
+            live, s, c, v = live[keep], s[keep], c[keep], v[keep]
+    return rows.reshape(lanes, slots), values.reshape(lanes, slots)
+
+
+def _substituted(rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The solution of every lane, from the last slot to the first, all bits of a fingerprint at once."""
+    lanes, slots = rows.shape
+    bits = np.arange(FINGERPRINT, dtype=np.uint32)
+    solution = np.zeros((slots, lanes), np.uint32)
+    window = np.zeros((lanes, FINGERPRINT), np.uint64)  # of each bit, the 64 solved slots that follow
+    rows, values = rows.T.copy(), values.T.copy()
     for s in range(slots - 1, -1, -1):
-        r, v, out = rows[s] >> 1, values[s], 0
-        for k in range(FINGERPRINT):
-            bit = ((r & columns[k]).bit_count() & 1) ^ (v >> k & 1) if rows[s] else 0
-            columns[k] = (columns[k] << 1 | bit) & _M64
-            out |= bit << k
-        solution[s] = out
-    return solution[:slots]
+        one = np.bitwise_count((rows[s] >> np.uint64(1))[:, None] & window) ^ (values[s][:, None] >> bits)
+        one = (one & 1) * (rows[s] != 0)[:, None]
+        window = (window << np.uint64(1)) | one.astype(np.uint64)
+        solution[s] = (one.astype(np.uint32) << bits).sum(axis=1, dtype=np.uint32)
+    return solution.T
 
 
-def build(a: np.ndarray, b: np.ndarray) -> tuple[int, int, bytes]:
-    """Seed, slots and solution for the keys; a system without a solution is tried again with another seed, then more slots."""
+def build(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, bytes]:
+    """Seed, lanes, slots of a lane, and solution for the keys; a system without a solution is tried again with another seed and more slots."""
+    lanes = max(1, min(LANES, len(a) // LANE_KEYS))
+    most = int(np.bincount(_scaled(_mix(a + b, 3), lanes)).max())
     for attempt in range(64):
-        slots = BAND + int(len(a) * (1.12 + 0.02 * attempt)) + 8
-        solution = _solve(*equations(a, b, attempt, slots), slots)
-        if solution is not None:
-            return attempt, slots, solution.astype("<u2").tobytes()
+        slots = BAND + int(most * (1.06 + 0.03 * attempt)) + 8
+        got = _eliminated(*equations(a, b, attempt, lanes, slots), lanes, slots)
+        if got is not None:
+            packed = _substituted(*got).astype("<u4").reshape(-1, 1).view(np.uint8)[:, :_BYTES]
+            return attempt, lanes, slots, packed.tobytes()
     raise ValueError("no ribbon system could be solved")
 
 
-def probe(solution: bytes, seed: int, slots: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def unpacked(solution: bytes) -> np.ndarray:
+    wide = np.zeros((len(solution) // _BYTES, 4), np.uint8)
+    wide[:, :_BYTES] = np.frombuffer(solution, np.uint8).reshape(-1, _BYTES)
+    return wide.view("<u4").ravel()
+
+
+def probe(solution: bytes, seed: int, lanes: int, slots: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether each key may be in the filter: never False for a key that is."""
-    z = np.r_[np.frombuffer(solution, "<u2"), np.zeros(BAND, np.uint16)]
-    start, coeff, right = equations(a, b, seed, slots)
-    out = np.zeros(len(a), np.uint16)
+    z = np.r_[unpacked(solution), np.zeros(BAND, np.uint32)]
+    lane, start, coeff, right = equations(a, b, seed, lanes, slots)
+    at = lane * slots + start
+    out = np.zeros(len(a), np.uint32)
     for j in range(BAND):
-        out ^= np.where((coeff >> np.uint64(j)) & np.uint64(1), z[start + j], 0).astype(np.uint16)
+        out ^= z[at + j] * ((coeff >> np.uint64(j)) & np.uint64(1)).astype(np.uint32)
     return out == right
 
 
@@ -95,30 +134,64 @@ def _hashes(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return pdf["a"].to_numpy(np.int64).view(np.uint64), pdf["b"].to_numpy(np.int64).view(np.uint64)
 
 
-_FILTER = "origin string, gen int, shard int, n_keys long, seed int, slots int, solution binary"
+_FILTER = "shard int, n_keys long, seed int, lanes int, slots int, solution binary, origin string, gen int"
 
 
 def _seal(pdf: pd.DataFrame) -> pd.DataFrame:
-    seed, slots, solution = build(*_hashes(pdf))
+    seed, lanes, slots, solution = build(*_hashes(pdf))
     one = pdf.iloc[0]
-    return pd.DataFrame([{"origin": one["origin"], "gen": one["gen"], "shard": one["shard"], "n_keys": len(pdf), "seed": seed, "slots": slots, "solution": solution}])
+    return pd.DataFrame([{"shard": one["shard"], "n_keys": len(pdf), "seed": seed, "lanes": lanes, "slots": slots, "solution": solution, "origin": one["origin"], "gen": one["gen"]}])
 
 
-def _ask(probes: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
-    """Of each probe, the filters that say yes; ``absent`` marks probes for the audit."""
+def _ask(probes: pd.DataFrame, filters: pd.DataFrame, every: bool) -> pd.DataFrame:
+    """Of each probe, the filters that say yes, or only one of them unless ``every``; ``absent`` marks probes for the audit."""
     found = [pd.DataFrame({"key": [], "gen": [], "absent": [], "origin": [], "seen_gen": []})]
     a, b = _hashes(probes) if len(probes) else (None, None)
     gen = probes["gen"].to_numpy() if len(probes) else None
+    open_ = np.ones(len(probes), bool)
     for f in filters.to_dict("records") if len(probes) else ():
-        asked = np.flatnonzero((f["origin"] == "have") | (gen > f["gen"]))
-        yes = asked[probe(f["solution"], f["seed"], f["slots"], a[asked], b[asked])]
+        asked = np.flatnonzero(open_ & ((f["origin"] == "have") | (gen > f["gen"])))
+        yes = asked[probe(f["solution"], f["seed"], f["lanes"], f["slots"], a[asked], b[asked])]
         found.append(probes.iloc[yes][["key", "gen", "absent"]].assign(origin=f["origin"], seen_gen=f["gen"]))
+        if not every:
+            open_[yes] = False
     return pd.concat(found, ignore_index=True)
 
 
-def _generation(c: Column, last: int | None) -> Column:
-    """Batches of equal width; a null id belongs to the last."""
-    return F.coalesce(F.floor(c * GENERATIONS / F.lit((last or 0) + 1)), F.lit(GENERATIONS - 1)).cast("int")
+class Sealed:
+    """Filters of sealed batches, kept in a folder for each batch: a new one is added, none is built again.
+
+    ``origin`` and ``gen`` name a batch. The number of shards is settled when the first is sealed.
+    """
+
+    def __init__(self, work: Workspace, shards: int):
+        self.work, self.shards = work, shards
+        self.filters = work.spark.createDataFrame([], _FILTER)
+
+    def hashed(self, key: Column) -> list[Column]:
+        """Two hashes of a key and its shard."""
+        a, b = F.xxhash64(key), F.xxhash64(key, F.lit(7))
+        return [a.alias("a"), b.alias("b"), F.pmod(F.xxhash64(b), F.lit(self.shards)).cast("int").alias("shard")]
+
+    def seal(self, keys: DataFrame) -> Sealed:
+        """Add the batches of ``keys`` (``origin, gen, key``, each key once a batch)."""
+        hashed = keys.select("origin", "gen", *self.hashed(F.col("key")))
+        built = hashed.groupBy("origin", "gen", "shard").applyInPandas(_seal, _FILTER)
+        self.filters = self.work.append(built, "filters", by=("origin", "gen"))
+        return self
+
+    def ask(self, probes: DataFrame, every: bool = False) -> DataFrame:
+        """``key, gen, absent, origin, seen_gen``: filters that say yes to ``probes`` (``key, gen, absent``); own batches are asked only by later ones."""
+        hashed = probes.select("key", "gen", "absent", *self.hashed(F.col("key")))
+        asked = hashed.groupBy("shard").cogroup(self.filters.groupBy("shard"))
+        return asked.applyInPandas(lambda p, f: _ask(p, f, every), "key binary, gen int, absent boolean, origin string, seen_gen int")
+
+
+def _generation(c: Column, least: int | None, most: int | None) -> Column:
+    """Batches of equal width from the least to the greatest id; a null id belongs to the last."""
+    low, high = float(least or 0), float(most or 0)
+    wide = F.floor((c.cast("double") - F.lit(low)) / F.lit(high - low + 1) * GENERATIONS)
+    return F.least(F.coalesce(wide, F.lit(GENERATIONS - 1)), F.lit(GENERATIONS - 1)).cast("int")
 
 
 class SeenBefore:
@@ -131,66 +204,53 @@ class SeenBefore:
 
     def __init__(self, have: DataFrame, offers: DataFrame, shard_keys: int = SHARD_KEYS):
         self.work = Workspace(offers.sparkSession, "ribbon")
-        last = have.select(F.max("message_id"), F.count(F.lit(1))).first()
-        last_offer = offers.select(F.max("offer_id"), F.count(F.lit(1))).first()
-        self.shards = max(1, -(-(last[1] + last_offer[1]) // (shard_keys * GENERATIONS)))
-        self.have = have.select(F.unhex(clean_hash(F.col("hash"))).alias("key"), _generation(F.col("message_id"), last[0]).alias("gen")).filter("key is not null")
-        self.offers = offers.select("offer_id", F.unhex(clean_hash(F.col("hash"))).alias("key"), _generation(F.col("offer_id"), last_offer[0]).alias("gen")).filter("key is not null and offer_id is not null")
+        low, high, n_have = have.select(F.min("message_id"), F.max("message_id"), F.count(F.lit(1))).first()
+        low_offer, high_offer, self.n_offers = offers.select(F.min("offer_id"), F.max("offer_id"), F.count(F.lit(1))).first()
+        self.have = have.select(F.unhex(clean_hash(F.col("hash"))).alias("key"), _generation(F.col("message_id"), low, high).alias("gen")).filter("key is not null")
+        self.offers = offers.select("offer_id", F.unhex(clean_hash(F.col("hash"))).alias("key"), _generation(F.col("offer_id"), low_offer, high_offer).alias("gen")).filter("key is not null and offer_id is not null")
         # However often a key was offered, it is one row a batch.
-        self.firsts = self.work.put(self.offers.groupBy("key", "gen").agg(F.min("offer_id").alias("first_id")), "firsts")
-        mine = self.firsts.select(F.lit("offer").alias("origin"), "gen", *self._hashed(F.col("key")))
-        theirs = self.have.select(F.lit("have").alias("origin"), "gen", *self._hashed(F.col("key"))).distinct()
-        built = theirs.unionByName(mine).groupBy("origin", "gen", "shard").applyInPandas(_seal, _FILTER)
-        self.filters = self.work.put(built, "filters")
-
-    def _hashed(self, key: Column, *more: Column) -> list[Column]:
-        """Two hashes of a key and its shard."""
-        a, b = F.xxhash64(*more, key), F.xxhash64(key, *more, F.lit(7))
-        return [a.alias("a"), b.alias("b"), F.pmod(F.xxhash64(b), F.lit(self.shards)).cast("int").alias("shard")]
+        self.firsts = self.work.put(self.offers.groupBy("key", "gen").agg(F.min("offer_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "firsts")
+        self.sealed = Sealed(self.work, max(1, -(-(n_have + self.n_offers) // shard_keys)))
+        self.sealed.seal(self._batches())
 
-    def answers(self) -> DataFrame:
-        """``key, gen, absent, origin, seen_gen``: filters that say yes to an offered key, and (``absent``) to one that is in none."""
-        real = self.firsts.select("key", "gen", F.lit(False).alias("absent"), *self._hashed(F.col("key")))
-        # The same bytes behind a mark are 38 bytes long: no key is.
-        absent = self.firsts.select("key", "gen", F.lit(True).alias("absent"), *self._hashed(F.concat(F.encode(F.lit("absent"), "utf-8"), F.col("key"))))
-        probes = real.unionByName(absent).repartition("shard")
-        asked = probes.groupBy("shard").cogroup(self.filters.groupBy("shard"))
-        return asked.applyInPandas(lambda p, f: _ask(p, f), "key binary, gen int, absent boolean, origin string, seen_gen int")
-
-    def verified(self, answers: DataFrame) -> DataFrame:
-        """Each yes to an offered key, with ``right``: whether the batch really has it."""
-        yes = answers.filter("not absent").select("key", "gen", "origin", "seen_gen")
-        asked = yes.select("key", "seen_gen", "origin").distinct()
-        kept = self.have.select("key", F.col("gen").alias("seen_gen"), F.lit("have").alias("origin")).distinct()
-        mine = self.firsts.select("key", F.col("gen").alias("seen_gen"), F.lit("offer").alias("origin"))
-        there = asked.join(kept.unionByName(mine), ["key", "seen_gen", "origin"], "left_semi").withColumn("right", F.lit(True))
-        return yes.join(there, ["key", "seen_gen", "origin"], "left").withColumn("right", F.coalesce("right", F.lit(False)))
+    def _batches(self) -> DataFrame:
+        theirs = self.have.select(F.lit("have").alias("origin"), "gen", "key").distinct()
+        return theirs.unionByName(self.firsts.select(F.lit("offer").alias("origin"), "gen", "key"))
 
     def seen(self) -> DataFrame:
-        """Offers whose key occurred before, exactly: ``offer_id``."""
-        before = self.verified(self.answers()).filter("right").select("key", "gen").distinct().withColumn("before", F.lit(True))
-        state = self.firsts.join(before, ["key", "gen"], "left")
-        # Within its own batch, which was not sealed yet, all but a key's first offer repeat it.
-        hit = self.offers.join(state, ["key", "gen"]).filter("before or offer_id > first_id")
-        return hit.select("offer_id")
+        """Offers whose key occurred before: ``offer_id``.
+
+        The filters decide. No offer that was seen is left out; one that was not is in the result with a chance of 2 ** -FINGERPRINT for
+        each batch asked, the rate that ``audit`` measures. Within its own batch, which was not sealed yet, all but a key's first offer repeat it.
+        """
+        yes = self.sealed.ask(self.firsts.select("key", "gen", F.lit(False).alias("absent")))
+        before = yes.select("key", "gen").distinct().withColumn("before", F.lit(True))
+        state = self.work.put(self.firsts.join(before, ["key", "gen"], "left").filter("before or n > 1"), "state")
+        return looked_up(self.offers, state, ["key", "gen"], self.n_offers).filter("before or offer_id > first_id").select("offer_id")
+
+    def answers(self) -> DataFrame:
+        """All answers of all filters to offered keys, and to as many (``absent``) that are in none: the same bytes behind a mark are longer than any key."""
+        real = self.firsts.select("key", "gen", F.lit(False).alias("absent"))
+        absent = self.firsts.select(F.concat(F.encode(F.lit("absent"), "utf-8"), F.col("key")).alias("key"), "gen", F.lit(True).alias("absent"))
+        return self.sealed.ask(real.unionByName(absent), every=True)
 
     def audit(self) -> DataFrame:
         """Rates of wrong answers per origin and sealed batch.
 
         ``n_keys`` in the batch's filters and their ``bits_per_key``; ``n_asked`` absent keys
-        and ``n_false`` of them said to be there, ``false_rate``; ``n_yes`` answers to offered keys of which ``n_wrong``
-        were wrong; ``n_missed`` offered keys that are in the batch and were denied (always 0).
+        and ``n_false`` of them said to be there, ``false_rate``; ``n_true`` offered keys that really are in the batch, of which ``n_missed``
+        were denied (always 0), and ``n_wrong`` that are not and were said to be. Positive answers are verified by whole keys.
         """
         answers = self.work.put(self.answers(), "answers")
-        checked = self.verified(answers).groupBy("origin", F.col("seen_gen").alias("gen")).agg(F.count(F.lit(1)).alias("n_yes"), F.count_if(~F.col("right")).alias("n_wrong"))
-        false = answers.filter("absent").groupBy("origin", F.col("seen_gen").alias("gen")).agg(F.count(F.lit(1)).alias("n_false"))
-        per = self.firsts.groupBy("gen").agg(F.count(F.lit(1)).alias("n")).select("gen", "n")
-        of = self.filters.groupBy("origin", "gen").agg(F.sum("n_keys").alias("n_keys"), F.round(F.sum(F.col("slots") * FINGERPRINT) / F.sum("n_keys"), 2).alias("bits_per_key"))
-        asked = of.join(per.withColumnRenamed("gen", "g"), (F.col("origin") == "have") | (F.col("g") > F.col("gen"))).groupBy("origin", "gen").agg(F.sum("n").alias("n_asked"))
-        kept = self.have.select("key", F.col("gen").alias("seen_gen"), F.lit("have").alias("origin")).distinct().unionByName(self.firsts.select("key", F.col("gen").alias("seen_gen"), F.lit("offer").alias("origin")))
-        really = self.firsts.select("key", "gen").join(kept, "key").filter("origin = 'have' or gen > seen_gen")
-        told = answers.filter("not absent").select("key", "gen", "origin", "seen_gen")
-        missed = really.join(told, ["key", "gen", "origin", "seen_gen"], "left_anti").groupBy("origin", F.col("seen_gen").alias("gen")).agg(F.count(F.lit(1)).alias("n_missed"))
         on = ["origin", "gen"]
-        out = of.join(asked, on, "left").join(false, on, "left").join(checked, on, "left").join(missed, on, "left").fillna(0)
-        return out.withColumn("false_rate", F.when(F.col("n_asked") > 0, F.col("n_false") / F.col("n_asked"))).select("origin", "gen", "n_keys", "bits_per_key", "n_asked", "n_false", "false_rate", "n_yes", "n_wrong", "n_missed")
+        kept = self._batches().withColumnRenamed("gen", "seen_gen")
+        told = answers.filter("not absent").select("key", "gen", "origin", "seen_gen", F.lit(True).alias("told"))
+        really = self.firsts.select("key", "gen").join(kept, "key").filter("origin = 'have' or gen > seen_gen").withColumn("real", F.lit(True))
+        both = really.join(told, ["key", "gen", "origin", "seen_gen"], "full").groupBy("origin", F.col("seen_gen").alias("gen"))
+        checked = both.agg(F.count("real").alias("n_true"), F.count_if(F.col("told").isNull()).alias("n_missed"), F.count_if(F.col("real").isNull()).alias("n_wrong"))
+        false = answers.filter("absent").groupBy("origin", F.col("seen_gen").alias("gen")).agg(F.count(F.lit(1)).alias("n_false"))
+        of = self.sealed.filters.groupBy(*on).agg(F.sum("n_keys").alias("n_keys"), F.round(F.sum(F.octet_length("solution")) * 8 / F.sum("n_keys"), 2).alias("bits_per_key"))
+        per = self.firsts.groupBy(F.col("gen").alias("g")).agg(F.count(F.lit(1)).alias("n"))
+        asked = of.join(per, (F.col("origin") == "have") | (F.col("g") > F.col("gen"))).groupBy(*on).agg(F.sum("n").alias("n_asked"))
+        out = of.join(asked, on, "left").join(false, on, "left").join(checked, on, "left").fillna(0)
+        return out.withColumn("false_rate", F.when(F.col("n_asked") > 0, F.col("n_false") / F.col("n_asked"))).select("origin", "gen", "n_keys", "bits_per_key", "n_asked", "n_false", "false_rate", "n_true", "n_missed", "n_wrong")
