@@ -28,7 +28,7 @@ BAND = 64
 LANE_KEYS = 800  # each lane has 64 places more than it needs, so it must not be too small
 LANES = 128
 GENERATIONS = 8
-SHARD_KEYS = 100_000
+SHARD_KEYS = 100_000  # of a batch, if batches are alike; a batch that has all keys has GENERATIONS times as many in a shard
 _M64 = (1 << 64) - 1
 _BYTES = FINGERPRINT // 8
 
@@ -210,7 +210,7 @@ class SeenBefore:
         self.offers = offers.select("offer_id", F.unhex(clean_hash(F.col("hash"))).alias("key"), _generation(F.col("offer_id"), low_offer, high_offer).alias("gen")).filter("key is not null and offer_id is not null")
         # However often a key was offered, it is one row a batch.
         self.firsts = self.work.put(self.offers.groupBy("key", "gen").agg(F.min("offer_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "firsts")
-        self.sealed = Sealed(self.work, max(1, -(-(n_have + self.n_offers) // shard_keys)))
+        self.sealed = Sealed(self.work, max(1, -(-(n_have + self.n_offers) // (shard_keys * GENERATIONS))))
         self.sealed.seal(self._batches())
 
     def _batches(self) -> DataFrame:
