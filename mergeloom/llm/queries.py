@@ -59,13 +59,13 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stuffing.stuffed(_table(spark, sf_dir, "documents")).filter("spam").select("doc_id")
+    return stuffing.stuffed(_table(spark, sf_dir, "documents"), language="lang").filter("spam").select("doc_id")
 
 
 def p8_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spam documents, and their characters, per source."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", mixing.source_name(F.col("source")).alias("source"))
-    found = stuffing.stuffed(docs, ["doc_id", "source"])
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", mixing.source_name(F.col("source")).alias("source"))
+    found = stuffing.stuffed(docs, ["doc_id", "source"], language="lang")
     return found.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("spam").alias("n_spam"), F.round(F.avg("spam_share"), 4).alias("mean_share"))
 
 

@@ -1,32 +1,34 @@
 """Keyword-stuffed texts and link lists among subtitles.
 
-What a reader is shown is cut into segments. Windows over the sequence of terms tell
-stuffing from speech by its regularity: terms that recur at even gaps, agreement of the
-sequence with itself at short lags, or lists of ever new nouns without function words,
-links and product tags. All texts that these windows settle teach how much each term
-belongs to one or the other; with those weights every segment of every
-text is judged, and windows settle the segments of which the weights know little.
-A text is spam if more than half of its characters are.
+What a reader is shown is cut into segments, whose terms are one sequence; a segment that comes again
+is in it once, for choruses and repeated speech are not stuffing. Stuffing is told by its regularity
+in that sequence: by the gaps at which a term recurs (even, or short), which is where the sequence agrees with
+itself at a lag of the window; by links and product tags; and by lists of ever new nouns without function words.
+What function words are is learned from the speech of all texts, by language, beside a short list to
+begin with. Each segment is judged by these windows alone. A text is spam if more than half of its characters are.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
-from collections import Counter
+import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
 
-WINDOW = 32
-LAGS = 12
-MIN_COUNT = 4
+LAGS = 12  # of the window in which a term's return is close
+EVEN = 64  # greatest usual gap of a term that recurs evenly
+LIST_TERMS = 8  # without function words in a row, from which they are a list
+ITEM_TERMS = 4  # of an item of such a list, on the mean at most
+COMMON = 0.05  # share of a language's texts in whose speech a function word is
+LEAST_TEXTS = 50  # of a language, and a thousandth of all, from which its words are learned
 
 #: Frequent function words of English, German, French, Spanish and Polish.
 FUNCTION_WORDS = """
@@ -47,8 +49,12 @@ _TERM = re.compile(
 _TIME = re.compile(r"^\W*\d{1,2}[:.]\d\d\S*\s*\W{0,6}\s*\d{1,2}[:.]\d\d\S*|^\{\d+\}\{\d+\}|^\[\d+\]\[\d+\]|^\d{1,2}:\d\d\S*\s*$")
 _LAYOUT = re.compile(r"\{[^}]{0,40}\}|</?[ibu]\b[^>]{0,20}>|</?(?:font|c|v)\b[^>]{0,60}>", re.I)
 _SOUND = re.compile(r"^[\s\-–>]*(?:\[(?!url)[^\]]*\](?!\()|\([^)]*\)|[♪♫].*|.*[♪♫])[\s.!]*$", re.I)
+_MARKUP = re.compile(r"<a\b[^<>]{0,20}?href\s*=\s*|</a\s*>|\[/?url\b=?", re.I)
+_ASIDE = re.compile(r"\[(?!/?url)[^\][]{0,80}\](?!\()|\([^()]{0,80}\)")
+_MISREAD = re.compile("[ÃÅâ]")
 _CUT = re.compile(r"(?<=[.!?…])\s+|\s*\|\s*")
 _MARKED = re.compile(r"[\d#/;*•=\[_-]|\.\w|www|\bdot\b", re.I)
+_ITEM = re.compile(r"[,;/|•*=>]|\s[-–]\s")
 _WORD = re.compile(r"[^\W\d_]+(?:'\w+)*")
 _LONG = 12  # terms from which a segment is cut after each of its links
 _FOLD = str.maketrans("l1035’", "iioes'")
@@ -62,17 +68,21 @@ def _fold(word: str) -> str:
 _FUNCTION = frozenset(_fold(w) for w in FUNCTION_WORDS.split())
 
 
+def _reread(text: str) -> str:
+    """UTF-8 that was read as a one-byte encoding read rightly, if that works."""
+    for enc in ("cp1252", "latin-1"):
+        try:
+            return text.encode(enc).decode("utf-8")
+        except UnicodeError:
+            continue
+    return text
+
+
 def repaired(text: str) -> str:
-    """Without entities, and with UTF-8 that was read as a one-byte encoding read rightly, if that works."""
+    """Without entities, and reread as a whole where that works; else its lines are, one by one."""
     if "&" in text:
         text = html.unescape(html.unescape(text))
-    if "Ã" in text or "Å" in text:
-        for enc in ("cp1252", "latin-1"):
-            try:
-                return text.encode(enc).decode("utf-8")
-            except UnicodeError:
-                continue
-    return text
+    return _reread(text) if _MISREAD.search(text) else text
 
 
 def shown_lines(text: str) -> Iterator[str]:
@@ -109,76 +119,141 @@ def terms(segment: str) -> list[str]:
     return out
 
 
-def segments(line: str) -> list[tuple[int, list[str] | None]]:
-    """Characters and terms of each sentence of a line; sounds and songs have None.
+def segments(line: str) -> list[tuple[int, list[str] | None, int]]:
+    """Characters, terms and items of each sentence of a line; sounds and songs have None for terms. List marks divide items.
 
-    A long one with links is cut after each link: speech and lists may share a line.
+    Markup of links is not shown: its characters count to the link. A long sentence with links is cut after each: speech and lists may share a line.
     """
+    if _MISREAD.search(line):
+        line = _reread(line)
     if line[0] in "[(♪♫-–> " or line[-1] in "♪♫":
         if _SOUND.match(line):
-            return [(len(line), None)]
-    out: list[tuple[int, list[str] | None]] = []
+            return [(len(line), None, 0)]
+    out: list[tuple[int, list[str] | None, int]] = []
+    more = 0
+    if "<" in line or "[" in line or "(" in line:
+        bare = _MARKUP.sub(" ", line)
+        more = len(line) - len(bare)
+        line = bare
+        if "http" not in line and "www" not in line and ("[" in line or "(" in line):
+            bare = _ASIDE.sub(" ", line)
+            if len(bare) < len(line):
+                out.append((len(line) - len(bare), None, 0))
+                line = bare
     for s in _CUT.split(line):
-        if s:
+        if s.strip():
             ts = terms(s)
             if len(ts) > _LONG and ts.count("<url>") > 1:
                 at = 0
                 for m in [x for x in _TERM.finditer(s) if x.lastgroup == "url"]:
-                    out.append((m.end() - at, terms(s[at : m.end()])))
+                    out.append((m.end() - at, terms(s[at : m.end()]), 1))
                     at = m.end()
                 ts, s = terms(s[at:]), s[at:]
             if s.strip():
-                out.append((len(s), ts))
+                out.append((len(s) + more, ts, 1 + len(_ITEM.findall(s))))
+                more = 0
     return out
 
 
-def windows(sequence: list[str]) -> np.ndarray:
-    """Of every window of the sequence, whether it is stuffed: few function words, and regular, list-like or full of links and tags."""
+def recurrent(sequence: list[str]) -> np.ndarray:
+    """Of each position of the sequence, whether its term comes again in the window of lags, or recurs at even gaps.
+
+    Gaps are even if at least half of them are within a quarter of their median, which is not above EVEN.
+    """
     n = len(sequence)
-    if n < 4:
-        return np.zeros(max(1, -(-n // WINDOW)), bool)
     code: dict[str, int] = {}
     ids = np.fromiter((code.setdefault(t, len(code)) for t in sequence), np.int64, n)
-    starts = np.arange(0, n, WINDOW)
-    size = np.diff(np.r_[starts, n])
-    rate = lambda flags: np.add.reduceat(flags.astype(np.int64), starts) / size
-    speech = rate(np.fromiter((t in _FUNCTION or t.split("'")[0] in _FUNCTION for t in code), bool, len(code))[ids])
-    marks = rate(np.fromiter((t[0] == "<" and t not in ("<num>", "<sep>") for t in code), bool, len(code))[ids])
-    same = np.zeros((min(LAGS, n - 1), n), np.int32)
-    for lag in range(1, len(same) + 1):  # how often the sequence repeats itself a few terms later
-        same[lag - 1, :-lag] = ids[lag:] == ids[:-lag]
-    agree = np.add.reduceat(same, starts, axis=1).max(axis=0) / size
-    # Evenness of the gaps at which a term comes again: their deviation against their mean.
     order = np.argsort(ids, kind="stable")
-    gap = np.diff(order)
-    inside = np.diff(ids[order]) == 0
-    term = ids[order][1:][inside]
-    gaps = gap[inside].astype(float)
+    sorted_ids = ids[order]
+    same = sorted_ids[1:] == sorted_ids[:-1]
+    gap, term = np.diff(order)[same], sorted_ids[1:][same]
+    close = np.zeros(n, bool)
+    near = gap <= LAGS  # the sequence agrees with itself at this lag, at both ends of the gap
+    close[order[1:][same][near]] = close[order[:-1][same][near]] = True
     count = np.bincount(term, minlength=len(code))
-    mean = np.bincount(term, gaps, minlength=len(code)) / np.maximum(count, 1)
-    spread = np.sqrt(np.maximum(np.bincount(term, gaps**2, minlength=len(code)) / np.maximum(count, 1) - mean**2, 0)) / np.maximum(mean, 1)
-    even = rate(((count >= 3) & (spread < 0.8))[ids])
-    listed = (speech < 0.04) & (size >= 6)
-    return (speech < 0.1) & ((marks >= 0.2) | (agree >= 0.2) | (even >= 0.3) | listed)
-
-
-def in_windows(cut: list[list[str] | None]) -> tuple[np.ndarray, float]:
-    """Of every segment, the share of its terms that are in stuffed windows, sounds and songs having none; and the share of windows that are."""
-    n = np.array([len(ts) if ts else 0 for ts in cut])
-    found = windows([t for ts in cut for t in ts or ()])
-    of_term = np.repeat(found, WINDOW)[: n.sum()]
-    upto = np.r_[0, np.cumsum(of_term)]
+    by_size = gap[np.lexsort((gap, term))]
+    start = np.cumsum(count) - count
+    median = np.zeros(len(code), np.int64)
+    has = count > 0
+    median[has] = by_size[(start + (count - 1) // 2)[has]]
+    alike = np.bincount(term, np.abs(gap - median[term]) <= np.maximum(1, median[term] // 4), minlength=len(code))
+    even = (count >= 2) & (alike >= 0.5 * count) & (median <= EVEN)
+    return close | even[ids]
+
+
+class Words:
+    """Function words, and the scripts in which any are known."""
+
+    def __init__(self, words: frozenset[str]):
+        self.words = words
+        self.scripts = {_script(w[0]) for w in words}
+        self.known: dict[str, int] = {}
+
+    def kind(self, term: str) -> int:
+        """1 for a function word, 2 for a link or product tag, 3 for numbers and list marks, 4 for a word of a script without function words, else 0."""
+        got = self.known.get(term)
+        if got is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            if term[0] == "<":
+                got = 3 if term in ("<num>", "<sep>") else 2
+            elif term in self.words or term.split("'")[0] in self.words:
+                got = 1
+            else:
+                got = 4 if term[0] > "\u024f" and _script(term[0]) not in self.scripts else 0
+            self.known[term] = got
+        return got
+
+
+def _script(c: str) -> str:
+    return unicodedata.name(c, "?").split(" ")[0]
+
+
+def windows(n: np.ndarray, items: np.ndarray, kinds: np.ndarray, again: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each segment, whether it is stuffed, and the share of function words in it.
+
+    ``n`` and ``items`` have the number of terms and of items of each distinct segment, ``kinds`` and ``again`` have the kind and recurrence of each term, and ``which`` the distinct segment that each is (-1: sounds and songs).
+    """
     end = np.cumsum(n)
-    return (upto[end] - upto[end - n]) / np.maximum(n, 1), float(found.mean())
+    upto = np.zeros(len(kinds) + 1, np.int64)
+
+    def of(flags: np.ndarray) -> np.ndarray:
+        np.cumsum(flags, out=upto[1:])
+        return upto[end] - upto[end - n]
+
+    plain, function = kinds != 3, kinds == 1
+    k = np.maximum(of(plain), 1)
+    speech, marks = of(function) / k, of(kinds == 2) / k
+    regular, content = of(again & plain) / k, of((again | (kinds == 2)) & plain & ~function) / k
+    bare = (speech <= 0.1) & (n > 0)
+    stuffed = (speech <= 0.2) & ((content >= 0.5) & (k >= 3) | (marks >= 0.15)) | (speech <= 0.4) & (regular >= 0.6) & (k >= 16)
+    # Segments without function words in a row, as the text has them, are a list from LIST_TERMS terms on.
+    at = which[which >= 0]
+    at = at[n[at] > 0]
+    found = np.append(stuffed, False)[which]
+    if len(at):
+        b = (bare & (of(kinds == 4) * 2 < k))[at]
+        fresh = np.zeros(len(at), np.int64)  # a segment adds to a list where it comes first
+        fresh[np.unique(at, return_index=True)[1]] = 1
+        first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+        total = lambda v: np.repeat(np.add.reduceat(v[at] * fresh, first), np.diff(np.r_[first, len(b)]))
+        length = total(n)
+        listed = np.zeros(len(n), bool)
+        listed[at[b & (length >= LIST_TERMS) & (length <= ITEM_TERMS * total(items))]] = True
+        found |= np.append(listed, False)[which]
+    return found, np.append(speech, 0.0)[which]
+
+
+_FIXED = Words(_FUNCTION)
 
 
 class Reader:
     """Cuts texts; lines that come again are cut once."""
 
     def __init__(self) -> None:
-        self.known: dict[str, list[tuple[int, list[str] | None]]] = {}
+        self.known: dict[str, list[tuple[int, list[str] | None, int]]] = {}
 
-    def line(self, line: str) -> list[tuple[int, list[str] | None]]:
+    def line(self, line: str) -> list[tuple[int, list[str] | None, int]]:
         got = self.known.get(line)
         if got is None:
             if len(self.known) > 200_000:
@@ -186,121 +261,117 @@ class Reader:
             got = self.known[line] = segments(line)
         return got
 
-    def read(self, text: str | None) -> tuple[str, bytes, bytes, int, float]:
-        """Terms (a line per segment), characters of each segment (negative: sound or song), whether it is in stuffed windows; how many have terms, and the share of windows that are stuffed."""
+    def read(self, text: str | None) -> tuple[str, bytes, bytes, bytes, bytes]:
+        """Terms of each distinct segment (a line each), its items, recurrence of its terms, and of every segment which it is (-1: sound or song) and its characters."""
         parts = [p for line in shown_lines(text) for p in self.line(line)] if isinstance(text, str) else []
-        if not parts:
-            return "", b"", b"", 0, 0.0
-        cut = [ts for _, ts in parts]
-        stuffed, share = in_windows(cut)
-        size = np.array([-n if ts is None else n for n, ts in parts], np.int32)
-        return "\n".join([" ".join(ts) if ts else "" for ts in cut]), size.tobytes(), (stuffed > 0.5).tobytes(), sum(map(bool, cut)), share
+        first: dict[str, int] = {}
+        items: list[int] = []
+        which = []
+        for _, ts, k in parts:
+            at = -1 if ts is None else first.setdefault(" ".join(ts), len(first))
+            if at == len(items):
+                items.append(k)
+            which.append(at)
+        again = recurrent([t for s in first for t in s.split(" ") if t])
+        return "\n".join(first), np.array(items, np.int32).tobytes(), again.tobytes(), np.array(which, np.int32).tobytes(), np.array([p[0] for p in parts], np.int32).tobytes()
+
+
+def judged(words: Words, terms: str, items: bytes, again: bytes, which: bytes) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
+    """Of what ``Reader.read`` gives: distinct segments, which one each segment is, whether it is stuffed, and its share of function words."""
+    cut = [s.split(" ") if s else [] for s in terms.split("\n")]
+    kind = words.kind
+    kinds = np.array([kind(t) for s in cut for t in s], np.int8)
+    at = np.frombuffer(which, np.int32)
+    return cut, at, *windows(np.array([len(s) for s in cut]), np.frombuffer(items, np.int32), kinds, np.frombuffer(again, bool), at)
+
+
+def share_of(words: Words, terms: str, items: bytes, again: bytes, which: bytes, size: bytes) -> float:
+    """Share of characters that are stuffed."""
+    if not size:
+        return 0.0
+    n = np.frombuffer(size, np.int32)
+    return float(n[judged(words, terms, items, again, which)[2]].sum() / n.sum())
 
 
-_READ = ["_terms", "_size", "_stuffed", "_n", "_share"]
+_READ = ["_terms", "_items", "_again", "_which", "_size"]
 
 
-def read_texts(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` of every document, a digest of its text, and what ``Reader.read`` gives of it."""
+def read_texts(docs: DataFrame, keep: list[str], language: Column) -> DataFrame:
+    """``keep`` of every document, the language it claims, and what ``Reader.read`` gives of it."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = Reader()
         for pdf in batches:
             got = pd.DataFrame([r.read(t) for t in pdf["text"]], columns=_READ, index=pdf.index)
-            yield pd.concat([pdf[[*keep, "_digest"]], got], axis=1)
+            yield pd.concat([pdf[[*keep, "_language"]], got], axis=1)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, F.md5("text").alias("_digest"), "text").mapInPandas(read, f"{schema}, _digest string, _terms string, _size binary, _stuffed binary, _n int, _share double")
+    return docs.select(*keep, language.alias("_language"), "text").mapInPandas(read, f"{schema}, _language string, _terms string, _items binary, _again binary, _which binary, _size binary")
 
 
-def _seed_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """How many segments of stuffed texts and of others have each term."""
+def _teach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """In how many texts of each language a term is in speech, and in how many in stuffed segments; the empty term counts the texts."""
     for pdf in batches:
-        counts: Counter[tuple[str, bool]] = Counter()
-        for stuffed in (False, True):
-            own: Counter[str] = Counter()
-            for text in pdf["_terms"][(pdf["_share"] >= 0.8) == stuffed]:
-                for s in text.split("\n"):
-                    if s:
-                        own.update(set(s.split(" ")))
-                        own[""] += 1
-            counts.update({(t, stuffed): n for t, n in own.items()})
-        yield pd.DataFrame([(t, s, n) for (t, s), n in counts.items()], columns=["term", "stuffed", "n"])
-
-
-def fit(texts: DataFrame) -> dict[str, float]:
-    """Weight of each term: logarithm of how much likelier a segment with it is stuffed than speech.
-
-    Learned from all texts that the windows settle; counts, not texts, come to the driver.
+        speech: defaultdict[str, Counter[str]] = defaultdict(Counter)
+        stuffed: defaultdict[str, Counter[str]] = defaultdict(Counter)
+        for language, *read in zip(pdf["_language"], *(pdf[c] for c in _READ[:4]), strict=True):
+            cut, at, bad, share = judged(_FIXED, *read)
+            told = len(share) and share.mean() >= 0.1  # else its language is not known, and what is not stuffed may be speech
+            said, spam = set(), set()
+            for k, b, f in zip(at.tolist(), bad.tolist(), share.tolist(), strict=True):
+                if b:
+                    spam.update(cut[k])
+                elif k >= 0 and (f >= 0.25 or not told):
+                    said.update(cut[k])
+            if not len(bad) or bad.mean() <= 0.2:  # a few doubtful segments of a text that is speech say nothing
+                spam.clear()
+            language = language if isinstance(language, str) else ""
+            speech[language].update(said)
+            speech[language][""] += 1
+            stuffed[language].update(spam)
+        rows = [(g, t, c[t], stuffed[g][t]) for g, c in speech.items() for t in c.keys() | stuffed[g].keys() if not t.startswith("<")]
+        yield pd.DataFrame(rows, columns=["language", "term", "speech", "stuffed"])
+
+
+def learned(texts: DataFrame) -> frozenset[str]:
+    """Function words of each language that enough texts claim, and of all together, learned from all texts.
+
+    A function word is in the speech of a share of COMMON of the texts, and thirty times more often than in stuffed segments. As many come to
+    the driver as the mean number of distinct terms of a text divided by COMMON, at most, for each of at most a thousand languages.
     """
-    settled = texts.filter("_n > 0 and (_share >= 0.8 or _share <= 0.1 and _n >= 4)")
-    settled = settled.select("_digest", "_terms", "_share").dropDuplicates(["_digest"])  # copies teach nothing more
-    got = settled.mapInPandas(_seed_counts, "term string, stuffed boolean, n long").groupBy("term").agg(F.sum(F.col("n") * F.col("stuffed").cast("int")).alias("s"), F.sum(F.col("n") * (~F.col("stuffed")).cast("int")).alias("h"))
-    rows = {r["term"]: (r["s"], r["h"]) for r in got.filter((F.col("s") + F.col("h") >= MIN_COUNT) | (F.col("term") == "")).collect()}
-    spam, ham = rows.pop("", (0, 0))
-    if not (spam and ham):
-        return {}
-    return {t: _weight(s, h, spam, ham) for t, (s, h) in rows.items()}
-
-
-def _weight(s: int, h: int, spam: int, ham: int) -> float:
-    """Logarithm of the odds, added to by two segments in the proportion of the kinds, so that what is rare says little either way."""
-    base = spam / (spam + ham)
-    odds = (s + 2 * base) / (h + 2 * (1 - base)) * ham / spam
-    return max(-5.0, min(5.0, math.log(odds)))
-
-
-_HAM, _SPAM = -3.0, 3.0
-_KNOWN = 1.0  # evidence from which the weights settle a segment
-
-
-class Judge:
-    """Share of stuffed characters of a text, by the weights of its terms."""
-
-    def __init__(self, weights: dict[str, float]):
-        self.weights = weights
-
-    def score(self, segment: str) -> float:
-        get = self.weights.get
-        return max(_HAM, min(_SPAM, sum([get(t, 0.0) for t in segment.split(" ")]))) if segment else 0.0
-
-    def share(self, text: str) -> float:
-        read = Reader().read(text)
-        return self.of(*read[:3])
-
-    def of(self, terms: str, sizes: bytes, windowed: bytes) -> float:
-        """The same of what ``Reader.read`` gives."""
-        if not sizes:
-            return 0.0
-        size = np.frombuffer(sizes, np.int32)
-        stuffed = np.frombuffer(windowed, bool)
-        own = np.where(size < 0, _HAM, [self.score(s) for s in terms.split("\n")])
-        size = np.abs(size)
-        near = own.copy()  # a segment that says little by itself is what its neighbours are
-        for far in (1, 2, 3):
-            near[far:] += own[:-far] / (2 * far)
-            near[:-far] += own[far:] / (2 * far)
-        near = np.where(np.abs(own) >= 2, own, near)
-        # Where the weights know little, the windows decide.
-        return float(size[np.where(np.abs(near) < _KNOWN, stuffed, near > 0)].sum() / size.sum())
-
-
-def stuffed(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    per = texts.mapInPandas(_teach, "language string, term string, speech long, stuffed long").groupBy("language", "term").agg(F.sum("speech").alias("speech"), F.sum("stuffed").alias("stuffed"))
+    work = Workspace(texts.sparkSession, "terms")
+    per = work.put(per, "terms")
+    sizes = {r[0]: r[1] for r in per.filter("term = ''").groupBy("language").agg(F.sum("speech")).orderBy(F.desc("sum(speech)")).limit(1000).collect()}
+    n = sum(sizes.values())
+    large = [(g, k) for g, k in sizes.items() if k >= max(LEAST_TEXTS, n / 1000)]
+    if n < LEAST_TEXTS:
+        return frozenset()
+    named = per.join(F.broadcast(texts.sparkSession.createDataFrame(large or [("", n)], "language string, texts long")), "language")
+    everything = per.groupBy("term").agg(F.sum("speech").alias("speech"), F.sum("stuffed").alias("stuffed")).withColumn("texts", F.lit(n))
+    both = named.select(everything.columns).unionByName(everything)
+    got = both.filter((F.col("speech") >= F.greatest(F.lit(5), COMMON * F.col("texts"))) & (F.col("stuffed") * 30 <= F.col("speech")) & (F.col("term") != "")).select("term").distinct()
+    return frozenset(r[0] for r in got.collect())
+
+
+def stuffed(docs: DataFrame, keep: list[str] | None = None, language: str | None = None) -> DataFrame:
     """``keep`` (``doc_id``), ``spam_share`` and ``spam`` of every document.
 
     ``spam_share`` is the share of characters shown that belong to keywords, links or product tags; ``spam`` is
     whether that is more than half. Speech, songs, sounds and credits don't count, however often they repeat. Null and empty
-    texts have share 0. Rows that repeat a document are judged alike. Texts are cut once and stored so, for learning and judging.
+    texts have share 0. Rows that repeat a document are judged alike. ``language`` names a column with the language a text claims, of which the first two
+    letters count; it only groups the texts for learning. In a script of which no function word is known, nothing is a list for lack of them.
     """
     keep = keep or ["doc_id"]
-    texts = Workspace(docs.sparkSession, "texts").put(read_texts(docs, keep), "texts")
-    weights = fit(texts)
+    claimed = F.substring(F.lower(F.trim(F.col(language))), 1, 2) if language else F.lit(None).cast("string")
+    texts = Workspace(docs.sparkSession, "texts").put(read_texts(docs, keep, claimed), "texts")
+    words = _FUNCTION | learned(texts.select("_language", *_READ[:4]))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        j = Judge(weights)
+        known = Words(words)
         for pdf in batches:
-            share = [j.of(*x) for x in zip(*(pdf[c] for c in _READ[:3]), strict=True)]
+            share = [share_of(known, *x) for x in zip(*(pdf[c] for c in _READ), strict=True)]
             yield pdf[keep].assign(spam_share=share, spam=[s > 0.5 for s in share])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return texts.select(*keep, *_READ[:3]).mapInPandas(judge, f"{schema}, spam_share double, spam boolean")
+    return texts.select(*keep, *_READ).mapInPandas(judge, f"{schema}, spam_share double, spam boolean")

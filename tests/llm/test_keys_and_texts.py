@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mergeloom.llm import mixing, packing, ribbon, stuffing, tokens
 
@@ -263,26 +264,47 @@ def test_few_stuffed_texts_among_many(spark):
     assert sum(got[:-2]) == 0 and sum(got[-2:]) == 2
 
 
+def share(text, words=stuffing._FUNCTION):
+    return stuffing.share_of(stuffing.Words(frozenset(words)), *stuffing.Reader().read(text))
+
+
 def test_stuffed_text_of_terms_that_no_text_taught():
-    judge = stuffing.Judge({"where": -2.0, "letter": -1.0, "sofa": 2.0})
-    unknown = cues([" ".join(["qorvex plimt"] * 6) for _ in range(8)])
-    assert judge.share(unknown) == 1.0
-    assert judge.share(cues(["♪ qorvex plimt ♪"] * 20)) == 0  # sounds and songs are none, known or not
-    assert judge.share(cues(SPEECH * 3)) == 0
-
-
-def test_all_texts_teach(spark):
-    """However many texts there are, terms of each that the windows settle are known."""
-    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676)}" for k in range(6_000)]
-    texts = [*(cues([f"Where did you put the {w} of her?"] * 4) for w in words), cues(["wool socks " * 8] * 4)]
-    seen = []
-    real = stuffing.fit
-    stuffing.fit = lambda *a, **k: seen.append(real(*a, **k)) or seen[-1]
-    try:
-        assert [i for i, x in enumerate(judged(spark, texts)) if x] == [6_000]
-    finally:
-        stuffing.fit = real
-    assert {stuffing._fold(w) for w in words} <= set(seen[0]) and seen[0]["socks"] == 5.0
+    assert share(cues([" ".join(["qorvex plimt"] * 6) for _ in range(8)])) == 1.0
+    assert share(cues(["♪ qorvex plimt ♪"] * 20)) == 0  # sounds and songs are none, known or not
+    assert share(cues(SPEECH * 3)) == 0
+    assert share(cues(["[door creaks] [steps] [door creaks] (wind)"] * 9)) == 0
+
+
+PROSE = {
+    "Russian": "Вчера вечером я долго не мог уснуть. За окном шумел дождь, и ветер качал старые деревья. Потом кто-то тихо постучал в дверь. Я встал, зажёг лампу и спросил, кто там. Никто не ответил, но на пороге лежало письмо без подписи. Утром мы решили отвезти его в город и показать знакомому учителю.",
+    "Finnish": "Eilen illalla minä en saanut millään unta. Ikkunan takana satoi, ja tuuli heilutti vanhoja puita. Sitten joku koputti hiljaa oveen. Nousin ylös, sytytin lampun ja kysyin, kuka siellä oli. Kukaan ei vastannut, mutta kynnyksellä oli kirje ilman nimeä. Aamulla päätimme viedä sen kaupunkiin ja näyttää sitä tutulle opettajalle.",
+    "Greek": "Χθες το βράδυ δεν μπορούσα να κοιμηθώ. Έξω έβρεχε και ο αέρας κουνούσε τα παλιά δέντρα. Μετά κάποιος χτύπησε σιγά την πόρτα. Σηκώθηκα, άναψα τη λάμπα και ρώτησα ποιος είναι. Κανείς δεν απάντησε, αλλά στο κατώφλι υπήρχε ένα γράμμα χωρίς υπογραφή.",
+    "Japanese": "昨日の夜はなかなか眠れませんでした。窓の外では雨が降り、風が古い木を揺らしていました。それから誰かが静かに戸をたたきました。私は起きて明かりをつけ、誰ですかと聞きました。誰も答えませんでしたが、玄関に名前のない手紙がありました。",
+}
+
+
+@pytest.mark.parametrize("language", PROSE)
+def test_prose_of_other_languages_is_not_stuffed(language):
+    text = PROSE[language]
+    for lines in ([text], text.replace("。", "。 ").split(". "), text.replace("。", "。\n").split("\n")):
+        assert share(cues(lines)) < 0.3
+    if language != "Japanese":
+        word = text.split()[4].strip(",.")
+        assert share(cues([" ".join([word, "qorvex"] * 9)] * 5)) == 1.0  # regular repetition is found in any
+
+
+def test_function_words_are_learned_from_all_texts(spark):
+    """Of a language that the list does not know; keywords of stuffed texts are none, however many."""
+    rnd = random.Random(12)
+    small, large = [f"{a}{b}" for a in "bnswr" for b in ("el", "ir", "ota", "ha", "em", "uv")], [f"{a}{b}{c}" for a in "kvltmr" for b in ("ando", "ilqu", "osta", "urve", "enzi", "arpo") for c in ("k", "s", "x", "nt", "ly", "gge")]
+    speech = [cues([" ".join(x for _ in range(3) for x in (rnd.choice(small), rnd.choice(large), rnd.choice(large))) for _ in range(12)]) for _ in range(400)]
+    spam = [cues([", ".join(rnd.choice(THINGS) for _ in range(8)) for _ in range(6)]) for _ in range(300)]
+    rows = [(i, t, "xx" if i < 400 else "en") for i, t in enumerate([*speech, *spam])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    words = stuffing.learned(stuffing.read_texts(df, ["doc_id"], F.col("lang")).select("_language", *stuffing._READ[:4]))
+    assert {stuffing._fold(w) for w in small} - stuffing._FUNCTION <= words and not words & {"wool", "socks", "desk", "mat"}
+    got = {r["doc_id"]: r["spam"] for r in stuffing.stuffed(df, language="lang").collect()}
+    assert [i for i, x in sorted(got.items()) if x] == list(range(400, 700))
 
 
 def test_layout_does_not_count():
@@ -292,12 +314,17 @@ def test_layout_does_not_count():
 
 
 def test_regular_repetition_and_lists_are_told_from_speech():
-    speech = " ".join(SPEECH * 6)
-    assert stuffing.windows(stuffing.terms(speech)).mean() == 0
-    assert stuffing.windows(stuffing.terms(" ".join(["wool socks"] * 60))).all()
+    again = lambda text: stuffing.recurrent(stuffing.terms(text)).mean()
+    assert again(" ".join(["wool socks"] * 60)) == 1 and again("never one term twice in all this") == 0
+    even = [x for k in range(30) for x in ("oak", *(f"w{k}x{j}".replace("0", "o") for j in range(39)))]
+    assert stuffing.recurrent(even).sum() == 30  # one term at gaps of 40, beyond the lags but even
     rnd = random.Random(9)
-    assert stuffing.windows(stuffing.terms(", ".join(rnd.choice(THINGS) for _ in range(60)))).all()
-    assert not stuffing.windows([]).any()
+    uneven = [x for k in range(30) for x in ("oak", *(f"w{k}x{j}" for j in range(rnd.choice([13, 20, 31, 50, 80, 130, 210]))))]
+    assert stuffing.recurrent(uneven).sum() == 0
+    assert share(" ".join(SPEECH * 6)) == 0 and share("") == 0
+    assert share(cues([", ".join(f"{w} {k}" for k, w in enumerate(["sofa", "lamp", "tent", "boots", "tea", "watch", "tyres", "drops", "case"]))])) == 1  # nouns, each once
+    assert share(cues(["Sofa", "Lamp", "Tent", "Watch", "Phone case", "Tea", "Boots", "Drops"])) == 1
+    assert share(cues(['<a href="http://shop.example/x">sofa</a>', "[url=http://shop.example/y]lamp[/url]", "[tent](http://a.example/z)"])) == 1
 
 
 def test_token_counts(spark):
