@@ -833,11 +833,11 @@ def _(s, d):
 
 @query("crdt_patch_link", f"WITH RECURSIVE {_TREE_L}, touched AS (SELECT DISTINCT doc_id, obj FROM v WHERE action = 'set' AND vtype = 'counter' AND obj <> '_root') SELECT DISTINCT doc_id, unnest(up) AS object_id FROM rr JOIN touched t USING (doc_id) WHERE t.obj = rr.id")
 def _(s, d):
-    """Objects on the way from the root to those that were touched, found by their intervals."""
+    """Objects on the way from the root to those that were touched."""
     seen, shown = _shown(s, d)
-    touched = seen.filter("action = 'set' and vtype = 'counter' and obj <> '_root'").select("doc_id", F.col("obj").alias("object_id")).distinct()
-    low = shown.join(touched, ["doc_id", "object_id"]).select("doc_id", "root_id", F.col("entry_rank").alias("lo"), F.col("exit_rank").alias("hi"))
-    return shown.join(low, ["doc_id", "root_id"]).filter("entry_rank >= lo and exit_rank <= hi").select("doc_id", "object_id").distinct()
+    touched = seen.filter("action = 'set' and vtype = 'counter' and obj <> '_root'").select("doc_id", F.col("obj").alias("object_id"), F.lit(1).alias("touched")).distinct()
+    marked = shown.join(touched, ["doc_id", "object_id"], "left").fillna(0, ["touched"])
+    return visibility.covering(marked, "touched").select("doc_id", "object_id")
 
 
 def _binary(s, d) -> DataFrame:

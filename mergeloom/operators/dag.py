@@ -6,10 +6,13 @@ max_op``. Each change is there once. Null ``deps`` are none. Empty tables give e
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import Workspace
+from .prefix import even_parts
 from .visibility import join_pred_succ
 
 KEY = ["doc_id", "hash"]
@@ -37,29 +40,77 @@ def anti_missing_deps(changes: DataFrame) -> DataFrame:
     return edges(changes).select("doc_id", "dep").distinct().join(there, ["doc_id", "dep"], "left_anti")
 
 
-def reach(start: DataFrame, links: DataFrame, work: Workspace | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+BLOCK_LINKS = 250_000
+
+
+def _walk(front: pd.DataFrame, links: pd.DataFrame, by: tuple[str, ...]) -> pd.DataFrame:
+    """Within one block: all that ``front`` reaches, and, with ``block`` where it goes on, what lies in other blocks."""
+    nodes, place = np.unique(np.concatenate([links["hash"].to_numpy(object), links["nxt"].to_numpy(object), front["hash"].to_numpy(object)]), return_inverse=True)
+    n = len(links)
+    src, dst = place[:n], place[n : 2 * n]
+    order = np.argsort(src, kind="stable")
+    src, dst = src[order], dst[order]
+    first = np.searchsorted(src, np.arange(len(nodes) + 1))
+    leaves = pd.array([pd.NA] * len(nodes), dtype="Int64")  # of nodes elsewhere, their block
+    away = (links["nxt_block"] != links["block"]).fillna(True).to_numpy(bool)
+    leaves[place[n : 2 * n][away]] = links["nxt_block"].astype("Int64")[away].array
+    outside = np.zeros(len(nodes), bool)
+    outside[place[n : 2 * n][away]] = True
+    parts = []
+    start = front.assign(_at=place[2 * n :])
+    for key, own in start.groupby(list(by), dropna=False) if by else [((), start)]:
+        seen = np.zeros(len(nodes), bool)
+        now = np.unique(own["_at"].to_numpy())
+        while len(now):
+            seen[now] = True
+            now = now[~outside[now]]
+            count = first[now + 1] - first[now]
+            reached = dst[np.repeat(first[now] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())] if len(now) else now
+            now = np.unique(reached[~seen[reached]])
+        at = np.flatnonzero(seen)
+        parts.append(pd.DataFrame({**dict(zip(by, key, strict=True)), "hash": nodes[at], "goes_on": leaves[at]}))
+    return pd.concat(parts, ignore_index=True)
+
+
+def reach(start: DataFrame, links: DataFrame, work: Workspace | None = None, by: tuple[str, ...] = (), order: str | None = None, block_links: int = BLOCK_LINKS) -> DataFrame:
     """All ``(doc_id, hash)`` that can be reached from ``start`` over ``links (doc_id, hash, nxt)``, the start included.
 
     With ``by``, columns of ``start``, for each of their values by itself, all in the same rounds.
 
-    A breadth-first search: each round joins only what the last one found, leaves out
-    what is known, and is written, until a round finds nothing. No recursion limit applies.
+    Links are put into blocks: those of one document, or ranges of ``order`` (a column of ``links``; else of a hash) where
+    it has more than ``block_links``. A round walks all blocks that the last one came to, each to its end, so there are as many
+    rounds as a path changes blocks, not as it has steps: one for documents of one block.
     """
     work = work or Workspace(start.sparkSession, "reach")
-    front = work.put(start.select(*by, *KEY).distinct(), "round0")
-    links = work.put(links.select(*KEY, "nxt"), "links")  # read again in every round
-    found, k = front, 0
+    cut = links.select(*KEY, "nxt", (F.col(order) if order else F.xxhash64("hash")).alias("_order"))
+    cut = work.put(even_parts(cut, "doc_id", "_order", block_links).select(*KEY, "nxt", F.xxhash64("doc_id", "part").alias("block")), "cut")
+    of = work.put(cut.groupBy(*KEY).agg(F.min("block").alias("block")), "blocks")
+    links = work.put(cut.select(*KEY, "nxt").join(of, KEY).join(of.select("doc_id", F.col("hash").alias("nxt"), F.col("block").alias("nxt_block")), ["doc_id", "nxt"], "left"), "links")
+    begun = start.select(*by, *KEY).distinct()
+    front = work.put(begun.join(of, KEY), "round0")
+    found = work.put(begun.join(of, KEY, "left_anti"), "alone")  # nothing follows these
+    keys = ", ".join(f"`{c}` {start.schema[c].dataType.simpleString()}" for c in [*by, "doc_id", "hash"])
+    k = 0
     while front.limit(1).count():
         k += 1
-        step = front.join(links, KEY).select(*by, "doc_id", F.col("nxt").alias("hash")).distinct()
-        front = work.put(step.join(found, [*by, *KEY], "left_anti"), f"round{k}")
-        found = found.unionByName(front)
-        if k % 8 == 0:  # keeps the plan short
-            found = work.put(found, f"found{k}")
-            work.free_shuffles()
+        asked = links.join(F.broadcast(front.select("block").distinct()), "block", "left_semi") if k > 1 else links
+        walked = front.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(lambda f, e: _walked(f, e, by), f"{keys}, goes_on long")
+        walked = work.put(walked, f"walked{k}")
+        found = work.put(found.unionByName(walked.select(*by, *KEY)).distinct(), f"found{k}")
+        nxt = walked.filter("goes_on is not null").withColumnRenamed("goes_on", "block").distinct()
+        # What lies in another block is new unless that block was walked from it before.
+        old = front.select(*by, *KEY) if k == 1 else old.unionByName(front.select(*by, *KEY))
+        front = work.put(nxt.join(old, [*by, *KEY], "left_anti"), f"round{k}")
     return found
 
 
+def _walked(front: pd.DataFrame, links: pd.DataFrame, by: tuple[str, ...]) -> pd.DataFrame:
+    columns = [*by, "doc_id", "hash", "goes_on"]
+    if not len(front):
+        return pd.DataFrame({c: [] for c in columns})
+    return _walk(front, links, by).assign(doc_id=front["doc_id"].iloc[0])[columns]
+
+
 def dag_ancestors(changes: DataFrame, of: DataFrame) -> DataFrame:
     """The changes ``of`` names and all they depend on, as far as they are there."""
     up = edges(changes).withColumnRenamed("dep", "nxt")

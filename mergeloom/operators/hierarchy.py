@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import bare_key, digest, object_id, opid
 from ..storage import Workspace
+from .prefix import even_parts
 
 BLOCK_NODES = 250_000
 _UNIT_ROWS = 100_000  # blocks are worked on together until there are this many rows
@@ -198,13 +199,11 @@ def _forest(nodes: DataFrame, work: Workspace, block_nodes: int) -> tuple[DataFr
     ``nodes`` is a written table of ``nid, doc_id, ctr, object_id, obj, label``: ``nid`` is unique, siblings are visited in its
     order, ``obj`` names the parent by ``object_id`` and ``label`` goes into the path (all null: no paths).
     """
-    sizes = nodes.groupBy(F.col("doc_id").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max("ctr").alias("most")).filter(F.col("n") > block_nodes)
-    part = F.floor(F.col("ctr") * F.ceil(F.col("n") / block_nodes) / (F.col("most") + 1))
-    placed = nodes.join(sizes, F.col("doc_id").eqNullSafe(F.col("d")), "left").withColumn("block", F.xxhash64("doc_id", F.coalesce(part, F.lit(0))))
+    split = _any(nodes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_nodes))
+    placed = (even_parts(nodes, "doc_id", "ctr", block_nodes) if split else nodes.withColumn("part", F.lit(0))).withColumn("block", F.xxhash64("doc_id", "part"))
     parents = placed.select(digest(F.col("doc_id"), F.col("object_id")).alias("k"), F.col("nid").alias("pid"), F.col("block").alias("pblock"))
     linked = placed.withColumn("k", digest(F.col("doc_id"), F.col("obj"))).join(parents, "k", "left")
     links = work.put(linked.select("nid", "pid", "block", "pblock", "doc_id", "object_id", "label"), "links")
-    split = _any(sizes)
     work.drop("nodes")
 
     outer = links.filter("pblock <> block").select(F.col("pid").alias("nid")).distinct().withColumn("outer", F.lit(1))

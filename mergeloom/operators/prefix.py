@@ -6,20 +6,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_total(rows: DataFrame, by: list[str], value: str, bucket: Column, order: list[Column], name: str) -> DataFrame:
-    """Sum of ``value`` within ``by`` up to and with each row, in the order of (``bucket``, ``order``).
+def running_total(rows: DataFrame, by: list[str], value: str, bucket: Column, order: list[Column], name: str, least: bool = False) -> DataFrame:
+    """Sum (the least, if ``least``) of ``value`` within ``by`` up to and with each row, in the order of (``bucket``, ``order``).
 
     ``bucket`` splits a key that has many rows: sums of whole buckets are added up
-    first, then the rows within each. Nulls in ``by`` make a key of their own.
+    first, then the rows within each. Nulls in ``by`` make a key of their own; null values count for nothing.
     """
+    fold = F.min if least else F.sum
     cut = rows.withColumn("_b", bucket)
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = cut.groupBy(*by, "_b").agg(F.sum(value).alias("_s")).withColumn("_start", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
-    inside = F.sum(value).over(Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    sums = cut.groupBy(*by, "_b").agg(fold(value).alias("_s")).withColumn("_start", fold("_s").over(before)).drop("_s")
+    inside = fold(value).over(Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     keys = [*by, "_b"]
     sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_start")
     on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    return cut.join(sums, on).withColumn(name, F.col("_start") + F.coalesce(inside, F.lit(0))).drop("_start", *[f"_k{i}" for i in range(len(keys))], "_b")
+    both = F.least("_start", inside) if least else F.coalesce("_start", F.lit(0)) + F.coalesce(inside, F.lit(0))
+    return cut.join(sums, on).withColumn(name, both).drop("_start", *[f"_k{i}" for i in range(len(keys))], "_b")
+
+
+SLICES = 1024  # of equally many rows, from which parts of a large key are put together
+
+
+def even_parts(rows: DataFrame, by: str, value: str, size: int) -> DataFrame:
+    """``part`` of every row: 0 for keys ``by`` of at most ``size`` rows, else ranges of ``value`` with about ``size`` rows each.
+
+    Cut by quantiles, so it does not matter how values are spread; rows of one value stay together. A key of more than SLICES times
+    ``size`` rows has SLICES parts.
+    """
+    large = rows.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(value, [k / SLICES for k in range(1, SLICES)], 10_000).alias("_q"))
+    parts = F.least(F.ceil(F.col("_n") / size), F.lit(SLICES)).cast("int")
+    large = large.filter(F.col("_n") > size).withColumn("_parts", parts)
+    cuts = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda k: F.element_at("_q", (k * SLICES / F.col("_parts")).cast("int")))
+    large = large.select("_by", cuts.alias("_cuts"))  # one row for every ``size`` rows of the table at most
+    placed = rows.join(large, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return placed.withColumn("part", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))).drop("_by", "_cuts")
+
+
+def hash_range(h: Column, ranges: int) -> Column:
+    """Which of ``ranges`` equally wide ranges a 64-bit hash is in: to order by range and hash is to order by the hash, however many there are."""
+    return F.shiftright((F.shiftright(h, 33) + F.lit(1 << 30)) * F.lit(ranges), 31).cast("int")
 
 
 MANY = 1024  # keys that may each hold more than a share of 1 / MANY of the rows: fewer than that, so they can be broadcast

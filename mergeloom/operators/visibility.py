@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import opid
+from .prefix import running_total
 
 ID = ["doc_id", "ctr", "actor"]
 CELL = ["doc_id", "obj", "cell"]
@@ -125,13 +126,32 @@ def reachable_objects(ops: DataFrame, tree: DataFrame) -> DataFrame:
     """Objects that are shown: the root, and those made by a seen operation in a container that is shown.
 
     ``tree`` is the hierarchy of all objects; an object is shown if no object above it, nor itself,
-    was made by a hidden operation and the topmost one hangs at the root. Ancestors are found by intervals,
-    so no object above is visited step by step.
+    was made by a hidden operation and the topmost one hangs at the root.
     """
     seen = visible(ops).filter("action like 'make%'").select("doc_id", opid(F.col("ctr"), F.col("actor")).alias("object_id"), "obj", F.lit(True).alias("seen"))
     t = tree.join(seen, ["doc_id", "object_id"], "left")
     top = t.filter("object_id = root_id and seen and obj = '_root'").select("doc_id", "root_id")
-    under = t.filter("root_id <> ''").join(top, ["doc_id", "root_id"], "left_semi")
-    hidden = under.filter("seen is null").select("doc_id", "root_id", F.col("entry_rank").alias("from"), F.col("exit_rank").alias("to"))
-    gone = under.join(hidden, ["doc_id", "root_id"]).filter("entry_rank <= from and exit_rank >= to").select("doc_id", "object_id").distinct()
-    return under.join(gone, ["doc_id", "object_id"], "left_anti").select("doc_id", "object_id")
+    under = t.filter("root_id <> ''").join(top, ["doc_id", "root_id"], "left_semi").select("doc_id", "root_id", "object_id", "entry_rank", "exit_rank", F.when(F.col("seen").isNull(), F.col("exit_rank")).alias("gone_to"))
+    return uncovered(under, "gone_to").select("doc_id", "object_id")
+
+
+_CHUNK = 50_000  # tour ranks that one task goes through
+
+
+def uncovered(tree: DataFrame, gone_to: str) -> DataFrame:
+    """Nodes that are not, nor below, ones with ``gone_to`` (their exit's rank; null for the others).
+
+    In the order of entries, a node's ancestors are those before it that have not ended: exits of all others before it have greater ranks than its own.
+    So it is below a marked one exactly if the least exit of the marked ones up to it is not above its own. One running minimum, however they are nested.
+    """
+    least = running_total(tree, ["doc_id", "root_id"], gone_to, F.floor(-F.col("entry_rank") / _CHUNK), [F.col("entry_rank").desc()], "_least", least=True)
+    return least.filter("_least is null or _least > exit_rank").drop("_least")
+
+
+def covering(tree: DataFrame, marked: str) -> DataFrame:
+    """Nodes that are ``marked`` (1, else 0) or have such a node below them, by a running count of the marked ones in the tour."""
+    element = F.explode(F.array(F.struct(F.col("entry_rank").alias("rank"), F.col(marked).alias("one"), F.lit(True).alias("enters")), F.struct(F.col("exit_rank").alias("rank"), F.lit(0).alias("one"), F.lit(False).alias("enters"))))
+    tour = tree.select("doc_id", "root_id", "object_id", F.col(marked).alias("own"), element.alias("e")).select("doc_id", "root_id", "object_id", "own", "e.*")
+    n = running_total(tour, ["doc_id", "root_id"], "one", F.floor(-F.col("rank") / _CHUNK), [F.col("rank").desc()], "_n")
+    ends = n.groupBy("doc_id", "root_id", "object_id").agg((F.max("_n") - F.min("_n") + F.max("own")).alias("inside"))
+    return ends.filter("inside > 0").drop("inside")
