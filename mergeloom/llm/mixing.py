@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.prefix import running_total
+from ..operators.prefix import hash_range, running_total
 from ..storage import Workspace
 
 BUCKET_ROWS = 100_000
@@ -52,7 +52,7 @@ def mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: i
     used = docs.select("source", "doc_id", "n_tokens").join(table, "source").withColumn("pass_no", F.explode(F.sequence(F.lit(1), F.col("passes"))))
     used = used.withColumn("shuffled", F.xxhash64(F.lit(seed), "pass_no", "doc_id", "source"))
     by = ["source", "pass_no"]
-    queued = running_total(used, by, "n_tokens", F.pmod(F.shiftrightunsigned("shuffled", 20), F.lit(buckets)), [F.col("shuffled"), F.col("doc_id")], "upto")
+    queued = running_total(used, by, "n_tokens", hash_range(F.col("shuffled"), buckets), [F.col("shuffled"), F.col("doc_id")], "upto")
     finish = ((F.col("pass_no") - 1) * F.col("total") + F.col("upto")) / F.col("weight")
     kept = queued.withColumn("finish", finish).filter(F.col("finish") <= float(budget))
     kept = work.put(kept.select("doc_id", "source", "pass_no", "n_tokens", "finish", F.lit(1).alias("one"), F.lit(0).alias("all")), "kept")
@@ -69,3 +69,18 @@ def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     out = targets_of(targets).join(per, "source", "left").fillna(0, ["n_tokens", "n_rows", "n_docs", "most_used"])
     out = out.withColumn("everything", F.sum("n_tokens").over(Window.partitionBy(F.lit(1))))  # as many rows as targets
     return out.select("source", "target_share", F.coalesce(F.round(F.try_divide("n_tokens", "everything"), 6), F.lit(0.0)).alias("actual_share"), "n_tokens", "n_rows", "n_docs", "most_used", "max_repeats")
+
+
+def broken(mixture: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """Per source that has documents: how many of them were used more often than allowed, whether its share is off by more than a hundredth, and whether it came in with other than its own documents."""
+    per_doc = mixture.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("times"), F.sum("n_tokens").alias("t"))
+    has = sizes.select("doc_id", source_name(F.col("source")).alias("source"), "n_tokens").filter("n_tokens > 0")
+    real = has.join(targets_of(targets), "source")
+    there = real.groupBy("source", "target_share", "max_repeats").agg(F.count(F.lit(1)).alias("n_docs"))
+    strange = per_doc.join(real.select("source", "doc_id"), ["source", "doc_id"], "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("strange"))
+    limits = targets_of(targets).select("source", "max_repeats")
+    used = per_doc.join(F.broadcast(limits), "source").groupBy("source").agg(F.count_if(F.expr("times > max_repeats")).alias("over_used"), F.sum("t").alias("t"))
+    out = there.join(used, "source", "left").join(strange, "source", "left")
+    every = Window.partitionBy(F.lit(1))  # as many rows as targets
+    off = F.abs(F.coalesce("t", F.lit(0)) / F.sum("t").over(every) - F.col("target_share") / F.sum("target_share").over(every)) > 0.01
+    return out.select("source", "n_docs", F.coalesce("over_used", F.lit(0)).alias("over_used"), F.coalesce("strange", F.lit(0)).alias("strange"), off.alias("share_off"))

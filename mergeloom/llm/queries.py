@@ -58,6 +58,20 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixing.mix(_sizes(spark, sf_dir, ["doc_id", "source"]), targets), targets)
 
 
+def p6_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the packing of all texts, which is nothing."""
+    caps, sizes = _table(spark, sf_dir, "pack_capacity"), _sizes(spark, sf_dir, ["doc_id"])
+    packed = Workspace(spark, "packed").put(packing.pack(sizes, caps), "packed")
+    return packing.broken(packed, sizes, caps)
+
+
+def p7_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the mixture, which is nothing where documents are many; of few, the last one moves a share."""
+    sizes, targets = _sizes(spark, sf_dir, ["doc_id", "source"]), _table(spark, sf_dir, "mix_target")
+    mixture = Workspace(spark, "mixture").put(mixing.mix(sizes, targets), "mixture")
+    return mixing.broken(mixture, sizes, targets)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stuffing.stuffed(_table(spark, sf_dir, "documents"), language="lang").filter("spam").select("doc_id")
 
@@ -69,7 +83,7 @@ def p8_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("spam").alias("n_spam"), F.round(F.avg("spam_share"), 4).alias("mean_share"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_audit, p2_audit_counts, p6_packed, p6_report, p7_mixture, p7_shares, p8_found, p8_by_source)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_audit, p2_audit_counts, p6_packed, p6_report, p6_broken, p7_mixture, p7_shares, p7_broken, p8_found, p8_by_source)}
 
 _HASH = r"regexp_extract(regexp_replace(regexp_replace(lower(hash), '\s', '', 'g'), '^(.*:)?(0x)?', ''), '^[0-9a-f]{64}$')"
 
@@ -86,6 +100,9 @@ n AS (SELECT origin, gen, count(*) AS n_keys FROM b GROUP BY ALL),
 a AS (SELECT n.origin, n.gen, count(*) AS n_asked FROM n JOIN f ON k <> '' AND (origin = 'have' OR f.gen > n.gen) GROUP BY ALL),
 t AS (SELECT b.origin, b.gen, count(*) AS n_true FROM b JOIN f ON f.k = b.k AND (origin = 'have' OR f.gen > b.gen) GROUP BY ALL)
 SELECT origin, gen, n_keys, coalesce(n_asked, 0) AS n_asked, coalesce(n_true, 0) AS n_true, CAST(0 AS BIGINT) AS n_missed FROM n LEFT JOIN a USING (origin, gen) LEFT JOIN t USING (origin, gen)""",
+    "p6_broken": """SELECT capacity_id, (SELECT count(*) FROM documents WHERE length(text) > 0) AS n_docs, CAST(0 AS BIGINT) AS over_full, CAST(0 AS BIGINT) AS cut_though_fitting, CAST(0 AS BIGINT) AS lost_or_doubled FROM pack_capacity""",
+    "p7_broken": r"""SELECT d.source, count(*) AS n_docs, CAST(0 AS BIGINT) AS over_used, CAST(0 AS BIGINT) AS strange, FALSE AS share_off
+FROM (SELECT regexp_replace(lower(source), '\s', '', 'g') AS source FROM documents WHERE length(text) > 0) d JOIN (SELECT DISTINCT regexp_replace(lower(source), '\s', '', 'g') AS source FROM mix_target WHERE target_share > 0 AND max_repeats > 0) t ON t.source = d.source GROUP BY d.source""",
     "p2_found": f"""WITH h AS (SELECT DISTINCT {_HASH} AS k FROM sync_have), o AS (SELECT offer_id, {_HASH} AS k FROM sync_offers),
 f AS (SELECT k, min(offer_id) AS first_id FROM o GROUP BY k)
 SELECT offer_id FROM o JOIN f USING (k) WHERE k <> '' AND (offer_id > first_id OR k IN (SELECT k FROM h))""",

@@ -1,5 +1,6 @@
 """Small cases of the problems on keys and texts, against brute force where there is one."""
 
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -166,6 +167,35 @@ def test_packing_of_texts(spark, monkeypatch):
     assert packing.pack(df.limit(0), caps).count() == 0 and packing.pack(df, caps.limit(0)).count() == 0
 
 
+def test_containers_do_not_depend_on_how_items_are_counted(spark, monkeypatch):
+    rnd = random.Random(16)
+    df = spark.createDataFrame([(i, rnd.choice([5, 5, rnd.randint(1, 60)])) for i in range(400)], "doc_id long, n_tokens long")
+    caps = spark.createDataFrame([(1, 64)], "capacity_id int, capacity_tokens int")
+    got = []
+    for rows in (10, 100_000):
+        monkeypatch.setattr(packing, "BUCKET_ROWS", rows)
+        packed = packing.pack(df, caps)
+        got.append(sorted(map(tuple, packed.collect())))
+        assert [tuple(r) for r in packing.broken(packed, df, caps).collect()] == [(1, 400, 0, 0, 0)]
+    assert got[0] == got[1]
+    short = packing.pack(df.filter("doc_id > 3"), caps)
+    assert packing.broken(short, df, caps).first()["lost_or_doubled"] == 4
+
+
+def test_complements_against_all_combinations():
+    rnd = random.Random(17)
+    for _ in range(300):
+        left = np.zeros(31, np.int64)
+        for x in rnd.sample(range(1, 31), rnd.randint(1, 8)):
+            left[x] = rnd.randint(1, 3)
+        look = packing._Complements(left)
+        items = [x for x in range(31) for _ in range(left[x])]
+        for gap in range(1, 31):
+            got = look.find(gap)
+            able = any(sum(c) == gap for k in (1, 2, 3) for c in itertools.combinations(items, k))
+            assert bool(got) == able and (not got or sum(got) == gap and all(Counter(got)[x] <= left[x] for x in got))
+
+
 def mixture(spark, docs, targets, **kw):
     df = spark.createDataFrame([(i, s, n, 1, 1) for i, s, n in docs], "doc_id long, source string, n_tokens long, place long, pass_no int")
     t = spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
@@ -192,6 +222,16 @@ def test_mixing_reaches_shares_and_caps_repeats(spark, monkeypatch):
     assert half["big"] / sum(half.values()) == pytest.approx(2 / 3, abs=0.05)
 
 
+def test_order_of_a_mixture_does_not_depend_on_buckets(spark, monkeypatch):
+    rnd = random.Random(18)
+    docs = [(i, rnd.choice(["a", "b"]), rnd.randint(1, 40)) for i in range(500)]
+    got = []
+    for rows in (7, 100_000):
+        monkeypatch.setattr(mixing, "BUCKET_ROWS", rows)
+        got.append([(r["place"], r["doc_id"], r["pass_no"]) for r in mixture(spark, docs, [("a", 0.7, 2), ("b", 0.3, 1)])[0]])
+    assert got[0] == got[1] and len(got[0]) > 500
+
+
 def test_mixing_beyond_what_a_source_has(spark):
     docs = [(i, "a", 10) for i in range(100)] + [(500 + i, "b", 10) for i in range(10)]
     rows, shares = mixture(spark, docs, [("a", 0.5, 1), ("b", 0.5, 2)], budget=1000)
@@ -301,7 +341,7 @@ def test_function_words_are_learned_from_all_texts(spark):
     spam = [cues([", ".join(rnd.choice(THINGS) for _ in range(8)) for _ in range(6)]) for _ in range(300)]
     rows = [(i, t, "xx" if i < 400 else "en") for i, t in enumerate([*speech, *spam])]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
-    words = stuffing.learned(stuffing.read_texts(df, ["doc_id"], F.col("lang")).select("_language", *stuffing._READ[:4]))
+    words = stuffing.learned(stuffing.read_texts(df, ["doc_id"], F.col("lang")).select("_language", *stuffing._READ[:5]))
     assert {stuffing._fold(w) for w in small} - stuffing._FUNCTION <= words and not words & {"wool", "socks", "desk", "mat"}
     got = {r["doc_id"]: r["spam"] for r in stuffing.stuffed(df, language="lang").collect()}
     assert [i for i, x in sorted(got.items()) if x] == list(range(400, 700))
