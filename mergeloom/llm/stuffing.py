@@ -15,6 +15,8 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -60,6 +62,7 @@ _LONG = 12  # terms from which a segment is cut after each of its links
 _FOLD = str.maketrans("l1035’", "iioes'")
 
 
+@lru_cache(maxsize=300_000)
 def _fold(word: str) -> str:
     """A word whatever its case, with signs that are taken for one another (l, I, 1; o, 0; e, 3) made equal."""
     return word.lower().translate(_FOLD)
@@ -161,8 +164,8 @@ def recurrent(sequence: list[str]) -> np.ndarray:
     Gaps are even if at least half of them are within a quarter of their median, which is not above EVEN.
     """
     n = len(sequence)
-    code: dict[str, int] = {}
-    ids = np.fromiter((code.setdefault(t, len(code)) for t in sequence), np.int64, n)
+    code = {t: k for k, t in enumerate(dict.fromkeys(sequence))}
+    ids = np.array(list(map(code.__getitem__, sequence)), np.int64)
     order = np.argsort(ids, kind="stable")
     sorted_ids = ids[order]
     same = sorted_ids[1:] == sorted_ids[:-1]
@@ -181,28 +184,25 @@ def recurrent(sequence: list[str]) -> np.ndarray:
     return close | even[ids]
 
 
-class Words:
-    """Function words, and the scripts in which any are known."""
+class Words(dict[str, int]):
+    """Kinds of terms by function words: 1 for one of them, 2 for a link or product tag, 3 for numbers and list marks, 4 for a word of a script of which no function word is known, else 0."""
 
     def __init__(self, words: frozenset[str]):
+        super().__init__()
         self.words = words
         self.scripts = {_script(w[0]) for w in words}
-        self.known: dict[str, int] = {}
 
-    def kind(self, term: str) -> int:
-        """1 for a function word, 2 for a link or product tag, 3 for numbers and list marks, 4 for a word of a script without function words, else 0."""
-        got = self.known.get(term)
-        if got is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            if term[0] == "<":
-                got = 3 if term in ("<num>", "<sep>") else 2
-            elif term in self.words or term.split("'")[0] in self.words:
-                got = 1
-            else:
-                got = 4 if term[0] > "\u024f" and _script(term[0]) not in self.scripts else 0
-            self.known[term] = got
-        return got
+    def __missing__(self, term: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        if term[0] == "<":
+            kind = 3 if term in ("<num>", "<sep>") else 2
+        elif term in self.words or term.split("'")[0] in self.words:
+            kind = 1
+        else:
+            kind = 4 if term[0] > "\u024f" and _script(term[0]) not in self.scripts else 0
+        self[term] = kind
+        return kind
 
 
 def _script(c: str) -> str:
@@ -251,103 +251,124 @@ class Reader:
     """Cuts texts; lines that come again are cut once."""
 
     def __init__(self) -> None:
-        self.known: dict[str, list[tuple[int, list[str] | None, int]]] = {}
+        self.known: dict[str, list[tuple[int, str | None, int, int]]] = {}
 
-    def line(self, line: str) -> list[tuple[int, list[str] | None, int]]:
+    def line(self, line: str) -> list[tuple[int, str | None, int, int]]:
+        """Characters, joined terms, items and number of terms of each segment."""
         got = self.known.get(line)
         if got is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            got = self.known[line] = segments(line)
+            got = self.known[line] = [(c, None if ts is None else " ".join(ts), k, len(ts or ())) for c, ts, k in segments(line)]
         return got
 
-    def read(self, text: str | None) -> tuple[str, bytes, bytes, bytes, bytes]:
-        """Terms of each distinct segment (a line each), its items, recurrence of its terms, and of every segment which it is (-1: sound or song) and its characters."""
-        parts = [p for line in shown_lines(text) for p in self.line(line)] if isinstance(text, str) else []
+    def read(self, text: str | None) -> tuple[str, bytes, bytes, bytes, bytes, bytes]:
+        """Terms of the distinct segments; of each of these how many there are and its items; recurrence of the terms; and of every segment which it is (-1: sound or song) and its characters."""
         first: dict[str, int] = {}
-        items: list[int] = []
-        which = []
-        for _, ts, k in parts:
-            at = -1 if ts is None else first.setdefault(" ".join(ts), len(first))
-            if at == len(items):
-                items.append(k)
-            which.append(at)
-        again = recurrent([t for s in first for t in s.split(" ") if t])
-        return "\n".join(first), np.array(items, np.int32).tobytes(), again.tobytes(), np.array(which, np.int32).tobytes(), np.array([p[0] for p in parts], np.int32).tobytes()
-
-
-def judged(words: Words, terms: str, items: bytes, again: bytes, which: bytes) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
-    """Of what ``Reader.read`` gives: distinct segments, which one each segment is, whether it is stuffed, and its share of function words."""
-    cut = [s.split(" ") if s else [] for s in terms.split("\n")]
-    kind = words.kind
-    kinds = np.array([kind(t) for s in cut for t in s], np.int8)
-    at = np.frombuffer(which, np.int32)
-    return cut, at, *windows(np.array([len(s) for s in cut]), np.frombuffer(items, np.int32), kinds, np.frombuffer(again, bool), at)
-
-
-def share_of(words: Words, terms: str, items: bytes, again: bytes, which: bytes, size: bytes) -> float:
+        n, items, which, size = [], [], [], []
+        for line in shown_lines(text) if isinstance(text, str) else ():
+            for c, joined, k, m in self.line(line):
+                size.append(c)
+                if joined is None:
+                    which.append(-1)
+                    continue
+                at = first.setdefault(joined, len(n))
+                if at == len(n):
+                    n.append(m)
+                    items.append(k)
+                which.append(at)
+        terms = " ".join(first)
+        return terms, *(np.array(x, np.int32).tobytes() for x in (n, items)), recurrent(terms.split()).tobytes(), *(np.array(x, np.int32).tobytes() for x in (which, size))
+
+
+def judged(words: Words, terms: list[str], n: bytes, items: bytes, again: bytes, which: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Of what ``Reader.read`` gives: whether each segment is stuffed, and its share of function words."""
+    kinds = np.array(list(map(words.__getitem__, terms)), np.int8)
+    return windows(np.frombuffer(n, np.int32), np.frombuffer(items, np.int32), kinds, np.frombuffer(again, bool), np.frombuffer(which, np.int32))
+
+
+def share_of(words: Words, terms: str, n: bytes, items: bytes, again: bytes, which: bytes, size: bytes) -> float:
     """Share of characters that are stuffed."""
     if not size:
         return 0.0
-    n = np.frombuffer(size, np.int32)
-    return float(n[judged(words, terms, items, again, which)[2]].sum() / n.sum())
+    c = np.frombuffer(size, np.int32)
+    return float(c[judged(words, terms.split(), n, items, again, which)[0]].sum() / c.sum())
 
 
-_READ = ["_terms", "_items", "_again", "_which", "_size"]
+_READ = ["_terms", "_n", "_items", "_again", "_which", "_size"]
+_ARRAYS = "_terms string, _n binary, _items binary, _again binary, _which binary, _size binary"
 
 
-def read_texts(docs: DataFrame, keep: list[str], language: Column) -> DataFrame:
-    """``keep`` of every document, the language it claims, and what ``Reader.read`` gives of it."""
+class Lessons:
+    """In how many texts of each language a term is in speech, and in how many in stuffed segments; the empty term counts the texts."""
+
+    def __init__(self) -> None:
+        self.speech: defaultdict[str, Counter[str]] = defaultdict(Counter)
+        self.stuffed: defaultdict[str, Counter[str]] = defaultdict(Counter)
+
+    def add(self, language: str | None, terms: list[str], n: np.ndarray, at: np.ndarray, bad: np.ndarray, share: np.ndarray) -> None:
+        """A text's terms, how many each distinct segment has, and of every segment which it is, whether it is stuffed, and its share of function words."""
+        language = language if isinstance(language, str) else ""
+        self.speech[language][""] += 1
+        if not len(at):
+            return
+        told = share.mean() >= 0.1  # else its language is not known, and what is not stuffed may be speech
+        said = np.zeros(len(n), bool)
+        said[at[(at >= 0) & ~bad & ((share >= 0.25) if told else True)]] = True
+        self.speech[language].update(set(compress(terms, np.repeat(said, n).tolist())))
+        if bad.mean() > 0.2:  # a few doubtful segments of a text that is speech say nothing
+            spam = np.zeros(len(n), bool)
+            spam[at[(at >= 0) & bad]] = True
+            self.stuffed[language].update(set(compress(terms, np.repeat(spam, n).tolist())))
+
+    def rows(self) -> pd.DataFrame:
+        rows = [(g, t, c[t], self.stuffed[g][t]) for g, c in self.speech.items() for t in c.keys() | self.stuffed[g].keys() if not t.startswith("<")]
+        return pd.DataFrame(rows, columns=["language", "term", "speech", "stuffed"])
+
+
+def read_texts(docs: DataFrame, keep: list[str], language: Column, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Every document with ``keep`` and, unless it is settled, what ``Reader.read`` gives of it; and what all of them teach.
+
+    A text in which the words of the list leave nothing stuffed is settled: further function words only leave less. Not so if a
+    script occurs of which none is known, for such text is no list until some are.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = Reader()
         for pdf in batches:
-            got = pd.DataFrame([r.read(t) for t in pdf["text"]], columns=_READ, index=pdf.index)
-            yield pd.concat([pdf[[*keep, "_language"]], got], axis=1)
+            lessons, out = Lessons(), []
+            for claimed, text in zip(pdf["_language"], pdf["text"], strict=True):
+                got = r.read(text)
+                terms, n, at = got[0].split(), np.frombuffer(got[1], np.int32), np.frombuffer(got[4], np.int32)
+                kinds = np.array(list(map(_FIXED.__getitem__, terms)), np.int8)
+                bad, share = windows(n, np.frombuffer(got[2], np.int32), kinds, np.frombuffer(got[3], bool), at)
+                lessons.add(claimed, terms, n, at, bad, share)
+                out.append(got if bad.any() or (kinds == 4).any() else (None,) * len(_READ))
+            yield pd.concat([pdf[keep], pd.DataFrame(out, columns=_READ, index=pdf.index)], axis=1).assign(_kind=0, language=None, term=None, speech=None, stuffed=None)
+            yield lessons.rows().assign(**dict.fromkeys([*keep, *_READ]), _kind=1)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep, language.alias("_language"), "text").mapInPandas(read, f"{schema}, _language string, _terms string, _items binary, _again binary, _which binary, _size binary")
+    lesson = "language string, term string, speech long, stuffed long"
+    columns = [*keep, *_READ, "language", "term", "speech", "stuffed", "_kind"]
+    ordered = lambda batches: (x[columns] for x in read(batches))
+    both = docs.select(*keep, language.alias("_language"), "text").mapInPandas(ordered, f"{schema}, {_ARRAYS}, {lesson}, _kind int")
+    both = work.put(both, "texts", by=("_kind",))
+    return both.filter("_kind = 0").select(*keep, *_READ), both.filter("_kind = 1").select("language", "term", "speech", "stuffed")
 
 
-def _teach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """In how many texts of each language a term is in speech, and in how many in stuffed segments; the empty term counts the texts."""
-    for pdf in batches:
-        speech: defaultdict[str, Counter[str]] = defaultdict(Counter)
-        stuffed: defaultdict[str, Counter[str]] = defaultdict(Counter)
-        for language, *read in zip(pdf["_language"], *(pdf[c] for c in _READ[:4]), strict=True):
-            cut, at, bad, share = judged(_FIXED, *read)
-            told = len(share) and share.mean() >= 0.1  # else its language is not known, and what is not stuffed may be speech
-            said, spam = set(), set()
-            for k, b, f in zip(at.tolist(), bad.tolist(), share.tolist(), strict=True):
-                if b:
-                    spam.update(cut[k])
-                elif k >= 0 and (f >= 0.25 or not told):
-                    said.update(cut[k])
-            if not len(bad) or bad.mean() <= 0.2:  # a few doubtful segments of a text that is speech say nothing
-                spam.clear()
-            language = language if isinstance(language, str) else ""
-            speech[language].update(said)
-            speech[language][""] += 1
-            stuffed[language].update(spam)
-        rows = [(g, t, c[t], stuffed[g][t]) for g, c in speech.items() for t in c.keys() | stuffed[g].keys() if not t.startswith("<")]
-        yield pd.DataFrame(rows, columns=["language", "term", "speech", "stuffed"])
-
-
-def learned(texts: DataFrame) -> frozenset[str]:
+def learned(lessons: DataFrame, work: Workspace) -> frozenset[str]:
     """Function words of each language that enough texts claim, and of all together, learned from all texts.
 
     A function word is in the speech of a share of COMMON of the texts, and thirty times more often than in stuffed segments. As many come to
     the driver as the mean number of distinct terms of a text divided by COMMON, at most, for each of at most a thousand languages.
     """
-    per = texts.mapInPandas(_teach, "language string, term string, speech long, stuffed long").groupBy("language", "term").agg(F.sum("speech").alias("speech"), F.sum("stuffed").alias("stuffed"))
-    work = Workspace(texts.sparkSession, "terms")
-    per = work.put(per, "terms")
-    sizes = {r[0]: r[1] for r in per.filter("term = ''").groupBy("language").agg(F.sum("speech")).orderBy(F.desc("sum(speech)")).limit(1000).collect()}
-    n = sum(sizes.values())
-    large = [(g, k) for g, k in sizes.items() if k >= max(LEAST_TEXTS, n / 1000)]
+    per = work.put(lessons.groupBy("language", "term").agg(F.sum("speech").alias("speech"), F.sum("stuffed").alias("stuffed")), "terms")
+    sizes = {r[0]: r[1] for r in per.filter("term = ''").select("language", "speech").orderBy(F.desc("speech")).limit(1000).collect()}
+    n = per.filter("term = ''").agg(F.sum("speech")).first()[0] or 0
     if n < LEAST_TEXTS:
         return frozenset()
-    named = per.join(F.broadcast(texts.sparkSession.createDataFrame(large or [("", n)], "language string, texts long")), "language")
+    large = [(g, k) for g, k in sizes.items() if k >= max(LEAST_TEXTS, n / 1000)]
+    named = per.join(F.broadcast(per.sparkSession.createDataFrame(large or [("", n)], "language string, texts long")), "language")
     everything = per.groupBy("term").agg(F.sum("speech").alias("speech"), F.sum("stuffed").alias("stuffed")).withColumn("texts", F.lit(n))
     both = named.select(everything.columns).unionByName(everything)
     got = both.filter((F.col("speech") >= F.greatest(F.lit(5), COMMON * F.col("texts"))) & (F.col("stuffed") * 30 <= F.col("speech")) & (F.col("term") != "")).select("term").distinct()
@@ -364,14 +385,15 @@ def stuffed(docs: DataFrame, keep: list[str] | None = None, language: str | None
     """
     keep = keep or ["doc_id"]
     claimed = F.substring(F.lower(F.trim(F.col(language))), 1, 2) if language else F.lit(None).cast("string")
-    texts = Workspace(docs.sparkSession, "texts").put(read_texts(docs, keep, claimed), "texts")
-    words = _FUNCTION | learned(texts.select("_language", *_READ[:4]))
+    work = Workspace(docs.sparkSession, "texts")
+    texts, lessons = read_texts(docs, keep, claimed, work)
+    words = _FUNCTION | learned(lessons, work)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Words(words)
         for pdf in batches:
-            share = [share_of(known, *x) for x in zip(*(pdf[c] for c in _READ), strict=True)]
+            share = [0.0 if x[0] is None else share_of(known, *x) for x in zip(*(pdf[c] for c in _READ), strict=True)]
             yield pdf[keep].assign(spam_share=share, spam=[s > 0.5 for s in share])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return texts.select(*keep, *_READ).mapInPandas(judge, f"{schema}, spam_share double, spam boolean")
+    return texts.mapInPandas(judge, f"{schema}, spam_share double, spam boolean")

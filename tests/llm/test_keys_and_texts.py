@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mergeloom.llm import mixing, packing, ribbon, stuffing, tokens
+from mergeloom.storage import Workspace
 
 HAVE = "have_id long, message_id long, doc_id string, peer string, hash string, key string, gen int"
 OFFERS = "offer_id long, doc_id string, peer string, n_bytes long, hash string, key string, gen int, a long"
@@ -53,8 +54,6 @@ def test_ribbon_repeated_equation_is_solved():
 def test_a_batch_is_sealed_beside_the_others(spark, tmp_path):
     from pathlib import Path
 
-    from mergeloom.storage import Workspace
-
     work = Workspace(spark, "sealed")
     sealed = ribbon.Sealed(work, 3)
     keys = lambda gen, ks: spark.createDataFrame([("have", gen, bytes.fromhex(k)) for k in ks], "origin string, gen int, key binary")
@@ -341,7 +340,8 @@ def test_function_words_are_learned_from_all_texts(spark):
     spam = [cues([", ".join(rnd.choice(THINGS) for _ in range(8)) for _ in range(6)]) for _ in range(300)]
     rows = [(i, t, "xx" if i < 400 else "en") for i, t in enumerate([*speech, *spam])]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
-    words = stuffing.learned(stuffing.read_texts(df, ["doc_id"], F.col("lang")).select("_language", *stuffing._READ[:5]))
+    work = Workspace(spark, "lessons")
+    words = stuffing.learned(stuffing.read_texts(df, ["doc_id"], F.col("lang"), work)[1], work)
     assert {stuffing._fold(w) for w in small} - stuffing._FUNCTION <= words and not words & {"wool", "socks", "desk", "mat"}
     got = {r["doc_id"]: r["spam"] for r in stuffing.stuffed(df, language="lang").collect()}
     assert [i for i, x in sorted(got.items()) if x] == list(range(400, 700))
