@@ -228,15 +228,20 @@ def windows(n: np.ndarray, items: np.ndarray, kinds: np.ndarray, again: np.ndarr
     bare = (speech <= 0.1) & (n > 0)
     stuffed = (speech <= 0.2) & ((content >= 0.5) & (k >= 3) | (marks >= 0.15)) | (speech <= 0.4) & (regular >= 0.6) & (k >= 16)
     # Segments without function words in a row, as the text has them, are a list from LIST_TERMS terms on.
-    at = which[which >= 0]
-    at = at[n[at] > 0]
     found = np.append(stuffed, False)[which]
-    if len(at):
-        b = (bare & (of(kinds == 4) * 2 < k))[at]
+    foreign = kinds == 4
+    if foreign.any():
+        bare &= of(foreign) * 2 < k
+    if int(n[bare].sum()) >= LIST_TERMS:
+        at = which[which >= 0]
+        at = at[n[at] > 0]
+        b = bare[at]
         fresh = np.zeros(len(at), np.int64)  # a segment adds to a list where it comes first
         fresh[np.unique(at, return_index=True)[1]] = 1
-        first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
-        total = lambda v: np.repeat(np.add.reduceat(v[at] * fresh, first), np.diff(np.r_[first, len(b)]))
+        change = np.ones(len(b), bool)
+        change[1:] = b[1:] != b[:-1]
+        first, run = np.flatnonzero(change), np.cumsum(change) - 1
+        total = lambda v: np.add.reduceat(v[at] * fresh, first)[run]
         length = total(n)
         listed = np.zeros(len(n), bool)
         listed[at[b & (length >= LIST_TERMS) & (length <= ITEM_TERMS * total(items))]] = True
