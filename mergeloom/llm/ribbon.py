@@ -145,7 +145,7 @@ def _seal(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _ask(probes: pd.DataFrame, filters: pd.DataFrame, every: bool) -> pd.DataFrame:
     """Of each probe, the filters that say yes, or only one of them unless ``every``; ``absent`` marks probes for the audit."""
-    found = [pd.DataFrame({"key": [], "gen": [], "absent": [], "origin": [], "seen_gen": []})]
+    found = [probes.iloc[:0][["key", "gen", "absent"]].assign(origin=pd.Series(dtype=object), seen_gen=pd.Series(dtype="int32"))]
     a, b = _hashes(probes) if len(probes) else (None, None)
     gen = probes["gen"].to_numpy() if len(probes) else None
     open_ = np.ones(len(probes), bool)

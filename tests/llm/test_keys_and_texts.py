@@ -106,6 +106,8 @@ def test_seen_before_empty_and_one_hot_key(spark):
     assert seen(spark, [], []).seen().count() == 0
     assert sorted(r[0] for r in seen(spark, [], [(i, hot) for i in range(300)]).seen().collect()) == list(range(1, 300))
     assert seen(spark, [(1, hot)] * 200, [(0, hot), (1, None)]).seen().count() == 1
+    few = seen(spark, [(i, k) for i, k in enumerate(hashes(900, 19))], [(0, hot)], shard_keys=10)  # most shards have nothing to answer
+    assert few.seen().count() == 0 and sum(r["n_asked"] for r in few.audit().collect()) == 8
 
 
 def test_batches_of_ids_of_any_size(spark):
