@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from .functions import values as V
 from .functions.keys import clean_hash, opid
-from .operators import dag, encodings, hierarchy, reconcile, sequences, tables, visibility
+from .operators import dag, documents, encodings, hierarchy, reconcile, sequences, tables, visibility
 from .problems import _bare, _hash, table
 from .sources import binary
-from .sources.derived import EVENT_CHANGES, EVENT_OPS, duck_sql, event_changes, event_ops, logged_ops, row_objects
+from .sources.derived import EVENT_CHANGES, EVENT_OPS, duck_sql, event_changes, event_ops, logged_ops, table_ops
 from .storage import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,19 +155,9 @@ def _(s, d):
     return _at(s, d, 12)
 
 
-@query("dag_history", f"{EC}, vis AS (SELECT c.arrival, o.key, o.ctr, o.actor FROM chg c JOIN op o ON o.epoch < c.epoch OR (o.epoch = c.epoch AND o.actor = c.actor) WHERE c.arrival % 60 = 1 AND o.action <> 'del' AND NOT EXISTS (SELECT 1 FROM pred p JOIN op q ON q.ctr = p.ctr AND q.actor = p.actor WHERE p.pctr = o.ctr AND p.pactor = o.actor AND (q.epoch < c.epoch OR (q.epoch = c.epoch AND q.actor = c.actor)))) SELECT arrival, key, max_by(ctr || '@' || actor, (ctr, actor)) AS op_id, count(*) AS n_values FROM vis GROUP BY ALL")
+@query("dag_history", f"{EC}, vis AS (SELECT c.arrival, o.key, o.ctr, o.actor FROM chg c JOIN op o ON o.epoch < c.epoch OR (o.epoch = c.epoch AND o.actor = c.actor) WHERE o.action <> 'del' AND NOT EXISTS (SELECT 1 FROM pred p JOIN op q ON q.ctr = p.ctr AND q.actor = p.actor WHERE p.pctr = o.ctr AND p.pactor = o.actor AND (q.epoch < c.epoch OR (q.epoch = c.epoch AND q.actor = c.actor)))) SELECT arrival, key, max_by(ctr || '@' || actor, (ctr, actor)) AS op_id, count(*) AS n_values FROM vis GROUP BY ALL")
 def _(s, d):
-    c, ops = event_changes(s, d), event_ops(s, d)
-    out = None
-    for r in c.filter("arrival % 60 = 1").select("arrival").collect():  # one snapshot per entry asked for
-        at = _winners(dag.dag_snapshot(c, ops, c.filter(F.col("arrival") == r[0]))).withColumn("arrival", F.lit(r[0]))
-        out = at if out is None else out.unionByName(at)
-    return out
-
-
-@query("dag_history_whole", f"{EC}, vis AS (SELECT c.arrival, o.key, o.ctr, o.actor FROM chg c JOIN op o ON o.epoch < c.epoch OR (o.epoch = c.epoch AND o.actor = c.actor) WHERE o.action <> 'del' AND NOT EXISTS (SELECT 1 FROM pred p JOIN op q ON q.ctr = p.ctr AND q.actor = p.actor WHERE p.pctr = o.ctr AND p.pactor = o.actor AND (q.epoch < c.epoch OR (q.epoch = c.epoch AND q.actor = c.actor)))) SELECT arrival, key, max_by(ctr || '@' || actor, (ctr, actor)) AS op_id, count(*) AS n_values FROM vis GROUP BY ALL")
-def _(s, d):
-    """All entries in one plan, of which ``dag_history`` has every sixtieth."""
+    """All entries of the history in one plan."""
     order = F.struct("ctr", "actor")
     seen = visibility.cells(dag.dag_history(event_changes(s, d), event_ops(s, d))).groupBy("doc_id", "obj", "entry", "cell").agg(F.max(order).alias("w"), F.count(F.lit(1)).alias("n_values"))
     return seen.select(F.col("entry").alias("arrival"), F.col("cell").alias("key"), opid(F.col("w.ctr"), F.col("w.actor")).alias("op_id"), "n_values")
@@ -233,12 +223,13 @@ def _(s, d):
     return encodings.enc_actor_dict(event_ops(s, d), ["doc_id"], "actor").drop("doc_id")
 
 
-@query("srt_actor", f"{EC} SELECT hash, actor, row_number() OVER (PARTITION BY hash ORDER BY actor <> author, actor) AS place FROM (SELECT c.hash, c.actor AS author, a.actor FROM chg c, (SELECT DISTINCT actor FROM op) a)")
+@query("srt_actor", f"{EC}, a AS (SELECT c.hash, c.actor AS author, p.pactor AS actor FROM pred p JOIN op o ON o.ctr = p.ctr AND o.actor = p.actor JOIN chg c ON c.actor = o.actor AND c.epoch = o.epoch UNION SELECT hash, actor, actor FROM chg) SELECT hash, actor, row_number() OVER (PARTITION BY hash ORDER BY actor <> author, actor) AS place FROM a")
 def _(s, d):
-    c = event_changes(s, d)
-    others = c.groupBy("doc_id").agg(F.array_sort(F.collect_set("actor")).alias("all"))
-    listed = c.join(others, "doc_id").select("hash", F.posexplode(F.concat(F.array("actor"), F.array_except("all", F.array("actor")))).alias("place", "actor"))
-    return listed.select("hash", "actor", (F.col("place") + 1).cast("long").alias("place"))
+    """The actors that each change names, its author first."""
+    named = event_ops(s, d).select(F.col("change_hash").alias("hash"), F.col("actor").alias("author"), F.explode("pred.actor").alias("actor"))
+    authors = event_changes(s, d).select("hash", F.col("actor").alias("author"), "actor")
+    w = Window.partitionBy("hash").orderBy(F.col("actor") != F.col("author"), "actor")  # as many rows as a change has actors
+    return named.unionByName(authors).distinct().select("hash", "actor", F.row_number().over(w).cast("long").alias("place"))
 
 
 @query("enc_multi_op", f"{E} SELECT actor, ctr FROM op")
@@ -438,17 +429,22 @@ def _(s, d):
 
 # --- L: the operation log ----------------------------------------------------------------
 
-_LOG = f"""q AS (SELECT DISTINCT doc_id, ctr, {_bare("actor")} AS actor, action, coalesce(obj.ctr || '@' || {_bare("obj.actor")}, '_root') AS obj, key, val.vtype AS vtype, val.i AS i, val.s AS s, coalesce(is_insert, FALSE) AS ins,
-  CASE WHEN elem.ctr = 0 THEN '_head' ELSE elem.ctr || '@' || {_bare("elem.actor")} END AS elem FROM op_log),
-u AS (SELECT *, ctr || '@' || actor AS id, coalesce(key, CASE WHEN ins THEN ctr || '@' || actor ELSE elem END) AS cell FROM q),
-ed AS (SELECT DISTINCT doc_id, ctr, {_bare("actor")} AS actor, p.ctr AS pctr, {_bare("p.actor")} AS pactor FROM (SELECT doc_id, ctr, actor, unnest(pred) AS p FROM op_log)),
-pr AS (SELECT x.doc_id, x.obj, x.cell, x.action, x.i, x.ctr, x.actor, t.ctr AS pctr, t.actor AS pactor, t.action = 'set' AND coalesce(t.vtype, '') = 'counter' AS counter
-  FROM ed JOIN u x USING (doc_id, ctr, actor) JOIN u t ON t.doc_id = ed.doc_id AND t.ctr = ed.pctr AND t.actor = ed.pactor AND t.obj = x.obj AND t.cell = x.cell AND t.action <> 'del'),
-bst AS (SELECT doc_id, ctr, actor, max((pctr, pactor)) AS b FROM pr WHERE action = 'inc' AND counter GROUP BY ALL),
-fo AS (SELECT pr.*, coalesce((pctr, pactor) = b, FALSE) AS folds FROM pr LEFT JOIN bst USING (doc_id, ctr, actor)),
-hid AS (SELECT doc_id, pctr AS ctr, pactor AS actor, count(*) FILTER (NOT folds) AS n_other, sum(CASE WHEN folds THEN i END) AS added FROM fo GROUP BY ALL),
-v AS (SELECT u.*, CASE WHEN action = 'set' AND vtype = 'counter' THEN CAST(i + coalesce(added, 0) AS BIGINT) ELSE i END AS value_i FROM u LEFT JOIN hid USING (doc_id, ctr, actor)
+def _log_sql(x: str = "", where: str = "TRUE") -> str:
+    """Operations ``u`` and what is visible of them, ``v``, of the part of the log that meets a condition; names get ``x`` behind them."""
+    return f"""q{x} AS (SELECT DISTINCT doc_id, ctr, {_bare("actor")} AS actor, action, coalesce(obj.ctr || '@' || {_bare("obj.actor")}, '_root') AS obj, key, val.vtype AS vtype, val.i AS i, val.s AS s, val.d AS d, val.b AS b, coalesce(is_insert, FALSE) AS ins,
+  CASE WHEN elem.ctr = 0 THEN '_head' ELSE elem.ctr || '@' || {_bare("elem.actor")} END AS elem FROM op_log WHERE {where}),
+u{x} AS (SELECT *, ctr || '@' || actor AS id, coalesce(key, CASE WHEN ins THEN ctr || '@' || actor ELSE elem END) AS cell FROM q{x}),
+ed{x} AS (SELECT DISTINCT doc_id, ctr, {_bare("actor")} AS actor, p.ctr AS pctr, {_bare("p.actor")} AS pactor FROM (SELECT doc_id, ctr, actor, unnest(pred) AS p FROM op_log WHERE {where})),
+pr{x} AS (SELECT x.doc_id, x.obj, x.cell, x.action, x.i, x.ctr, x.actor, t.ctr AS pctr, t.actor AS pactor, t.action = 'set' AND coalesce(t.vtype, '') = 'counter' AS counter
+  FROM ed{x} ed JOIN u{x} x USING (doc_id, ctr, actor) JOIN u{x} t ON t.doc_id = ed.doc_id AND t.ctr = ed.pctr AND t.actor = ed.pactor AND t.obj = x.obj AND t.cell = x.cell AND t.action <> 'del'),
+bst{x} AS (SELECT doc_id, ctr, actor, max((pctr, pactor)) AS b FROM pr{x} WHERE action = 'inc' AND counter GROUP BY ALL),
+fo{x} AS (SELECT pr.*, coalesce((pctr, pactor) = b, FALSE) AS folds FROM pr{x} pr LEFT JOIN bst{x} USING (doc_id, ctr, actor)),
+hid{x} AS (SELECT doc_id, pctr AS ctr, pactor AS actor, count(*) FILTER (NOT folds) AS n_other, sum(CASE WHEN folds THEN i END) AS added FROM fo{x} GROUP BY ALL),
+v{x} AS (SELECT u.*, CASE WHEN action = 'set' AND vtype = 'counter' THEN CAST(i + coalesce(added, 0) AS BIGINT) ELSE i END AS value_i FROM u{x} u LEFT JOIN hid{x} USING (doc_id, ctr, actor)
   WHERE action NOT IN ('del', 'inc') AND (n_other IS NULL OR (action = 'set' AND coalesce(vtype, '') = 'counter' AND n_other = 0)))"""
+
+
+_LOG = _log_sql()
 _SEQ = f"""{_LOG},
 sib AS (SELECT doc_id, obj, id, elem, row_number() OVER (PARTITION BY doc_id, obj, elem ORDER BY ctr DESC, actor DESC) AS rk FROM u WHERE ins AND key IS NULL),
 tr AS (SELECT doc_id, obj, id, [rk] AS path FROM sib WHERE elem = '_head' UNION ALL SELECT c.doc_id, c.obj, c.id, list_append(tr.path, c.rk) FROM tr JOIN sib c ON c.doc_id = tr.doc_id AND c.obj = tr.obj AND c.elem = tr.id),
@@ -497,11 +493,12 @@ def _(s, d):
     return _log(s, d).filter("action like 'make%'").select("doc_id", opid(F.col("ctr"), F.col("actor")).alias("object_id"), F.lower(F.substring("action", 5, 20)).alias("object_type"))
 
 
-@query("prj_obj_by_id", f"WITH {_LOG}, first AS (SELECT doc_id, obj FROM u WHERE obj <> '_root' ORDER BY doc_id, obj LIMIT 1) SELECT v.key, v.id AS op_id FROM v JOIN first USING (doc_id, obj) WHERE key IS NOT NULL")
+@query("prj_obj_by_id", f"WITH {_LOG}, first AS (SELECT doc_id, obj FROM v WHERE obj <> '_root' AND key IS NOT NULL ORDER BY doc_id, obj LIMIT 1) SELECT v.key, v.id AS op_id FROM v JOIN first USING (doc_id, obj) WHERE key IS NOT NULL")
 def _(s, d):
-    ops = _log(s, d)
-    one = ops.filter("obj <> '_root'").select("doc_id", "obj").orderBy("doc_id", "obj").limit(1)
-    return visibility.visible(ops).join(one, ["doc_id", "obj"]).filter("key is not null").select("key", opid(F.col("ctr"), F.col("actor")).alias("op_id"))
+    """The first object that has anything under a key."""
+    seen = visibility.visible(_log(s, d)).filter("key is not null")
+    one = seen.filter("obj <> '_root'").select("doc_id", "obj").orderBy("doc_id", "obj").limit(1)
+    return seen.join(one, ["doc_id", "obj"]).select("key", opid(F.col("ctr"), F.col("actor")).alias("op_id"))
 
 
 @query("join_parent_child", f"WITH {_LOG} SELECT c.doc_id, c.id AS op_id, p.id AS object_id, p.key AS parent_key FROM u c JOIN u p ON p.doc_id = c.doc_id AND p.id = c.obj AND p.action LIKE 'make%'")
@@ -611,7 +608,32 @@ _TID = "substr(sha256('customer|' || c_custkey), 1, 32)"
 
 
 def _customers(s, d) -> DataFrame:
-    return tables.crdt_table_state(row_objects(table(s, d, "customer").select(*_CUSTOMER), "customer", "c_custkey"), _CUSTOMER)
+    """Customers as a table of a document, from the operations that made it, overwrote and contested its cells."""
+    ops = Workspace(s, "table-ops").put(table_ops(table(s, d, "customer").select(*_CUSTOMER), "customer", "c_custkey", _CUSTOMER), "ops")
+    return tables.crdt_table_state(ops, _CUSTOMER).drop("doc_id", "table_id")
+
+
+_TOP = """top AS (SELECT doc_id, obj, cell, max_by(struct_pack(id := id, action := action, vtype := vtype, s := s, value_i := value_i, d := d, b := b), (ctr, actor)) AS w, count(*) AS n_values FROM v GROUP BY ALL)"""
+
+
+def _told(values: DataFrame) -> DataFrame:
+    """Texts and truth values in one column."""
+    return values.withColumn("text", F.coalesce("s", F.col("b").cast("string"))).drop("s", "b")
+
+
+@query("crdt_table_cells", f"""WITH {_LOG}, {_TOP}, tb AS (SELECT doc_id, w.id AS id FROM top WHERE w.action = 'makeTable'),
+rw AS (SELECT top.doc_id, top.obj AS table_id, top.cell AS row_id, top.w.id AS obj FROM top JOIN tb ON tb.doc_id = top.doc_id AND tb.id = top.obj WHERE top.w.action = 'makeMap')
+SELECT rw.doc_id, rw.table_id, rw.row_id, t.cell AS "column", t.w.id AS op_id, t.w.vtype AS vtype, coalesce(t.w.s, CAST(t.w.b AS VARCHAR)) AS text, t.w.value_i AS value_i, t.w.d AS d, t.n_values FROM top t JOIN rw ON rw.doc_id = t.doc_id AND rw.obj = t.obj""")
+def _(s, d):
+    """Rows and cells of all tables in the log, with conflicts counted."""
+    return _told(tables.table_cells(tables.winners(_log(s, d)))).drop("action")
+
+
+@query("agg_table_rows", f"""WITH {_LOG}, {_TOP}, tb AS (SELECT doc_id, w.id AS id FROM top WHERE w.action = 'makeTable')
+SELECT top.doc_id, top.obj AS table_id, count(*) AS n_rows FROM top JOIN tb ON tb.doc_id = top.doc_id AND tb.id = top.obj WHERE top.w.action = 'makeMap' AND EXISTS (SELECT 1 FROM top c WHERE c.doc_id = top.doc_id AND c.obj = top.w.id) GROUP BY ALL""")
+def _(s, d):
+    """Rows of every table in the log that have any cell."""
+    return tables.table_cells(tables.winners(_log(s, d))).groupBy("doc_id", "table_id").agg(F.countDistinct("row_id").alias("n_rows"))
 
 
 @query("crdt_table_state", f"SELECT {_TID} AS id, c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
@@ -775,20 +797,13 @@ def _(s, d):
     return ops.select("doc_id", opid(F.col("ctr"), F.col("actor")).alias("op_id"), F.row_number().over(w).cast("long").alias("place"))
 
 
-@query("prj_value", "SELECT row_id, CASE val.vtype WHEN 'str' THEN val.s WHEN 'null' THEN 'null' WHEN 'bool' THEN CAST(val.b AS VARCHAR) ELSE coalesce(CAST(val.i AS VARCHAR), 'x') END AS shown FROM op_log WHERE action = 'set' AND val.d IS NULL")
-def _(s, d):
-    v = F.col("val")
-    shown = F.when(v["vtype"] == "str", v["s"]).when(v["vtype"] == "null", "null").when(v["vtype"] == "bool", v["b"].cast("string")).otherwise(F.coalesce(v["i"].cast("string"), F.lit("x")))
-    return table(s, d, "op_log").filter("action = 'set' and val.d is null").select("row_id", shown.alias("shown"))
-
-
-@query("prj_value_whole")
+@query("prj_value", "SELECT row_id, CASE val.vtype WHEN 'str' THEN val.s WHEN 'null' THEN 'null' WHEN 'bool' THEN CAST(val.b AS VARCHAR) WHEN 'float64' THEN NULL ELSE coalesce(CAST(val.i AS VARCHAR), 'x') END AS shown, CASE WHEN val.vtype = 'float64' THEN val.d END AS number, CASE WHEN val.vtype = 'timestamp' THEN make_timestamp(val.i * 1000) END AS moment FROM op_log WHERE action = 'set'")
 def _(s, d):
-    """Values of all types, with the floating-point ones that ``prj_value`` leaves out; SQL engines write these differently."""
+    """Values of all types: floating-point ones and times as such, the others as text."""
     v = F.col("val")
-    plain = F.when(v["vtype"] == "str", v["s"]).when(v["vtype"] == "null", "null").when(v["vtype"] == "bool", v["b"].cast("string"))
-    shown = plain.when(v["vtype"] == "float64", v["d"].cast("string")).otherwise(F.coalesce(v["i"].cast("string"), F.lit("x")))
-    return table(s, d, "op_log").filter("action = 'set'").select("row_id", shown.alias("shown"))
+    shown = F.when(v["vtype"] == "str", v["s"]).when(v["vtype"] == "null", "null").when(v["vtype"] == "bool", v["b"].cast("string")).when(v["vtype"] != "float64", F.coalesce(v["i"].cast("string"), F.lit("x")))
+    moment = F.when(v["vtype"] == "timestamp", V.from_millis(v["i"])).cast("timestamp_ntz")
+    return table(s, d, "op_log").filter("action = 'set'").select("row_id", shown.alias("shown"), F.when(v["vtype"] == "float64", v["d"]).alias("number"), moment.alias("moment"))
 
 
 # --- whole documents, links to touched objects, binary form ------------------------------
@@ -804,16 +819,57 @@ def _shown(s, d) -> tuple[DataFrame, DataFrame]:
     return visibility.visible(ops), tree.join(visibility.reachable_objects(ops, tree), ["doc_id", "object_id"], "left_semi")
 
 
-@query("crdt_whole_doc", f"WITH RECURSIVE {_TREE_L}, top AS (SELECT doc_id, obj, cell, max_by(id, (ctr, actor)) AS op_id FROM v GROUP BY ALL) SELECT top.doc_id, coalesce(rr.path || '/', '') || top.cell AS path, op_id FROM top LEFT JOIN rr ON rr.doc_id = top.doc_id AND rr.id = top.obj WHERE top.obj = '_root' OR rr.id IS NOT NULL")
+@query("crdt_whole_doc", f"WITH RECURSIVE {_TREE_L}, {_TOP} SELECT top.doc_id, coalesce(rr.path || '/', '') || top.cell AS path, w.id AS op_id, w.action AS action, w.vtype AS vtype, coalesce(w.s, CAST(w.b AS VARCHAR)) AS text, w.value_i AS value_i, w.d AS d, top.n_values FROM top LEFT JOIN rr ON rr.doc_id = top.doc_id AND rr.id = top.obj WHERE top.obj = '_root' OR rr.id IS NOT NULL")
 def _(s, d):
-    """Every value shown, with its path from the root; elements of lists are named by their ids."""
+    """Every value shown, typed, with its path from the root and how many it contends with; elements of lists are named by their ids."""
     seen, shown = _shown(s, d)
-    top = visibility.agg_lww(seen).select("doc_id", "obj", "cell", opid(F.col("ctr"), F.col("actor")).alias("op_id"))
-    at_root = top.filter("obj = '_root'").select("doc_id", F.col("cell").alias("path"), "op_id")
+    values = [*tables.VALUES, "n_values"]
+    top = visibility.agg_lww(seen, *tables.VALUES).select("doc_id", "obj", "cell", opid(F.col("ctr"), F.col("actor")).alias("op_id"), *values)
+    at_root = top.filter("obj = '_root'").select("doc_id", F.col("cell").alias("path"), "op_id", *values)
     # A list's element is named by its insertion, which for an assigned object is not the object itself.
     paths = _cell_paths(seen, shown)
-    below = top.join(paths, ["doc_id", "obj"]).select("doc_id", F.concat("above", F.lit("/"), "cell").alias("path"), "op_id")
-    return at_root.unionByName(below)
+    below = top.join(paths, ["doc_id", "obj"]).select("doc_id", F.concat("above", F.lit("/"), "cell").alias("path"), "op_id", *values)
+    return _told(at_root.unionByName(below))
+
+
+@query("crdt_whole_json")
+def _(s, d):
+    """Documents as JSON, nested, in parts. SQL does not nest without bound; tests compare with a session's value."""
+    return documents.whole_documents(_log(s, d))
+
+
+_UPTO = 100  # the state before has the operations up to this counter, the state after has all
+_LISTS = f"""{_log_sql("0", f"ctr <= {_UPTO}")},
+el1 AS (SELECT doc_id, obj, cell AS elem, max_by(id, (ctr, actor)) AS after_id, max_by(vtype, (ctr, actor)) AS vtype, max_by(action, (ctr, actor)) AS action, count(*) AS n1 FROM v WHERE key IS NULL GROUP BY ALL),
+el0 AS (SELECT doc_id, obj, cell AS elem, max_by(id, (ctr, actor)) AS before_id, count(*) AS n0 FROM v0 WHERE key IS NULL GROUP BY ALL),
+bo AS (SELECT doc_id, obj, elem, after_id, before_id, vtype, action, n1, n0 FROM el1 FULL JOIN el0 USING (doc_id, obj, elem)),
+pt AS (SELECT bo.*, path, count(after_id) OVER w - (after_id IS NOT NULL)::INT AS idx, CASE WHEN before_id IS NOT NULL THEN count(before_id) OVER w - 1 END AS before_idx,
+  CASE WHEN before_id IS NULL THEN 'insert' WHEN after_id IS NULL THEN 'remove' WHEN before_id <> after_id THEN 'update' WHEN n0 <> n1 THEN 'conflict' ELSE 'keep' END AS edit
+  FROM bo JOIN tr ON tr.doc_id = bo.doc_id AND tr.obj = bo.obj AND tr.id = bo.elem WINDOW w AS (PARTITION BY bo.doc_id, bo.obj ORDER BY path))"""
+
+
+def _list_patch(s, d) -> DataFrame:
+    ops = _log(s, d)
+    return Workspace(s, "list-patch").put(tables.list_patch(ops.filter(F.col("ctr") <= _UPTO), ops), "patch")
+
+
+@query("crdt_list_patch", f"WITH RECURSIVE {_SEQ}, {_LISTS} SELECT doc_id, obj, elem, CAST(idx AS BIGINT) AS idx, edit, before_id, after_id FROM pt WHERE edit <> 'keep'")
+def _(s, d):
+    """Edits, with their places, that make the lists of one state those of a later one."""
+    return _list_patch(s, d).filter("edit <> 'keep'").select("doc_id", "obj", "elem", "idx", "edit", "before_id", "after_id")
+
+
+@query("crdt_multi_insert", f"WITH RECURSIVE {_SEQ}, {_LISTS}, a AS (SELECT *, CAST(split_part(elem, '@', 1) AS BIGINT) AS c, split_part(elem, '@', 2) AS k, action = 'set' AND after_id = elem AS plain FROM pt WHERE edit = 'insert'), b AS (SELECT *, CASE WHEN lag(idx) OVER w = idx - 1 AND lag(k) OVER w = k AND lag(c) OVER w = c - 1 AND lag(vtype) OVER w IS NOT DISTINCT FROM vtype AND plain AND lag(plain) OVER w THEN 0 ELSE 1 END AS new FROM a WINDOW w AS (PARTITION BY doc_id, obj ORDER BY idx)), r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, obj ORDER BY idx) AS run FROM b) SELECT doc_id, obj, CAST(min(idx) AS BIGINT) AS idx, min_by(elem, idx) AS elem, count(*) AS n FROM r GROUP BY doc_id, obj, run")
+def _(s, d):
+    """Insertions that one edit of several values can say."""
+    return tables.multi_inserts(_list_patch(s, d))
+
+
+@query("crdt_observe_list", f"WITH RECURSIVE {_SEQ}, {_LISTS} SELECT doc_id, obj, elem, CAST(before_idx AS BIGINT) AS before_idx, CASE WHEN after_id IS NOT NULL THEN CAST(idx AS BIGINT) END AS after_idx, edit FROM pt WHERE edit <> 'keep' OR before_idx <> idx")
+def _(s, d):
+    """What an observer of elements is told: each that changed or moved, with its place before and after."""
+    p = _list_patch(s, d).filter("edit <> 'keep' or before_idx <> idx")
+    return p.select("doc_id", "obj", "elem", "before_idx", F.when(F.col("after_id").isNotNull(), F.col("idx")).alias("after_idx"), "edit")
 
 
 def _cell_paths(seen: DataFrame, shown: DataFrame) -> DataFrame:
@@ -840,10 +896,13 @@ def _(s, d):
     return visibility.covering(marked, "touched").select("doc_id", "object_id")
 
 
-def _binary(s, d) -> DataFrame:
+def _binary(s, d, chained: bool = False) -> DataFrame:
     ops = event_ops(s, d).withColumn("change_id", F.col("change_hash")).withColumnRenamed("value", "d").withColumn("s", F.lit(None).cast("string"))
     changes = event_changes(s, d).withColumn("change_id", F.col("hash")).withColumns({"time_s": F.lit(0).cast("long"), "message": F.col("epoch").cast("string")})
-    return Workspace(s, "binary").put(binary.snk_change(changes, ops), "changes")
+    if chained:  # a document does not write deletions of nothing, so they are assignments of null there
+        nothing = F.expr("action = 'del' and size(pred) = 0")
+        ops = ops.withColumns({"action": F.when(nothing, "set").otherwise(F.col("action")), "vtype": F.when(nothing, "null").otherwise(F.col("vtype"))})
+    return Workspace(s, "binary").put((binary.snk_chain if chained else binary.snk_change)(changes, ops), "changes")
 
 
 @query("snk_change", f"{EC} SELECT actor, seq, start_op, CAST(epoch AS VARCHAR) AS message FROM chg")
@@ -864,10 +923,50 @@ def _(s, d):
     return p.select("ctr", "actor", F.col("p.ctr").alias("pctr"), F.col("p.actor").alias("pactor"))
 
 
-@query("src_chunks", f"{EC} SELECT count(*) AS n, CAST(1 AS INTEGER) AS kind FROM chg")
+@query("src_chunks", f"{EC} SELECT actor AS doc_id, CAST(1 AS INTEGER) AS kind, count(*) AS n FROM chg GROUP BY actor")
+def _(s, d):
+    """All changes of an actor in one file, split again."""
+    files = binary.src_change_meta(_binary(s, d)).select("hash", "actor").join(_binary(s, d).select("hash", "data"), "hash")
+    joined = files.groupBy(F.col("actor").alias("doc_id")).agg(F.expr("listagg(hex(data), '')").alias("h")).select("doc_id", F.unhex("h").alias("data"))
+    return binary.src_chunks(joined).groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _saved(s, d) -> DataFrame:
+    """The map log saved as one document."""
+    return Workspace(s, "saved").put(binary.snk_save(_binary(s, d, chained=True)), "saved")
+
+
+@query("snk_save", f"{E} SELECT o.ctr, o.actor, o.key, CASE WHEN o.action = 'del' AND count(p.pctr) = 0 THEN 'set' ELSE o.action END AS action, CASE WHEN o.action = 'set' THEN o.value END AS value, coalesce(string_agg(p.pctr || '@' || p.pactor, ',' ORDER BY p.pctr, p.pactor), '') AS pred FROM op o LEFT JOIN pred p ON p.ctr = o.ctr AND p.actor = o.actor GROUP BY o.ctr, o.actor, o.key, o.action, o.value")
+def _(s, d):
+    """All changes saved as a document, and all operations read from it, deletions and predecessors too, which a document does not write."""
+    return binary.src_ops(_saved(s, d)).select("ctr", "actor", "key", "action", F.col("d").alias("value"), _ids("pred").alias("pred"))
+
+
+@query("src_load", f"{E}, {_VIS} SELECT key, ctr, actor, value FROM vis UNION ALL SELECT key, ctr, actor, NULL FROM op o WHERE action = 'del' AND NOT EXISTS (SELECT 1 FROM pred p WHERE p.ctr = o.ctr AND p.actor = o.actor)")
+def _(s, d):
+    """What is seen of a document that was saved and loaded."""
+    return visibility.visible(binary.src_ops(_saved(s, d)).withColumn("b", F.lit(None).cast("boolean"))).select("key", "ctr", "actor", F.col("d").alias("value"))
+
+
+@query("src_doc_decode", f"{EC} SELECT actor, seq, start_op, CAST(epoch AS VARCHAR) AS message, (SELECT count(*) FROM dep WHERE dep.hash = chg.hash) AS n_deps FROM chg")
+def _(s, d):
+    """The changes in a saved document."""
+    return binary.src_change_meta(_saved(s, d)).select("actor", "seq", "start_op", "message", F.size("deps").cast("long").alias("n_deps"))
+
+
+@query("src_doc_header", f"{EC} SELECT string_agg(DISTINCT actor, ',' ORDER BY actor) AS actors, (SELECT count(*) FROM chg WHERE hash NOT IN (SELECT dep FROM dep)) AS n_heads FROM op")
 def _(s, d):
-    """All changes in one file, split again."""
-    return binary.src_chunks(_binary(s, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """Actors and heads of a saved document; nothing else of it is decoded."""
+    return binary.src_doc_header(_saved(s, d)).select(F.array_join("actors", ",").alias("actors"), F.size("heads").cast("long").alias("n_heads"))
+
+
+@query("snk_doc_header", f"{EC} SELECT string_agg(DISTINCT actor, ',' ORDER BY actor) AS actors, (SELECT count(*) FROM chg WHERE hash NOT IN (SELECT dep FROM dep)) AS n_heads, TRUE AS same FROM op")
+def _(s, d):
+    """A header written again from what was read of it is the same bytes."""
+    h = binary.src_doc_header(_saved(s, d))
+    again = binary.snk_doc_header(h).select("doc_id", F.col("header").alias("written"))
+    both = h.join(again, "doc_id")
+    return both.select(F.array_join("actors", ",").alias("actors"), F.size("heads").cast("long").alias("n_heads"), (F.col("written") == F.col("header")).alias("same"))
 
 
 def _chained(s, d) -> DataFrame:
@@ -887,26 +986,6 @@ def _chained(s, d) -> DataFrame:
 _NATIONS = "SELECT CAST(n_regionkey AS VARCHAR) AS doc_id, n_nationkey AS k, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn FROM nation"
 
 
-@query("src_load", f"WITH n AS ({_NATIONS}) SELECT doc_id, 'n' || k AS key, n_name AS s FROM n UNION ALL SELECT doc_id, 'last', NULL FROM n GROUP BY doc_id")
-def _(s, d):
-    """Documents saved, loaded, and read: what is seen of them."""
-    return visibility.visible(binary.src_ops(_chained(s, d))).select("doc_id", "key", "s")
-
-
-@query("src_doc_decode", f"WITH n AS ({_NATIONS}) SELECT doc_id, 2 * rn - 1 AS ctr, 'n' || k AS key FROM n UNION ALL SELECT doc_id, 2 * rn, 'last' FROM n")
-def _(s, d):
-    return binary.src_ops(_chained(s, d)).select("doc_id", "ctr", "key")
-
-
-@query("snk_save", f"WITH n AS ({_NATIONS}) SELECT doc_id, CAST(0 AS INTEGER) AS kind, count(*) AS n FROM n GROUP BY doc_id HAVING count(*) > 0")
-def _(s, d):
-    """Saved documents are one container each; saved again from their changes they are the same."""
-    files = _chained(s, d)
-    ops = binary.src_ops(files)
-    per = ops.groupBy("doc_id").agg(F.countDistinct("change_hash").alias("n"))
-    return binary.src_chunks(files).join(per, "doc_id").select("doc_id", "kind", "n")
-
-
 @query("mut_change", f"WITH n AS ({_NATIONS}) SELECT doc_id, 2 * rn AS ctr, CASE WHEN rn > 1 THEN 2 * rn - 2 END AS pctr FROM n")
 def _(s, d):
     """Each assignment of a key names the one before."""

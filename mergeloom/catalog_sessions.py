@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .catalog import _LOG, E, Query, _log
+from .functions import bits, ids
 from .functions import values as V
 from .functions.keys import opid
 from .operators import tables, visibility
@@ -37,74 +38,35 @@ def query(name: str, sql: str | None = None):
 _LEB = "CASE WHEN event_id < 128 THEN printf('%02x', event_id) WHEN event_id < 16384 THEN printf('%02x%02x', event_id % 128 + 128, event_id // 128) ELSE printf('%02x%02x%02x', event_id % 128 + 128, event_id // 128 % 128 + 128, event_id // 16384) END"
 
 
-@query("enc_leb128", f"SELECT event_id, {_LEB} AS bytes, event_id AS back FROM events")
+@query("enc_leb128", f"SELECT event_id, {_LEB} AS bytes, event_id AS back, -event_id AS signed_back FROM events")
 def _(s, d):
-    @F.pandas_udf("string")
-    def put(n: pd.Series) -> pd.Series:
-        return n.map(lambda x: codec.uleb(x).hex())
+    n = F.col("event_id").cast("long")
+    coded = table(s, d, "events").select("event_id", bits.uleb(n).alias("b"), bits.sleb(-n).alias("c"))
+    return coded.select("event_id", F.lower(F.hex("b")).alias("bytes"), bits.uleb_value(F.col("b")).alias("back"), bits.sleb_value(F.col("c")).alias("signed_back"))
 
-    @F.pandas_udf("long")
-    def get(h: pd.Series) -> pd.Series:
-        return h.map(lambda x: codec.Reader(bytes.fromhex(x)).uint())
 
-    return table(s, d, "events").select("event_id", put("event_id").alias("bytes")).withColumn("back", get("bytes"))
-
-
-@query("enc_utf8_hex", "SELECT doc_id, lower(hex(encode(substr(text, 1, 40)))) AS h FROM documents WHERE text IS NOT NULL")
-def _(s, d):
-    return table(s, d, "documents").filter("text is not null").select("doc_id", F.lower(F.hex(F.encode(F.substring("text", 1, 40), "utf-8"))).alias("h"))
-
-
-@query("enc_utf8_hex_whole", "SELECT doc_id, lower(hex(encode(text))) AS h FROM documents WHERE text IS NOT NULL")
+@query("enc_utf8_hex", "SELECT doc_id, lower(hex(encode(text))) AS h, TRUE AS same FROM documents WHERE text IS NOT NULL")
 def _(s, d):
-    """All of every text, of which ``enc_utf8_hex`` has the first 40 characters."""
-    return table(s, d, "documents").filter("text is not null").select("doc_id", F.lower(F.hex(F.encode("text", "utf-8"))).alias("h"))
+    """Whole texts as the digits of their bytes, and read again."""
+    coded = table(s, d, "documents").filter("text is not null").select("doc_id", "text", F.lower(F.hex(F.encode("text", "utf-8"))).alias("h"))
+    return coded.select("doc_id", "h", (F.decode(F.unhex("h"), "utf-8") == F.col("text")).alias("same"))
 
 
 _SLEB = "CASE WHEN i >= -64 AND i < 64 THEN 1 WHEN i >= -8192 AND i < 8192 THEN 2 WHEN i >= -1048576 AND i < 1048576 THEN 3 WHEN i >= -134217728 AND i < 134217728 THEN 4 WHEN i >= -17179869184 AND i < 17179869184 THEN 5 WHEN i >= -2199023255552 AND i < 2199023255552 THEN 6 ELSE 7 END"
-_TAG = "CASE vtype WHEN 'str' THEN octet_length(encode(s)) * 16 + 6 WHEN 'int' THEN ({len}) * 16 + 4 WHEN 'counter' THEN ({len}) * 16 + 8 WHEN 'timestamp' THEN ({len}) * 16 + 9 WHEN 'float64' THEN 8 * 16 + 5 WHEN 'null' THEN 0 END"
-
-
-@query("enc_value", f"SELECT row_id, CAST({_TAG.format(len=_SLEB)} AS BIGINT) AS tag FROM (SELECT row_id, val.vtype AS vtype, val.i AS i, val.s AS s FROM op_log WHERE action = 'set' AND val.vtype IN ('str', 'int', 'counter', 'timestamp', 'float64', 'null'))")
-def _(s, d):
-    """Tag of each value: four bits of type, above them the length of its bytes."""
-
-    @F.pandas_udf("long")
-    def tag(vtype: pd.Series, i: pd.Series, x: pd.Series, text: pd.Series) -> pd.Series:
-        pick = {"str": lambda r: r[3], "float64": lambda r: r[2], "null": lambda r: None}
-        rows = zip(vtype, i, x, text, strict=True)
-        return pd.Series([codec.encode_value(r[0], pick.get(r[0], lambda r: int(r[1]))(r))[0] for r in rows])
-
-    v = F.col("val")
-    sets = table(s, d, "op_log").filter("action = 'set' and val.vtype in ('str', 'int', 'counter', 'timestamp', 'float64', 'null')")
-    return sets.select("row_id", tag(v["vtype"], v["i"].cast("string"), v["d"], v["s"]).alias("tag"))
-
-
 _ULEB = "CASE " + " ".join(f"WHEN i < {1 << 7 * k} THEN {k}" for k in range(1, 8)) + " ELSE 8 END"
+_TAG = f"CASE vtype WHEN 'bool' THEN CASE WHEN b THEN 2 ELSE 1 END WHEN 'uint' THEN ({_ULEB}) * 16 + 3 WHEN 'str' THEN octet_length(encode(s)) * 16 + 6 WHEN 'int' THEN ({_SLEB}) * 16 + 4 WHEN 'counter' THEN ({_SLEB}) * 16 + 8 WHEN 'timestamp' THEN ({_SLEB}) * 16 + 9 WHEN 'float64' THEN 8 * 16 + 5 WHEN 'null' THEN 0 END"
 
 
-@query("enc_value_whole", f"SELECT row_id, CAST(CASE vtype WHEN 'bool' THEN CASE WHEN b THEN 2 ELSE 1 END WHEN 'uint' THEN ({_ULEB}) * 16 + 3 ELSE {_TAG.format(len=_SLEB)} END AS BIGINT) AS tag FROM (SELECT row_id, val.vtype AS vtype, val.i AS i, val.s AS s, val.b AS b FROM op_log WHERE action = 'set')")
+@query("enc_value", f"SELECT row_id, CAST({_TAG} AS BIGINT) AS tag FROM (SELECT row_id, val.vtype AS vtype, val.i AS i, val.s AS s, val.b AS b FROM op_log WHERE action = 'set')")
 def _(s, d):
-    """Tags of values of all types, with those that ``enc_value`` leaves out."""
-
-    @F.pandas_udf("long")
-    def tag(vtype: pd.Series, i: pd.Series, x: pd.Series, text: pd.Series, flag: pd.Series) -> pd.Series:
-        pick = {"str": lambda r: r[3], "float64": lambda r: r[2], "null": lambda r: None, "true": lambda r: None, "false": lambda r: None}
-        kinds = [("true" if b else "false") if t == "bool" else t for t, b in zip(vtype, flag, strict=True)]
-        rows = zip(kinds, i, x, text, strict=True)
-        return pd.Series([codec.encode_value(r[0], pick.get(r[0], lambda r: int(r[1]))(r))[0] for r in rows])
-
+    """Tag of each value, of all types: four bits of type, above them the length of its bytes."""
     v = F.col("val")
-    return table(s, d, "op_log").filter("action = 'set'").select("row_id", tag(v["vtype"], v["i"].cast("string"), v["d"], v["s"], v["b"]).alias("tag"))
+    return table(s, d, "op_log").filter("action = 'set'").select("row_id", bits.value_tag(v["vtype"], v["b"], v["i"], v["s"]).alias("tag"))
 
 
 @query("snk_container", "SELECT c_custkey, sha256('\\x01'::BLOB || unhex(printf('%02x', octet_length(encode(c_name)))) || encode(c_name)) AS hash FROM customer")
 def _(s, d):
-    @F.pandas_udf("string")
-    def hash_(x: pd.Series) -> pd.Series:
-        return x.map(lambda t: codec.containers(codec.container(codec.CHANGE, t.encode())[0])[0][2])
-
-    return table(s, d, "customer").select("c_custkey", hash_("c_name").alias("hash"))
+    return table(s, d, "customer").select("c_custkey", bits.container_hash(codec.CHANGE, F.encode("c_name", "utf-8")).alias("hash"))
 
 
 @query("snk_deflate", "SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, TRUE AS same FROM documents")
@@ -113,7 +75,8 @@ def _(s, d):
 
     @F.pandas_udf("boolean")
     def same(x: pd.Series) -> pd.Series:
-        return x.map(lambda t: codec.inflate(codec.deflate(t.encode())) == t.encode())
+        whole = [t.encode() for t in x]
+        return pd.Series([codec.inflate(codec.deflate(t)) == t for t in whole])
 
     t = F.coalesce("text", F.lit(""))
     return table(s, d, "documents").select("doc_id", F.octet_length(t).cast("long").alias("n_bytes"), same(t).alias("same"))
@@ -134,8 +97,8 @@ def _(s, d):
 
 @query("fn_uuid", "SELECT count(*) AS n_ids, CAST(32 AS BIGINT) AS n_digits FROM customer")
 def _(s, d):
-    ids = table(s, d, "customer").select(F.regexp_replace(F.expr("uuid()"), "-", "").alias("id"))
-    return ids.agg(F.countDistinct("id").alias("n_ids"), F.max(F.length("id")).cast("long").alias("n_digits"))
+    made = table(s, d, "customer").select(ids.new_ids().alias("id"))
+    return made.agg(F.countDistinct("id").alias("n_ids"), F.max(F.length("id")).cast("long").alias("n_digits"))
 
 
 @query("fn_float64", "SELECT event_id, CAST(event_id AS DOUBLE) / 4 AS x FROM events")
@@ -398,9 +361,3 @@ def _(s, d):
     """All changes loaded at once, in reverse."""
     doc = Document("cc").apply(list(_filled(s, d).changes.values())[::-1])
     return _rows(s, [(k,) for k in doc.value()], "key string")
-
-
-@query("src_doc_header", "SELECT 'aa' AS actor, count(*) AS n_changes FROM nation")
-def _(s, d):
-    changes = codec.decode_document(_filled(s, d).save())
-    return _rows(s, [(changes[0]["actor"], len(changes))], "actor string, n_changes long")

@@ -51,9 +51,9 @@ def _walk(front: pd.DataFrame, links: pd.DataFrame, by: tuple[str, ...]) -> pd.D
     order = np.argsort(src, kind="stable")
     src, dst = src[order], dst[order]
     first = np.searchsorted(src, np.arange(len(nodes) + 1))
-    leaves = pd.array([pd.NA] * len(nodes), dtype="Int64")  # of nodes elsewhere, their block
-    away = (links["nxt_block"] != links["block"]).fillna(True).to_numpy(bool)
-    leaves[place[n : 2 * n][away]] = links["nxt_block"].astype("Int64")[away].array
+    leaves = np.full(len(nodes), None, object)  # of nodes elsewhere, their block
+    away = (links["nxt_block"] != links["block"]).to_numpy(bool)
+    leaves[place[n : 2 * n][away]] = links["nxt_block"].to_numpy(object)[away]
     outside = np.zeros(len(nodes), bool)
     outside[place[n : 2 * n][away]] = True
     parts = []
@@ -68,7 +68,7 @@ def _walk(front: pd.DataFrame, links: pd.DataFrame, by: tuple[str, ...]) -> pd.D
             reached = dst[np.repeat(first[now] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())] if len(now) else now
             now = np.unique(reached[~seen[reached]])
         at = np.flatnonzero(seen)
-        parts.append(pd.DataFrame({**dict(zip(by, key, strict=True)), "hash": nodes[at], "goes_on": leaves[at]}))
+        parts.append(pd.DataFrame({**dict(zip(by, key, strict=True)), "hash": pd.Series(nodes[at], dtype=object), "goes_on": pd.Series(leaves[at], dtype=object)}))
     return pd.concat(parts, ignore_index=True)
 
 
@@ -83,7 +83,7 @@ def reach(start: DataFrame, links: DataFrame, work: Workspace | None = None, by:
     """
     work = work or Workspace(start.sparkSession, "reach")
     cut = links.select(*KEY, "nxt", (F.col(order) if order else F.xxhash64("hash")).alias("_order"))
-    cut = work.put(even_parts(cut, "doc_id", "_order", block_links).select(*KEY, "nxt", F.xxhash64("doc_id", "part").alias("block")), "cut")
+    cut = work.put(even_parts(cut, "doc_id", "_order", block_links).select(*KEY, "nxt", F.hex(F.xxhash64("doc_id", "part")).alias("block")), "cut")
     of = work.put(cut.groupBy(*KEY).agg(F.min("block").alias("block")), "blocks")
     links = work.put(cut.select(*KEY, "nxt").join(of, KEY).join(of.select("doc_id", F.col("hash").alias("nxt"), F.col("block").alias("nxt_block")), ["doc_id", "nxt"], "left"), "links")
     begun = start.select(*by, *KEY).distinct()
@@ -94,7 +94,7 @@ def reach(start: DataFrame, links: DataFrame, work: Workspace | None = None, by:
     while front.limit(1).count():
         k += 1
         asked = links.join(F.broadcast(front.select("block").distinct()), "block", "left_semi") if k > 1 else links
-        walked = front.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(lambda f, e: _walked(f, e, by), f"{keys}, goes_on long")
+        walked = front.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(lambda f, e: _walked(f, e, by), f"{keys}, goes_on string")
         walked = work.put(walked, f"walked{k}")
         found = work.put(found.unionByName(walked.select(*by, *KEY)).distinct(), f"found{k}")
         nxt = walked.filter("goes_on is not null").withColumnRenamed("goes_on", "block").distinct()
@@ -107,8 +107,9 @@ def reach(start: DataFrame, links: DataFrame, work: Workspace | None = None, by:
 def _walked(front: pd.DataFrame, links: pd.DataFrame, by: tuple[str, ...]) -> pd.DataFrame:
     columns = [*by, "doc_id", "hash", "goes_on"]
     if not len(front):
-        return pd.DataFrame({c: [] for c in columns})
-    return _walk(front, links, by).assign(doc_id=front["doc_id"].iloc[0])[columns]
+        return front.assign(goes_on=front["hash"])[columns]  # empty, but typed: Arrow does not make texts of empty numbers
+    found = _walk(front, links, by)
+    return found.assign(doc_id=pd.Series([front["doc_id"].iloc[0]] * len(found), dtype=object))[columns]
 
 
 def dag_ancestors(changes: DataFrame, of: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Tables inside documents, and changes of what is shown.
 
-Cells of a table are ``row_id, column, vtype, s`` (see ``sources.derived.row_objects``).
+A table is an object made by ``makeTable``; its rows are maps made under the row's id, and
+the cells of a row are the winners of its keys. Functions that make rows take operations
+as ``visibility`` does, with ``d`` and ``b`` for floating-point and boolean values.
 """
 
 from __future__ import annotations
@@ -8,11 +10,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import opid
+from .prefix import running_total
+from .sequences import LIST, crdt_list_order
+from .visibility import agg_lww, visible
 
-def crdt_table_state(cells: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """Rows of the table: ``id`` and the named columns, cast to the given types. Columns are named, so no pass finds them first."""
-    wide = cells.groupBy(F.col("row_id").alias("id")).pivot("column", list(columns)).agg(F.first("s"))
-    return wide.select("id", *[F.col(c).cast(t).alias(c) for c, t in columns.items()])
+VALUES = ("action", "vtype", "s", "value_i", "d", "b")
+_FIELD = {"string": "s", "bigint": "value_i", "int": "value_i", "double": "d", "float": "d", "boolean": "b"}
+
+
+def winners(ops: DataFrame) -> DataFrame:
+    """The value of every cell: ``doc_id, obj, cell, ctr, actor``, those named in VALUES, and ``n_values``."""
+    return agg_lww(visible(ops), *VALUES)
+
+
+def table_cells(top: DataFrame) -> DataFrame:
+    """Cells of the rows of all tables, from ``winners``: ``doc_id, table_id, row_id, column, op_id``, the values, and ``n_values``.
+
+    A row whose own cell is not won by a map is no row. Whether the table itself is reachable does not matter. A row without cells has none here.
+    """
+    made = top.filter("action in ('makeTable', 'makeMap')").select("doc_id", "obj", "cell", "action", opid(F.col("ctr"), F.col("actor")).alias("object_id"))
+    held = made.filter("action = 'makeTable'").select("doc_id", F.col("object_id").alias("table_id"))
+    rows = made.filter("action = 'makeMap'").select("doc_id", F.col("obj").alias("table_id"), F.col("cell").alias("row_id"), F.col("object_id").alias("obj")).join(held, ["doc_id", "table_id"], "left_semi")
+    cells = top.join(rows, ["doc_id", "obj"]).withColumn("op_id", opid(F.col("ctr"), F.col("actor")))
+    return cells.select("doc_id", "table_id", "row_id", F.col("cell").alias("column"), "op_id", *VALUES, "n_values")
+
+
+def crdt_table_state(ops: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Rows of all tables: ``doc_id, table_id, id`` and the named columns, each read as its type; null where a row has no such cell or one of another type."""
+    value = {c: F.max(F.when(F.col("column") == c, F.col(_FIELD[t]))).cast(t).alias(c) for c, t in columns.items()}
+    return table_cells(winners(ops)).groupBy("doc_id", "table_id", F.col("row_id").alias("id")).agg(*value.values())
 
 
 def flt_table_filter(rows: DataFrame, condition: Column) -> DataFrame:
@@ -77,3 +104,44 @@ def crdt_inc_patch(before: DataFrame, after: DataFrame, cell: list[str]) -> Data
 def crdt_observe(patch: DataFrame, obj: str) -> DataFrame:
     """Changes of one object only."""
     return patch.filter(F.col("obj") == obj)
+
+
+_CHUNK = 50_000  # tour ranks whose elements one task counts
+
+
+def _elements(ops: DataFrame) -> DataFrame:
+    order = F.struct("ctr", "actor")
+    seen = visible(ops).filter("key is null")
+    top = seen.groupBy(*LIST, F.col("cell").alias("elem")).agg(F.max(order).alias("w"), F.max_by("vtype", order).alias("vtype"), F.max_by("action", order).alias("action"), F.count(F.lit(1)).alias("n_values"))
+    return top.select(*LIST, "elem", opid(F.col("w.ctr"), F.col("w.actor")).alias("op_id"), "vtype", "action", "n_values")
+
+
+def list_patch(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What makes the lists of the operations ``before`` those of ``after``, which has all of them and more.
+
+    ``doc_id, obj, elem, idx, edit, before_idx, before_id, after_id, vtype, action``, with ``edit`` one of ``insert``, ``remove``, ``update`` (another winner, or
+    ``conflict``: other values beside it) and ``keep``. Done in the order of ``place``, from the front of a list to its end, each edit is at ``idx`` of the list as it
+    then is; ``before_idx`` is where an element was. So an element that is kept moved from ``before_idx`` to ``idx``.
+    """
+    b = _elements(before).select(*LIST, "elem", F.col("op_id").alias("before_id"), F.col("n_values").alias("bn"))
+    both = _elements(after).withColumnRenamed("op_id", "after_id").join(b, [*LIST, "elem"], "full").join(crdt_list_order(after), [*LIST, "elem"])
+    both = both.withColumns({"new": F.col("after_id").isNotNull().cast("long"), "old": F.col("before_id").isNotNull().cast("long")})
+    by, order = F.floor(-F.col("entry_rank") / _CHUNK), [F.col("entry_rank").desc()]
+    both = running_total(running_total(both, LIST, "new", by, order, "n_new"), LIST, "old", by, order, "n_old")
+    edit = F.when(F.col("old") == 0, "insert").when(F.col("new") == 0, "remove").when(F.col("before_id") != F.col("after_id"), "update").when(F.col("bn") != F.col("n_values"), "conflict").otherwise("keep")
+    return both.select(*LIST, "elem", (F.col("n_new") - F.col("new")).alias("idx"), edit.alias("edit"), F.when(F.col("old") == 1, F.col("n_old") - 1).alias("before_idx"), "before_id", "after_id", "vtype", "action", F.col("entry_rank").alias("place"))
+
+
+def multi_inserts(patch: DataFrame) -> DataFrame:
+    """Runs of insertions of a ``list_patch`` that one edit of several values can say: ``doc_id, obj, idx, elem, n``.
+
+    In a run, each is next to the one before, of the same actor and type of value, with the following counter, and each element still has the value that it was inserted with.
+    """
+    part = F.split("elem", "@")
+    new = patch.filter("edit = 'insert'").withColumns({"c": part[0].cast("long"), "by": part[1], "plain": F.expr("action = 'set' and after_id = elem")})
+    # Such neighbours have one difference of index and counter in common; nothing else has.
+    new = new.withColumn("line", F.col("idx") - F.col("c"))
+    w = Window.partitionBy(*LIST, "by", "line").orderBy("idx")
+    same = (F.lag("idx").over(w) == F.col("idx") - 1) & F.lag("vtype").over(w).eqNullSafe(F.col("vtype")) & F.lag("plain").over(w) & F.col("plain")
+    runs = new.withColumn("run", F.sum(F.when(same, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*LIST, "by", "line", "run").agg(F.min("idx").alias("idx"), F.min_by("elem", "idx").alias("elem"), F.count(F.lit(1)).alias("n")).select(*LIST, "idx", "elem", "n")

@@ -92,10 +92,8 @@ def visible(ops: DataFrame) -> DataFrame:
 
 def agg_lww(seen: DataFrame, *values: str) -> DataFrame:
     """The winner of every cell, the greatest id, with the columns named, and how many values are there."""
-    order = F.struct("ctr", "actor")
-    return seen.groupBy(*CELL).agg(F.max(order).alias("w"), *[F.max_by(v, order).alias(v) for v in values], F.count(F.lit(1)).alias("n_values")).select(
-        *CELL, F.col("w.ctr").alias("ctr"), F.col("w.actor").alias("actor"), *values, "n_values"
-    )
+    got = seen.groupBy(*CELL).agg(F.max(F.struct("ctr", "actor", *values)).alias("w"), F.count(F.lit(1)).alias("n_values"))  # ids are unique in a cell
+    return got.select(*CELL, *[F.col(f"w.{c}").alias(c) for c in ("ctr", "actor", *values)], "n_values")
 
 
 def agg_conflicts(seen: DataFrame) -> DataFrame:

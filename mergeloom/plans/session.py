@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
 
+from ..functions import ids
 from ..sources import codec
 
 
@@ -29,10 +30,17 @@ def _key(i: str) -> tuple[int, str]:
     return int(ctr), actor
 
 
+def _cell_of(op: dict[str, Any]) -> str:
+    """The key or element that an operation is about; an insertion is about itself."""
+    return op["key"] if "key" in op else op["id"] if op["insert"] else op["elemId"]
+
+
 class Document:
     """A replica. ``merge`` takes in another's changes; both then have the same value."""
 
-    def __init__(self, actor: str):
+    def __init__(self, actor: str, on_change: Callable[[Document], None] | None = None):
+        """``on_change`` is called with the document after each change made here."""
+        self.on_change = on_change
         if not re.fullmatch(r"([0-9a-f]{2})+", actor):
             raise MergeError(f"no actor id: {actor}")
         self.actor = actor
@@ -40,7 +48,12 @@ class Document:
         self.waiting: dict[str, dict[str, Any]] = {}
         self.ops: dict[str, dict[str, Any]] = {}
         self.succ: dict[str, list[str]] = {}
+        self.cells: dict[str, dict[str, list[str]]] = {}  # of each object, operations that may be seen by cell
+        self.below: dict[tuple[str, str], list[str]] = {}  # elements inserted after each
+        self.tops: dict[int, int] = {}  # operations by counter, so that the greatest is known again after an edit is undone
         self.max_op = 0
+        self._clock: dict[str, int] = {}
+        self._heads: set[str] = set()
         self._pending: list[dict[str, Any]] | None = None
 
     # --- values ---
@@ -61,49 +74,84 @@ class Document:
 
     def apply(self, changes: list[dict[str, Any]]) -> Document:
         """Take in decoded changes in any order; what lacks a dependency waits."""
-        for c in changes:
-            if c["hash"] not in self.changes:
-                self.waiting.setdefault(c["hash"], c)
-        moved = True
-        while moved:
-            moved = False
-            for h, c in list(self.waiting.items()):
-                if all(d in self.changes for d in c["deps"]):
-                    self._take(c)
-                    del self.waiting[h]
-                    moved = True
+        added = [c for c in changes if c["hash"] not in self.changes and c["hash"] not in self.waiting]
+        self.waiting |= {c["hash"]: c for c in added}
+        taken: list[dict[str, Any]] = []
+        begun = dict(self.waiting), dict(self._clock), set(self._heads)
+        try:
+            moved = True
+            while moved:
+                moved = False
+                for h, c in list(self.waiting.items()):
+                    if all(d in self.changes for d in c["deps"]):
+                        self._take(c)
+                        taken.append(c)
+                        del self.waiting[h]
+                        moved = True
+        except MergeError:  # all of them or none
+            for c in reversed(taken):
+                del self.changes[c["hash"]]
+                for op in reversed(c["ops"]):
+                    self._remove(op)
+            self.waiting, self._clock, self._heads = begun
+            for c in added:
+                self.waiting.pop(c["hash"], None)
+            raise
         return self
 
     def _take(self, c: dict[str, Any]) -> None:
-        at = self.clock().get(c["actor"], 0)
+        at = self._clock.get(c["actor"], 0)
         if c["seq"] != at + 1:
             raise MergeError(f"{'reuse of' if c['seq'] <= at else 'skipped'} sequence number {c['seq']} of {c['actor']}")
-        mine = {op["id"] for op in c["ops"]}
+        mine = {op["id"]: op for op in c["ops"]}
         for op in c["ops"]:
             for p in op["pred"]:
-                if p not in self.ops and p not in mine:
-                    raise MergeError(f"no operation {p}")
+                named = self.ops.get(p) or mine.get(p)
+                if named is None or named["obj"] != op["obj"] or _cell_of(named) != _cell_of(op):
+                    raise MergeError(f"no operation {p} under {_cell_of(op)} of {op['obj']}")
         self.changes[c["hash"]] = c
+        self._clock[c["actor"]] = c["seq"]
+        self._heads = self._heads - set(c["deps"]) | {c["hash"]}
         for op in c["ops"]:
             self._add(op)
 
     def _add(self, op: dict[str, Any]) -> None:
         self.ops[op["id"]] = op
-        self.max_op = max(self.max_op, _key(op["id"])[0])
+        ctr = _key(op["id"])[0]
+        self.tops[ctr] = self.tops.get(ctr, 0) + 1
+        self.max_op = max(self.max_op, ctr)
+        if op["action"] not in ("del", "inc"):
+            self.cells.setdefault(op["obj"], {}).setdefault(_cell_of(op), []).append(op["id"])
+        if op["insert"]:
+            self.below.setdefault((op["obj"], op["elemId"]), []).append(op["id"])
         for p in op["pred"]:
             self.succ.setdefault(p, []).append(op["id"])
 
+    def _remove(self, op: dict[str, Any]) -> None:
+        """Undo ``_add`` of the last operation that was added."""
+        i = op["id"]
+        del self.ops[i]
+        ctr = _key(i)[0]
+        self.tops[ctr] -= 1
+        if not self.tops[ctr]:
+            del self.tops[ctr]
+            while self.max_op and self.max_op not in self.tops:
+                self.max_op -= 1
+        if op["action"] not in ("del", "inc"):
+            self.cells[op["obj"]][_cell_of(op)].remove(i)
+        if op["insert"]:
+            self.below[op["obj"], op["elemId"]].remove(i)
+        for p in op["pred"]:
+            self.succ[p].remove(i)
+
     def merge(self, other: Document) -> Document:
         return self.apply(list(other.changes.values()))
 
     def clock(self) -> dict[str, int]:
-        out: dict[str, int] = {}
-        for c in self.changes.values():
-            out[c["actor"]] = max(out.get(c["actor"], 0), c["seq"])
-        return out
+        return dict(self._clock)
 
     def heads(self) -> list[str]:
-        return sorted(set(self.changes) - {d for c in self.changes.values() for d in c["deps"]})
+        return sorted(self._heads)
 
     def missing(self) -> list[str]:
         """Dependencies of waiting changes that are nowhere."""
@@ -143,34 +191,29 @@ class Document:
 
     # --- state ---
 
-    def _seen(self) -> dict[tuple[str, str], dict[str, Any]]:
-        """Values of every cell by operation id; counters are folded."""
-        out: dict[tuple[str, str], dict[str, Any]] = {}
-        for i, op in self.ops.items():
-            if op["action"] in ("del", "inc"):
-                continue
-            after = [self.ops[s] for s in self.succ.get(i, []) if s in self.ops]
-            value: Any = op
+    def _cell(self, obj: str, cell: str) -> dict[str, dict[str, Any]]:
+        """Values of a cell by operation id; counters are folded."""
+        out: dict[str, dict[str, Any]] = {}
+        for i in self.cells.get(obj, {}).get(cell, ()):
+            op = self.ops[i]
+            after = [self.ops[s] for s in self.succ.get(i, [])]
             if op["action"] == "set" and op.get("datatype") == "counter":
                 fold = [s for s in after if s["action"] == "inc" and max((p for p in s["pred"] if self.ops[p].get("datatype") == "counter"), key=_key) == i]
-                if len(fold) != len(after):
-                    continue
-                value = op | {"value": op["value"] + sum(s["value"] for s in fold)}
-            elif after:
-                continue
-            cell = op["key"] if "key" in op else op["id"] if op["insert"] else op["elemId"]
-            out.setdefault((op["obj"], cell), {})[i] = value
+                if len(fold) == len(after):
+                    out[i] = op | {"value": op["value"] + sum(s["value"] for s in fold)}
+            elif not after:
+                out[i] = op
         return out
 
+    def _cells(self, obj: str) -> dict[str, dict[str, dict[str, Any]]]:
+        """All cells of an object that show anything."""
+        return {c: got for c in self.cells.get(obj, ()) if (got := self._cell(obj, c))}
+
     def _order(self, obj: str) -> list[str]:
-        below: dict[str, list[str]] = {}
-        for op in self.ops.values():
-            if op["obj"] == obj and op["insert"]:
-                below.setdefault(op["elemId"], []).append(op["id"])
-        out, todo = [], sorted(below.get("_head", []), key=_key)
+        out, todo = [], sorted(self.below.get((obj, "_head"), []), key=_key)
         while todo:
             out.append(e := todo.pop())
-            todo += sorted(below.get(e, []), key=_key)
+            todo += sorted(self.below.get((obj, e), []), key=_key)
         return out
 
     def _kind(self, obj: str) -> str:
@@ -178,23 +221,21 @@ class Document:
 
     def value(self, obj: str = "_root") -> Any:
         """Plain value of an object: the winner of every cell."""
-        return self._render(obj, self._seen())
+        seen = self._cells(obj)
 
-    def _render(self, obj: str, seen: dict[tuple[str, str], dict[str, Any]]) -> Any:
         def one(cell: str) -> Any:
-            op = seen[obj, cell][max(seen[obj, cell], key=_key)]
-            return op.get("value") if op["action"] == "set" else self._render(op["id"], seen)
+            op = seen[cell][max(seen[cell], key=_key)]
+            return op.get("value") if op["action"] == "set" else self.value(op["id"])
 
         if self._kind(obj) in ("makeMap", "makeTable"):
-            return {k: one(k) | {"id": k} if self._kind(obj) == "makeTable" else one(k) for o, k in seen if o == obj}
-        items = [one(e) for e in self._order(obj) if (obj, e) in seen]
+            return {k: one(k) | {"id": k} if self._kind(obj) == "makeTable" else one(k) for k in seen}
+        items = [one(e) for e in self._order(obj) if e in seen]
         return "".join(x for x in items if isinstance(x, str)) if self._kind(obj) == "makeText" else items
 
     def conflicts(self, cell: str, obj: str = "_root") -> dict[str, Any]:
         """All values of a cell by operation id, if there is more than one."""
-        seen = self._seen()
-        got = seen.get((obj, cell), {})
-        return {i: op.get("value") if op["action"] == "set" else self._render(i, seen) for i, op in got.items()} if len(got) > 1 else {}
+        got = self._cell(obj, cell)
+        return {i: op.get("value") if op["action"] == "set" else self.value(i) for i, op in got.items()} if len(got) > 1 else {}
 
     # --- editing ---
 
@@ -204,21 +245,27 @@ class Document:
         if self._pending is not None:
             raise MergeError("changes cannot be nested")
         self._pending = []
-        held = self.ops.copy(), {k: list(v) for k, v in self.succ.items()}, self.max_op
         start = self.max_op + 1
         try:
             yield _Object(self, "_root")
-            ops, self._pending = self._pending, None
-            self.ops, self.succ, self.max_op = held
+            ops = self._undo()
             if ops:
                 own = [h for h, c in self.changes.items() if c["actor"] == self.actor]
                 head = {"actor": self.actor, "seq": len(own) + 1, "startOp": start, "time": int(time.time()) if seconds is None else seconds, "message": message, "deps": sorted({*self.heads(), *own[-1:]})}
                 data, _ = codec.encode_change(head | {"ops": [{k: v for k, v in op.items() if k != "id"} for op in ops]})
                 self.apply([codec.decode_change(data)])
+                if self.on_change:
+                    self.on_change(self)
         finally:
             if self._pending is not None:
-                self._pending = None
-                self.ops, self.succ, self.max_op = held
+                self._undo()
+
+    def _undo(self) -> list[dict[str, Any]]:
+        """Take back the edits that are pending, and return them."""
+        ops, self._pending = self._pending or [], None
+        for op in reversed(ops):
+            self._remove(op)
+        return ops
 
     def _emit(self, **op: Any) -> str:
         op = {"id": f"{self.max_op + 1}@{self.actor}", "insert": False, "pred": []} | op
@@ -259,7 +306,7 @@ class Document:
         ours = self.heads()
         need = self.missing() if s["their_heads"] is None else sorted({*self.missing(), *(h for h in s["their_heads"] if h not in self.changes and h not in self.waiting)})
         have = []
-        if s["their_heads"] is None or all(h in self.changes for h in s["their_heads"]):
+        if s["their_heads"] is None or all(h in s["their_heads"] for h in need):
             have = [{"lastSync": s["shared"], "bloom": codec.encode_bloom([c["hash"] for c in self.changes_since(s["shared"])])}]
         if s["their_have"] and any(h not in self.changes for h in s["their_have"][0]["lastSync"]):
             return codec.encode_message({"heads": ours, "need": [], "have": [{"lastSync": [], "bloom": b""}], "changes": []})
@@ -328,11 +375,10 @@ class _Object:
         self.doc, self.obj = doc, obj
 
     def _cell(self, cell: str) -> dict[str, Any]:
-        return self.doc._seen().get((self.obj, cell), {})
+        return self.doc._cell(self.obj, cell)
 
     def _elements(self) -> list[str]:
-        seen = self.doc._seen()
-        return [e for e in self.doc._order(self.obj) if (self.obj, e) in seen]
+        return [e for e in self.doc._order(self.obj) if self._cell(e)]
 
     def _place(self, at: Any, beyond: bool = False) -> tuple[str, dict[str, Any]]:
         if self.doc._kind(self.obj) in ("makeMap", "makeTable"):
@@ -348,7 +394,7 @@ class _Object:
         return len(self.keys()) if self.doc._kind(self.obj) in ("makeMap", "makeTable") else len(self._elements())
 
     def keys(self) -> list[str]:
-        return sorted(k for o, k in self.doc._seen() if o == self.obj)
+        return sorted(self.doc._cells(self.obj))
 
     def __getitem__(self, at: Any) -> Any:
         cell, place = self._place(at)
@@ -403,3 +449,50 @@ class _Object:
         value = self[at]
         del self[at]
         return value
+
+    # Lists and texts, by the names arrays have for it.
+
+    insert_at = insert
+
+    def push(self, *values: Any) -> int:
+        """Add values at the end; the new length."""
+        self.extend(list(values))
+        return len(self)
+
+    def shift(self) -> Any:
+        """Take the first value off; None if there is none."""
+        return self.pop(0) if len(self) else None
+
+    def unshift(self, *values: Any) -> int:
+        """Add values at the beginning; the new length."""
+        self.insert(0, *values)
+        return len(self)
+
+    def delete_at(self, at: int, n: int = 1) -> None:
+        if at + n > len(self):
+            raise MergeError(f"index {at + n - 1} is beyond the end")
+        for _ in range(n):
+            del self[at]
+
+    def splice(self, at: int, n: int | None = None, *values: Any) -> list[Any]:
+        """Replace ``n`` values (all that follow, if None) by others; those taken out. Negative places count from the end."""
+        size = len(self)
+        at = max(0, size + at) if at < 0 else min(at, size)
+        n = size - at if n is None else max(0, min(n, size - at))
+        gone = [self[at + k] for k in range(n)]
+        self.delete_at(at, n)
+        self.insert(at, *values)
+        return gone
+
+    def fill(self, value: Any, start: int = 0, end: int | None = None) -> None:
+        """Assign one value to all places from ``start`` up to before ``end``."""
+        for k in range(start, len(self) if end is None else min(end, len(self))):
+            self[k] = value
+
+    def add(self, row: dict[str, Any]) -> str:
+        """Add a row to a table under a new id, which is returned."""
+        if self.doc._kind(self.obj) != "makeTable":
+            raise MergeError("rows are added to tables")
+        i = ids.new_id()
+        self[i] = row
+        return i

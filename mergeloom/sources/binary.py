@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from . import codec
 
 HEADER = "doc_id string, hash string, actor string, seq long, start_op long, time_s long, message string, deps array<string>"
-OPS = "doc_id string, change_hash string, ctr long, actor string, obj string, key string, elem string, insert boolean, action string, vtype string, i long, d double, s string, pred array<struct<ctr:bigint,actor:string>>"
+OPS = "doc_id string, change_hash string, ctr long, actor string, obj string, key string, elem string, insert boolean, action string, vtype string, i long, d double, s string, raw binary, pred array<struct<ctr:bigint,actor:string>>"
+DOC_HEADER = "doc_id string, actors array<string>, heads array<string>, change_columns array<struct<id:int,n_bytes:bigint>>, op_columns array<struct<id:int,n_bytes:bigint>>, header binary"
 
 
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[Any, int, bytes, str]]:
@@ -37,19 +38,53 @@ def src_chunks(files: DataFrame) -> DataFrame:
 
 
 def src_change_meta(files: DataFrame) -> DataFrame:
-    """Headers of all changes in ``data``; operations are not decoded."""
+    """Headers of all changes in ``data``. Of changes the operations are not decoded; in documents only they tell what the changes depend on."""
 
     def run(batches):
         rows = []
         for doc, kind, body, hash_ in _split(batches):
             if kind == codec.CHANGE:
-                h = codec.decode_header(body)[0]
-                rows.append((doc, hash_, h["actor"], h["seq"], h["startOp"], h["time"], h["message"], h["deps"]))
+                found = [codec.decode_header(body)[0] | {"hash": hash_}]
+            elif kind == codec.DOCUMENT:
+                found = codec.decode_document(codec.container(kind, body)[0])
+            else:
+                continue
+            rows += [(doc, h["hash"], h["actor"], h["seq"], h["startOp"], h["time"], h["message"], h["deps"]) for h in found]
         yield pd.DataFrame(rows, columns=["doc_id", "hash", "actor", "seq", "start_op", "time_s", "message", "deps"])
 
     return files.select("doc_id", "data").mapInPandas(run, HEADER)
 
 
+def src_doc_header(files: DataFrame) -> DataFrame:
+    """Headers of all documents in ``data``: actors, heads, columns, and the header's own bytes. Columns are not decoded."""
+
+    def run(batches):
+        rows = []
+        for doc, kind, body, _ in _split(batches):
+            if kind == codec.DOCUMENT:
+                r = codec.Reader(body)
+                h = codec.read_document_header(r)
+                cols = [[{"id": i, "n_bytes": n} for i, n in h[c]] for c in ("changes", "ops")]
+                rows.append((doc, h["actors"], h["heads"], *cols, body[: r.at]))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in DOC_HEADER.split(", ")])
+
+    return files.select("doc_id", "data").mapInPandas(run, DOC_HEADER)
+
+
+def snk_doc_header(headers: DataFrame) -> DataFrame:
+    """Headers as bytes, ``doc_id, header``, from what ``src_doc_header`` gives of them."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.itertuples():
+                cols = [[(c["id"], c["n_bytes"]) for c in part] for part in (r.change_columns, r.op_columns)]
+                rows.append((r.doc_id, codec.document_header({"actors": list(r.actors), "heads": list(r.heads), "changes": cols[0], "ops": cols[1]})))
+            yield pd.DataFrame(rows, columns=["doc_id", "header"])
+
+    return headers.select("doc_id", "actors", "heads", "change_columns", "op_columns").mapInPandas(run, "doc_id string, header binary")
+
+
 def _op_row(doc: str, change: dict[str, Any], op: dict[str, Any]) -> tuple:
     ctr, actor = op["id"].split("@")
     v = op.get("value")
@@ -57,7 +92,7 @@ def _op_row(doc: str, change: dict[str, Any], op: dict[str, Any]) -> tuple:
     number = isinstance(v, int) and not isinstance(v, bool)
     pred = [{"ctr": int(p.split("@")[0]), "actor": p.split("@")[1]} for p in op["pred"]]
     text = v if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else None
-    return doc, change["hash"], int(ctr), actor, op["obj"], op.get("key"), op.get("elemId"), op["insert"], str(op["action"]), vtype, v if number else None, v if isinstance(v, float) else None, text, pred
+    return doc, change["hash"], int(ctr), actor, op["obj"], op.get("key"), op.get("elemId"), op["insert"], str(op["action"]), vtype, v if number else None, v if isinstance(v, float) else None, text, v if isinstance(v, bytes) else None, pred
 
 
 def src_ops(files: DataFrame) -> DataFrame:
@@ -74,38 +109,67 @@ def src_ops(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "data").mapInPandas(run, OPS)
 
 
+def _with_ops(changes: DataFrame, ops: DataFrame) -> DataFrame:
+    raw = F.col("raw") if "raw" in ops.columns else F.lit(None).cast("binary").alias("raw")
+    op = F.struct("ctr", "obj", "key", "elem", "insert", "action", "vtype", "i", "d", "s", raw, "pred")
+    listed = ops.groupBy("doc_id", "change_id").agg(F.sort_array(F.collect_list(op)).alias("ops"))
+    return changes.select("doc_id", "change_id", "actor", "seq", "start_op", "time_s", "message", "deps").join(listed, ["doc_id", "change_id"], "left")
+
+
+def _value(o: dict[str, Any]) -> dict[str, Any]:
+    kind = o["vtype"]
+    if kind in ("str", "null", "bool", None):
+        return {"value": {"str": o["s"], "bool": o["s"] == "true"}.get(kind)}
+    if kind == "bytes" or kind.isdigit():
+        return {"datatype": kind, "value": bytes(o["raw"] or b"")}
+    return {"datatype": kind, "value": float(o["d"]) if kind == "float64" else int(o["i"])}
+
+
+def _encoded(r: Any, deps: list[str]) -> tuple[bytes, str]:
+    """Bytes and hash of a row of ``_with_ops``."""
+    ops = []
+    for o in r.ops if r.ops is not None else []:
+        place = {"key": o["key"]} if o["key"] is not None else {"elemId": o["elem"]}
+        pred = [f"{p['ctr']}@{p['actor']}" for p in (o["pred"] if o["pred"] is not None else [])]
+        ops.append({"action": o["action"], "obj": o["obj"], "insert": bool(o["insert"]), "pred": pred, **place, **(_value(o) if o["action"] in ("set", "inc") else {})})
+    time_s = 0 if pd.isna(r.time_s) else int(r.time_s)
+    return codec.encode_change({"actor": r.actor, "seq": int(r.seq), "startOp": int(r.start_op), "time": time_s, "message": r.message, "deps": deps, "ops": ops})
+
+
 def snk_change(changes: DataFrame, ops: DataFrame) -> DataFrame:
     """Binary changes: ``doc_id, hash, data``.
 
     ``changes`` has ``doc_id, change_id, actor, seq, start_op, time_s, message, deps``; ``ops`` has ``doc_id, change_id, ctr, obj, key,
-    elem, insert, action, vtype, i, d, s, pred``, with values of every type but bytes. A change is one task's row, so it must fit there, as in any replica.
+    elem, insert, action, vtype, i, d, s, pred``, and ``raw`` for bytes and for values of types that are only known by number. A change is one task's row, so it must fit there, as in any replica.
     """
-    op = F.struct("ctr", "obj", "key", "elem", "insert", "action", "vtype", "i", "d", "s", "pred")
-    listed = ops.groupBy("doc_id", "change_id").agg(F.sort_array(F.collect_list(op)).alias("ops"))
-    both = changes.select("doc_id", "change_id", "actor", "seq", "start_op", "time_s", "message", "deps").join(listed, ["doc_id", "change_id"], "left")
-
-    def value(o: dict[str, Any]) -> dict[str, Any]:
-        kind = o["vtype"]
-        if kind in ("str", "null", "bool", None):
-            return {"value": {"str": o["s"], "bool": o["s"] == "true"}.get(kind)}
-        return {"datatype": kind, "value": float(o["d"]) if kind == "float64" else int(o["i"])}
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                ops_ = []
-                for o in r.ops if r.ops is not None else []:
-                    place = {"key": o["key"]} if o["key"] is not None else {"elemId": o["elem"]}
-                    pred = [f"{p['ctr']}@{p['actor']}" for p in (o["pred"] if o["pred"] is not None else [])]
-                    ops_.append({"action": o["action"], "obj": o["obj"], "insert": bool(o["insert"]), "pred": pred, **place, **(value(o) if o["action"] in ("set", "inc") else {})})
-                time_s = 0 if pd.isna(r.time_s) else int(r.time_s)
-                change = {"actor": r.actor, "seq": int(r.seq), "startOp": int(r.start_op), "time": time_s, "message": r.message, "deps": list(r.deps) if r.deps is not None else [], "ops": ops_}
-                data, hash_ = codec.encode_change(change)
-                out.append((r.doc_id, hash_, data))
+            out = [(r.doc_id, *_encoded(r, list(r.deps) if r.deps is not None else [])[::-1]) for r in pdf.itertuples()]
             yield pd.DataFrame(out, columns=["doc_id", "hash", "data"])
 
-    return both.mapInPandas(run, "doc_id string, hash string, data binary")
+    return _with_ops(changes, ops).mapInPandas(run, "doc_id string, hash string, data binary")
+
+
+def snk_chain(changes: DataFrame, ops: DataFrame) -> DataFrame:
+    """Binary changes, ``doc_id, hash, data``, of changes whose ``deps`` name one another by ``change_id``.
+
+    A hash covers the hashes before it, so the changes of a document are encoded one after the other, in one task.
+    """
+
+    def run(key, pdf):
+        left, done, out = {r.change_id: r for r in pdf.itertuples()}, {}, []
+        while left:
+            ready = [r for r in left.values() if all(d in done for d in (r.deps if r.deps is not None else []))]
+            if not ready:
+                raise codec.FormatError("changes depend on ones that are not there")
+            for r in ready:
+                data, done[r.change_id] = _encoded(r, sorted(done[d] for d in (r.deps if r.deps is not None else [])))
+                out.append((key[0], done[r.change_id], data))
+                del left[r.change_id]
+        return pd.DataFrame(out, columns=["doc_id", "hash", "data"])
+
+    return _with_ops(changes, ops).groupBy("doc_id").applyInPandas(run, "doc_id string, hash string, data binary")
 
 
 def snk_save(changes: DataFrame) -> DataFrame:

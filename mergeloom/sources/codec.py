@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterable
 from itertools import groupby
 from typing import Any
@@ -509,6 +510,21 @@ def _stored_order(ops: list[dict[str, Any]]) -> list[dict[str, Any]]:
     return out
 
 
+def document_header(h: dict[str, Any]) -> bytes:
+    """What a document begins with: actors, heads, and id and length of each column of its changes and of its operations."""
+    out = uleb(len(h["actors"])) + b"".join(blob(bytes.fromhex(a)) for a in h["actors"]) + uleb(len(h["heads"])) + b"".join(map(bytes.fromhex, h["heads"]))
+    for columns in (h["changes"], h["ops"]):
+        out += uleb(len(columns)) + b"".join(uleb(i) + uleb(n) for i, n in columns)
+    return out
+
+
+def read_document_header(r: Reader) -> dict[str, Any]:
+    actors = [r.blob().hex() for _ in range(r.uint())]
+    heads = [r.take(32).hex() for _ in range(r.uint())]
+    changes, ops = ([(r.uint(), r.uint()) for _ in range(r.uint())] for _ in range(2))
+    return {"actors": actors, "heads": heads, "changes": changes, "ops": ops}
+
+
 def encode_document(changes: list[dict[str, Any]]) -> bytes:
     """A whole document from its decoded changes, in an order in which none comes before what it depends on."""
     index = {c["hash"]: k for k, c in enumerate(changes)}
@@ -532,9 +548,7 @@ def encode_document(changes: list[dict[str, Any]]) -> bytes:
     named = {h for c in changes for h in c["deps"]}
     heads = sorted(set(index) - named)
     parts = [packed_columns(meta, DOC_CHANGE_COLUMNS, True), packed_columns(op_columns(kept, num, DOC_OPS_COLUMNS, "succ"), DOC_OPS_COLUMNS, True)]
-    body = uleb(len(actors)) + b"".join(blob(bytes.fromhex(a)) for a in actors) + uleb(len(heads)) + b"".join(map(bytes.fromhex, heads))
-    for part in parts:
-        body += uleb(len(part)) + b"".join(uleb(i) + uleb(len(b)) for i, b in part)
+    body = document_header({"actors": actors, "heads": heads, "changes": [(i, len(b)) for i, b in parts[0]], "ops": [(i, len(b)) for i, b in parts[1]]})
     body += b"".join(b for part in parts for _, b in part) + b"".join(uleb(index[h]) for h in heads)
     return container(DOCUMENT, body)[0]
 
@@ -545,11 +559,10 @@ def decode_document(data: bytes) -> list[dict[str, Any]]:
     if kind != DOCUMENT or more:
         raise FormatError("not one document")
     r = Reader(body)
-    actors = [r.blob().hex() for _ in range(r.uint())]
-    heads = [r.take(32).hex() for _ in range(r.uint())]
-    sizes = [[(r.uint(), r.uint()) for _ in range(r.uint())] for _ in range(2)]
-    meta = read_columns(r, sizes[0], DOC_CHANGE_COLUMNS)
-    ops = {op["id"]: op for op in read_ops(read_columns(r, sizes[1], DOC_OPS_COLUMNS), actors, "succ")}
+    header = read_document_header(r)
+    actors, heads = header["actors"], header["heads"]
+    meta = read_columns(r, header["changes"], DOC_CHANGE_COLUMNS)
+    ops = {op["id"]: op for op in read_ops(read_columns(r, header["ops"], DOC_OPS_COLUMNS), actors, "succ")}
     for op in list(ops.values()):
         for s in op.pop("succ"):
             if s not in ops:  # only deletions have no row
@@ -559,13 +572,16 @@ def decode_document(data: bytes) -> list[dict[str, Any]]:
     spans: dict[str, list[tuple[int, int]]] = {}
     for k, (a, top) in enumerate(zip(meta["actor"], meta["maxOp"], strict=True)):
         spans.setdefault(actors[a], []).append((top, k))
+    for own in spans.values():
+        own.sort()
     held: list[list[dict[str, Any]]] = [[] for _ in meta["actor"]]
     for op in ops.values():
         ctr, actor = _id(op["id"])
-        k = next((k for top, k in sorted(spans[actor]) if ctr <= top), None)
-        if k is None:
+        own = spans.get(actor, [])
+        at = bisect_left(own, (ctr, -1))
+        if at == len(own):
             raise FormatError("an operation that no change covers")
-        held[k].append(op | {"pred": sorted(op.get("pred", []), key=_id)})
+        held[own[at][1]].append(op | {"pred": sorted(op.get("pred", []), key=_id)})
     out: list[dict[str, Any]] = []
     depth, raw = 0, Reader(meta["extraRaw"])
     for k, mine in enumerate(held):

@@ -6,7 +6,7 @@ compared with start from the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import bare_key, clean_hash, object_id, opid
@@ -104,12 +104,39 @@ def event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Workspace(spark, "event-changes").put(changes, "changes")
 
 
-def row_objects(rows: DataFrame, table: str, key: str) -> DataFrame:
-    """Cells of a table inside a document: ``row_id, column, vtype, s``, one per value of each row.
+_OP = "array<struct<ctr:bigint,actor:string>>"
 
-    The row's id is cut from the hash of table and primary key; null values leave no cell.
+
+def table_ops(rows: DataFrame, table: str, key: str, columns: dict[str, str]) -> DataFrame:
+    """Operations that make a table of a document: ``table`` under the root, a map for each row, a value for each column that is not null.
+
+    The row's id is cut from the hash of table and primary key. Counters follow the key, a whole number from 0 on, so the log needs no window. Every second column
+    was first set to null, and set again by another actor who had seen it; every row has a value beside that of ``key`` which loses against it.
     """
     row_id = F.substring(F.sha2(F.concat_ws("|", F.lit(table), F.col(key).cast("string")), 256), 1, 32)
-    kind = {"string": "str", "double": "float64", "float": "float64", "int": "int", "bigint": "int"}
-    entry = [F.struct(F.lit(c).alias("column"), F.lit(kind.get(t, "str")).alias("vtype"), F.col(c).cast("string").alias("s")) for c, t in rows.dtypes]
-    return rows.select(row_id.alias("row_id"), F.explode(F.array(*entry)).alias("e")).select("row_id", "e.*").filter("s is not null")
+    k = len(columns)
+    base = F.col(key).cast("long") * (2 * k + 2) + 2  # of the row's own operation
+    none = F.array().cast(_OP)
+    field = {"string": "s", "double": "d", "float": "d", "int": "i", "bigint": "i", "boolean": "b"}
+    kind = {"s": "str", "d": "float64", "i": "int", "b": "bool"}
+
+    def op(ctr: Column, actor: str, obj: Column, at: Column, action: str, vtype: str | None = None, value: Column | None = None, pred: Column | None = None) -> Column:
+        values = {f: (value.cast(t) if value is not None and f == {v: u for u, v in kind.items()}.get(vtype) else F.lit(None).cast(t)) for f, t in (("i", "long"), ("d", "double"), ("s", "string"), ("b", "boolean"))}
+        return F.struct(ctr.alias("ctr"), F.lit(actor).alias("actor"), obj.alias("obj"), at.alias("key"), F.lit(action).alias("action"), F.lit(vtype).cast("string").alias("vtype"), *[c.alias(f) for f, c in values.items()], (none if pred is None else pred).alias("pred"))
+
+    made = opid(base, F.lit("aa"))
+    each = [op(base, "aa", F.lit("1@aa"), row_id, "makeMap")]
+    for n, (c, t) in enumerate(columns.items()):
+        f = field[t]
+        ctr = base + 1 + 2 * n
+        there = F.col(c).isNotNull()
+        if n % 2:
+            each.append(F.when(there, op(ctr, "aa", made, F.lit(c), "set", "null")))
+            each.append(F.when(there, op(ctr + 1, "bb", made, F.lit(c), "set", kind[f], F.col(c), F.array(F.struct(ctr.alias("ctr"), F.lit("aa").alias("actor"))))))
+        else:
+            each.append(F.when(there, op(ctr, "aa", made, F.lit(c), "set", kind[f], F.col(c))))
+        if c == key:
+            each.append(op(base, "bb", made, F.lit(c), "set", kind[f], -F.col(c)))
+    ops = rows.select(F.explode(F.array_compact(F.array(*each))).alias("o")).select("o.*")
+    first = rows.sparkSession.range(1).select(op(F.lit(1).cast("long"), "aa", F.lit("_root"), F.lit(table), "makeTable").alias("o")).select("o.*")
+    return ops.unionByName(first).select(F.lit("doc").alias("doc_id"), "*", F.lit(None).cast("string").alias("elem"), F.lit(False).alias("insert"))

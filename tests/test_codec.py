@@ -117,3 +117,26 @@ def test_sync_messages():
     assert C.decode_state(C.encode_state(hs)) == hs and not C.bloom_contains(b"", hs[0])
     with pytest.raises(C.FormatError):
         C.encode_state(hs[::-1])
+
+
+def test_numbers_as_expressions_over_bits(spark):
+    from pyspark.sql import functions as F
+
+    from mergeloom.functions import bits
+    from mergeloom.sources import codec
+
+    whole = sorted({s * (1 << k) + d for k in range(0, 53) for d in (-1, 0, 1) for s in (1, -1)})
+    df = spark.createDataFrame([(n,) for n in whole] + [(None,)], "n long")
+    n = F.col("n")
+    got = df.select("n", bits.uleb(n).alias("u"), bits.sleb(n).alias("s"), bits.uleb_value(bits.uleb(n)).alias("ub"), bits.sleb_value(bits.sleb(n)).alias("sb"), bits.uleb_length(n).alias("ul"), bits.sleb_length(n).alias("sl")).collect()
+    for r in got:
+        if r["n"] is None:
+            assert r["u"] is None and r["s"] is None
+            continue
+        assert bytes(r["s"]) == codec.sleb(r["n"]) and r["sb"] == r["n"] and r["sl"] == len(r["s"])
+        if r["n"] >= 0:
+            assert bytes(r["u"]) == codec.uleb(r["n"]) and r["ub"] == r["n"] and r["ul"] == len(r["u"])
+        else:
+            assert r["u"] is None
+    body = spark.createDataFrame([(b"",), (b"x" * 5,), (b"y" * 300,)], "b binary").select("b", bits.container_hash(codec.CHANGE, F.col("b")).alias("h")).collect()
+    assert all(r["h"] == codec.container(codec.CHANGE, bytes(r["b"]))[1] for r in body)

@@ -156,3 +156,171 @@ def test_incremental_patch(spark):
     before = spark.createDataFrame([("a", "1@x", 1), ("b", "2@x", 1), ("c", "3@x", 1), ("e", "5@x", 1)], schema)
     after = spark.createDataFrame([("a", "1@x", 1), ("b", "4@x", 1), ("d", "6@x", 1), ("e", "5@x", 2)], schema)
     assert {r["key"]: r["edit"] for r in tables.crdt_inc_patch(before, after, ["key"]).collect()} == {"b": "update", "c": "remove", "d": "insert", "e": "conflict"}
+
+
+CHANGES = "doc_id string, hash string, deps array<string>, arrival long"
+
+
+def test_walk_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    n = 10_000
+    c = spark.createDataFrame([("d", f"{k:05}", [f"{k - 1:05}"] if k else [], k) for k in range(n)], CHANGES)
+    tip = c.filter(F.col("hash") == f"{n - 1:05}")
+    up = dag.edges(c).withColumnRenamed("dep", "nxt")
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "chain")
+    assert dag.reach(tip, up).count() == n
+    assert len(jobs.getJobIdsForGroup("chain")) < 30
+    # In blocks of 1,000 links, in the order of the chain: a round for each.
+    spark.sparkContext.setJobGroup("blocks", "blocks")
+    ordered = up.withColumn("at", F.col("hash").cast("long"))
+    assert dag.reach(tip, ordered, order="at", block_links=1_000).count() == n
+    assert len(jobs.getJobIdsForGroup("blocks")) < 200
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_walks_over_blocks_against_brute_force(spark):
+    rnd = random.Random(11)
+    links = sorted({("d" if rnd.random() < 0.7 else "e", rnd.randrange(60), rnd.randrange(60)) for _ in range(110)})
+    df = spark.createDataFrame([(d, f"h{a}", f"h{b}") for d, a, b in links], "doc_id string, hash string, nxt string")
+    start = [("d", 3, 1), ("d", 9, 2), ("e", 3, 1), ("e", 99, 5)]
+    begun = spark.createDataFrame([(d, f"h{a}", e) for d, a, e in start], "doc_id string, hash string, entry long")
+    want = set()
+    for d, a, e in start:
+        seen, todo = set(), [a]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [b for k, y, b in links if k == d and y == x]
+        want |= {(e, d, f"h{x}") for x in seen}
+    for size in (4, 1000):
+        got = dag.reach(begun, df, by=("entry",), block_links=size).collect()
+        assert {(r["entry"], r["doc_id"], r["hash"]) for r in got} == want and len(got) == len(want)
+        plain = dag.reach(begun.filter("entry = 1"), df, block_links=size).collect()
+        assert {(r["doc_id"], r["hash"]) for r in plain} == {(d, h) for e, d, h in want if e == 1}
+    assert dag.reach(begun.limit(0), df).count() == 0
+    assert dag.reach(begun, df.limit(0)).count() == 4
+
+
+def test_parts_of_a_key_are_even_however_its_values_are_spread(spark):
+    rows = [("hot", k if k < 900 else 10**12 + k) for k in range(1000)] + [("cold", 5), (None, 1)]
+    got = prefix.even_parts(spark.createDataFrame(rows, "k string, v long"), "k", "v", 100).groupBy("k", "part").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()
+    hot = sorted((r["low"], r["high"], r["n"]) for r in got if r["k"] == "hot")
+    assert len(hot) == 10 and all(80 <= n <= 120 for _, _, n in hot) and all(a[1] < b[0] for a, b in zip(hot, hot[1:], strict=False))
+    assert {(r["k"], r["part"]) for r in got if r["k"] != "hot"} == {("cold", 0), (None, 0)}
+
+
+def test_covered_and_covering_nodes_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(visibility, "_CHUNK", 7)
+    rnd = random.Random(13)
+    up = {k: rnd.randrange(k) if k else None for k in range(80)}
+    below = {k: [c for c in up if up[c] == k] for k in up}
+    tour, todo = [], [(0, False)]
+    while todo:
+        k, left = todo.pop()
+        tour.append((k, left))
+        if not left:
+            todo.append((k, True))
+            todo += [(c, False) for c in below[k]]
+    rank = {x: len(tour) - at for at, x in enumerate(tour)}
+    marked = set(rnd.sample(range(1, 80), 9))
+    above = lambda k: {k} if up[k] is None else {k} | above(up[k])
+    rows = [("d", "r", str(k), rank[k, False], rank[k, True], rank[k, True] if k in marked else None, int(k in marked)) for k in up]
+    t = spark.createDataFrame(rows, "doc_id string, root_id string, object_id string, entry_rank long, exit_rank long, gone_to long, touched int")
+    assert {int(r["object_id"]) for r in visibility.uncovered(t, "gone_to").collect()} == {k for k in up if not above(k) & marked}
+    assert {int(r["object_id"]) for r in visibility.covering(t, "touched").collect()} == set().union(*(above(k) for k in marked))
+
+
+def _session_ops(spark, doc):
+    """Operations of a session's document in the form the operators take."""
+    from mergeloom.sources import binary
+
+    df = spark.createDataFrame([("d", doc.save())], "doc_id string, data binary")
+    return binary.src_ops(df).withColumn("b", F.when(F.col("vtype") == "bool", F.col("s") == "true"))
+
+
+def _busy_document(seed=3):
+    from mergeloom.plans.session import Document
+
+    rnd = random.Random(seed)
+    a = Document("aa")
+    with a.change(seconds=0) as root:
+        root["title"] = 'quo"ted \\ and\nmore'
+        root["n"], root["x"], root["f"], root["no"] = 5, 2.5, True, None
+        root["list"] = [1, {"deep": [[], {"er": {}}]}, "two", [3, 4]]
+        root["text"], root["t"], root["hits"] = a.text("hello"), a.table(), a.counter(3)
+        root["empty"] = {}
+        root["t"]["row1"] = {"name": "one", "tags": ["a", "b"]}
+    b = Document("bb").merge(a)
+    for k in range(12):
+        doc = rnd.choice([a, b])
+        with doc.change(seconds=0) as root:
+            root["hits"].increment(k)
+            root["text"].insert(rnd.randint(0, len(root["text"])), rnd.choice("xyz") + '"')
+            root["list"].insert(rnd.randint(0, len(root["list"])), k)
+            root["t"][f"row{k}"] = {"name": str(k)}
+            root["n"] = k
+            if k % 4 == 3:
+                del root["list"][0]
+                root["list"][0] = {"new": k}
+    return a.merge(b)
+
+
+def test_whole_documents_are_what_a_session_shows(spark):
+    import json
+
+    from mergeloom.operators import documents
+
+    doc = _busy_document()
+    ops = _session_ops(spark, doc)
+    want = json.loads(json.dumps(doc.value()))
+    for part, block in ((20_000, 250_000), (7, 10)):
+        parts = documents.whole_documents(ops, part=part, block_nodes=block).orderBy("part").collect()
+        assert [r["part"] for r in parts] == list(range(len(parts))) and (part > 100 or len(parts) > 5)
+        assert json.loads("".join(r["json"] for r in parts)) == want
+    assert documents.whole_documents(ops.limit(0)).count() == 0
+
+
+def test_list_patches_turn_one_state_into_the_other(spark, monkeypatch):
+    monkeypatch.setattr(tables, "_CHUNK", 5)
+    doc = _busy_document(5)
+    ops = _session_ops(spark, doc)
+    for upto in (12, 40, 70):
+        before, after = sequences.crdt_list_state(ops.filter(F.col("ctr") <= upto)), sequences.crdt_list_state(ops)
+        lists = {}
+        for state, at in ((before, 0), (after, 1)):
+            for r in state.orderBy("idx").collect():
+                lists.setdefault(r["obj"], ([], []))[at].append((r["elem"], r["ctr"], r["actor"]))
+        patch = tables.list_patch(ops.filter(F.col("ctr") <= upto), ops)
+        edits = {}
+        for r in patch.orderBy(F.col("place").desc()).collect():
+            edits.setdefault(r["obj"], []).append(r)
+        for obj, (old, new) in lists.items():
+            now = [x[0] for x in old]
+            for r in edits.get(obj, []):
+                if r["edit"] == "insert":
+                    now.insert(r["idx"], r["elem"])
+                elif r["edit"] == "remove":
+                    assert now.pop(r["idx"]) == r["elem"]
+                else:
+                    assert now[r["idx"]] == r["elem"] and old[r["before_idx"]][0] == r["elem"]
+                    if r["edit"] != "keep":
+                        assert r["before_id"] != r["after_id"] or r["edit"] == "conflict"
+            assert now == [x[0] for x in new]
+        runs = tables.multi_inserts(patch).agg(F.sum("n")).first()[0]
+        assert runs == patch.filter("edit = 'insert'").count()
+
+
+def test_tables_from_operations_with_conflicts(spark):
+    from mergeloom.sources.derived import table_ops
+
+    rows = spark.createDataFrame([(0, "zero", 1.5, None), (1, "one", None, 7), (2, None, 2.5, 8)], "k long, name string, x double, n int")
+    types = {"k": "bigint", "name": "string", "x": "double", "n": "int"}
+    ops = table_ops(rows, "t", "k", types)
+    got = sorted((r["k"], r["name"], r["x"], r["n"]) for r in tables.crdt_table_state(ops, types).collect())
+    assert got == [(0, "zero", 1.5, None), (1, "one", None, 7), (2, None, 2.5, 8)]
+    cells = {(r["column"], r["value_i"]): r["n_values"] for r in tables.table_cells(tables.winners(ops)).filter("column = 'k'").collect()}
+    assert cells == {("k", 0): 2, ("k", 1): 2, ("k", 2): 2}  # each with a value that lost
+    doc = _busy_document()
+    state = tables.crdt_table_state(_session_ops(spark, doc), {"name": "string"})
+    assert {r["id"]: r["name"] for r in state.collect()} == {k: v["name"] for k, v in doc.value()["t"].items()}

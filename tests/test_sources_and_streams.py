@@ -147,3 +147,115 @@ def test_session_sync_converges():
         if n is not None:
             a.receive(sa, n)
     assert m is None and n is None and a.heads() == b.heads() and a.value() == b.value()
+
+
+def talk_in_turn(first, second, rounds=60):
+    """Messages of two replicas that speak one after the other; how many there were."""
+    sides = [(first, first.sync_state()), (second, second.sync_state())]
+    n = quiet = turn = 0
+    while quiet < 2:
+        (me, mine), (peer, theirs) = sides[turn], sides[1 - turn]
+        m = me.generate(mine)
+        if m is None:
+            quiet += 1
+        else:
+            n, quiet = n + 1, 0
+            assert n < rounds
+            peer.receive(theirs, m)
+        turn = 1 - turn
+    return n
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 60, 100])
+def test_sync_in_turn_takes_few_messages(n):
+    for full_first in (True, False):
+        a, b = Document("aa"), Document("bb")
+        for k in range(n):
+            with a.change(seconds=0) as root:
+                root["k"] = k
+        assert talk_in_turn(*((a, b) if full_first else (b, a))) <= 10
+        assert a.heads() == b.heads() and b.value() == a.value()
+        for k in range(n):  # both go on
+            with (a if k % 2 else b).change(seconds=0) as root:
+                root[f"x{k}"] = k
+        assert talk_in_turn(a, b) <= 10
+        assert a.heads() == b.heads() and b.value() == a.value()
+
+
+def test_lists_by_the_names_of_arrays():
+    d = Document("aa")
+    with d.change() as root:
+        root["l"] = [1, 2, 3]
+        x = root["l"]
+        assert x.push(4, 5) == 5 and x.shift() == 1 and x.unshift(0) == 5
+        x.insert_at(1, 9, 8)
+        x.delete_at(3, 2)
+        assert x.splice(-2, 1, "a", "b") == [4]
+        x.fill(7, 3)
+    assert d.value()["l"] == [0, 9, 8, 7, 7, 7]
+    with d.change() as root:
+        root["e"] = []
+        assert root["e"].shift() is None and root["l"].splice(4) == [7, 7]
+        with pytest.raises(MergeError):
+            root["l"].delete_at(3, 5)
+    assert d.value()["l"] == [0, 9, 8, 7]
+
+
+def test_rows_get_ids_from_a_source_that_can_be_replaced():
+    from mergeloom.functions import ids
+
+    d = Document("aa")
+    ids.set_source(iter(["id1", "id2"]).__next__)
+    try:
+        with d.change() as root:
+            root["t"] = d.table()
+            assert root["t"].add({"n": 1}) == "id1" and root["t"].add({"n": 2}) == "id2"
+    finally:
+        ids.reset_source()
+    assert d.value()["t"]["id2"] == {"n": 2, "id": "id2"} and len(ids.new_id()) == 32
+
+
+def test_changes_that_do_not_fit_are_taken_as_a_whole_or_not():
+    a = Document("aa")
+    with a.change(seconds=0) as root:
+        root["x"] = 1
+    with a.change(seconds=0) as root:
+        root["y"] = {}
+    one, two = a.changes.values()
+    op = next(o for o in two["ops"])
+    wrong = two | {"ops": [op | {"pred": ["1@aa"]}]}  # names an operation of another key
+    b = Document("bb")
+    with pytest.raises(MergeError):
+        b.apply([one, wrong])
+    assert b.value() == {} and not b.changes and not b.waiting and b.heads() == [] and b.max_op == 0
+    assert b.apply([two]).missing() == one["deps"] + [one["hash"]] and b.apply([one]).value() == {"x": 1, "y": {}}
+
+
+def test_edits_call_back_and_undo():
+    seen = []
+    d = Document("aa", on_change=lambda doc: seen.append(doc.value()))
+    with d.change() as root:
+        root["n"] = d.counter(1)
+    with pytest.raises(MergeError), d.change() as root:
+        root["n"].increment(5)
+        root["m"] = [1, 2]
+        root[""] = 1
+    assert d.value() == {"n": 1} and seen == [{"n": 1}] and d.max_op == 1
+    with d.change() as root:
+        root["n"].increment(2)
+    assert seen[-1] == {"n": 3}
+
+
+def test_bytes_and_unknown_types_keep_their_bytes(spark):
+    from mergeloom.sources import binary
+
+    changes = spark.createDataFrame([("d", "c", "aa", 1, 1, 0, None, [])], "doc_id string, change_id string, actor string, seq long, start_op long, time_s long, message string, deps array<string>")
+    rows = [("d", "c", 1, "_root", "b", None, False, "set", "bytes", None, None, None, bytearray(b"\x00\xff"), []), ("d", "c", 2, "_root", "u", None, False, "set", "13", None, None, None, bytearray(b"zz"), [])]
+    ops = spark.createDataFrame(rows, "doc_id string, change_id string, ctr long, obj string, key string, elem string, insert boolean, action string, vtype string, i long, d double, s string, raw binary, pred array<struct<ctr:long,actor:string>>")
+    files = binary.snk_change(changes, ops)
+    got = {r["key"]: (r["vtype"], bytes(r["raw"])) for r in binary.src_ops(files).collect()}
+    assert got == {"b": ("bytes", b"\x00\xff"), "u": ("13", b"zz")}
+    saved = binary.snk_save(files)
+    assert {r["key"]: bytes(r["raw"]) for r in binary.src_ops(saved).collect()} == {"b": b"\x00\xff", "u": b"zz"}
+    h = binary.src_doc_header(saved)
+    assert h.first()["actors"] == ["aa"] and binary.snk_doc_header(h).first()["header"] == h.first()["header"]
