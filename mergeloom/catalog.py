@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from .functions import values as V
 from .functions.keys import clean_hash, opid
 from .operators import dag, documents, encodings, hierarchy, reconcile, sequences, tables, visibility
-from .problems import _bare, _hash, table
+from .problems import _DROP, _bare, _hash, table
 from .sources import binary
-from .sources.derived import EVENT_CHANGES, EVENT_OPS, duck_sql, event_changes, event_ops, logged_ops, table_ops
+from .sources.derived import EVENT_CHANGES, EVENT_OPS, duck_sql, event_changes, event_ops, logged_changes, logged_ops, table_ops
 from .storage import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -427,6 +427,47 @@ def _(s, d):
     return hit.groupBy("message_id").agg(F.count(F.lit(1)).alias("n_have"), F.count_if("hit").alias("n_hit"))
 
 
+# --- L: the change log -------------------------------------------------------------------
+
+_CHANGES = f"""{_DROP}, c AS (SELECT doc_id, h AS hash, deps FROM r WHERE rn = 1 AND h IS NOT NULL),
+ld AS (SELECT DISTINCT doc_id, hash, {_bare("x")} AS dep FROM (SELECT doc_id, hash, unnest(deps) AS x FROM c) WHERE x IS NOT NULL),
+lm AS (SELECT DISTINCT doc_id, dep FROM ld WHERE dep <> '' AND NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = ld.doc_id AND c.hash = ld.dep))"""
+_MESSAGES = f"""mh AS (SELECT DISTINCT message_id, doc_id, h AS hash FROM (SELECT message_id, doc_id, unnest(heads) AS h FROM sync_messages) WHERE h IS NOT NULL)"""
+
+
+def _logged(s, d) -> DataFrame:
+    return Workspace(s, "logged-changes").put(logged_changes(table(s, d, "change_feed")), "changes")
+
+
+@query("log_heads", f"WITH {_CHANGES} SELECT doc_id, hash FROM c WHERE NOT EXISTS (SELECT 1 FROM ld WHERE ld.doc_id = c.doc_id AND ld.dep = c.hash)")
+def _(s, d):
+    """Changes of the feed that no other depends on."""
+    return dag.anti_heads(_logged(s, d))
+
+
+@query("log_missing_deps", f"WITH {_CHANGES} SELECT doc_id, dep FROM lm")
+def _(s, d):
+    return dag.anti_missing_deps(_logged(s, d))
+
+
+@query("log_apply", f"WITH RECURSIVE {_CHANGES}, bl AS (SELECT ld.doc_id, ld.hash FROM ld JOIN lm USING (doc_id, dep) UNION SELECT ld.doc_id, ld.hash FROM bl JOIN ld ON ld.doc_id = bl.doc_id AND ld.dep = bl.hash) SELECT doc_id, hash FROM c WHERE NOT EXISTS (SELECT 1 FROM bl WHERE bl.doc_id = c.doc_id AND bl.hash = c.hash)")
+def _(s, d):
+    """Changes of the feed that can be applied: nothing that they depend on, at any distance, is missing."""
+    return dag.dag_apply(_logged(s, d)).select("doc_id", "hash")
+
+
+@query("syn_receive_log", f"WITH {_CHANGES}, {_MESSAGES}, k AS (SELECT message_id, count(*) AS n, count(c.hash) AS n_known, coalesce(string_agg(c.hash, ',' ORDER BY c.hash), '') AS shared FROM mh LEFT JOIN c USING (doc_id, hash) GROUP BY message_id) SELECT message_id, coalesce(shared, '') AS shared, coalesce(n = n_known, TRUE) AS all_known, n IS NULL AS starts_over FROM sync_messages LEFT JOIN k USING (message_id)")
+def _(s, d):
+    """What a replica with the changes of the feed notes of every message."""
+    return reconcile.syn_receive(table(s, d, "sync_messages"), _logged(s, d)).withColumn("shared", F.array_join("shared", ","))
+
+
+@query("syn_generate_log", f"WITH {_CHANGES}, {_MESSAGES}, nm AS (SELECT doc_id, count(*) AS n FROM lm GROUP BY doc_id), k AS (SELECT message_id, count(*) FILTER (c.hash IS NULL AND lm.dep IS NULL) AS n_new, count(lm.dep) AS n_named FROM mh LEFT JOIN c USING (doc_id, hash) LEFT JOIN lm ON lm.doc_id = mh.doc_id AND lm.dep = mh.hash GROUP BY message_id), ls AS (SELECT DISTINCT message_id FROM (SELECT message_id, doc_id, unnest(l) AS h FROM (SELECT message_id, doc_id, unnest(have).last_sync AS l FROM sync_messages)) x WHERE h IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = x.doc_id AND c.hash = x.h)) SELECT m.message_id, coalesce(nm.n, 0) + coalesce(k.n_new, 0) AS n_need, coalesce(k.n_named, 0) = coalesce(nm.n, 0) AS sends_filter, ls.message_id IS NOT NULL AS asks_anew FROM sync_messages m LEFT JOIN nm USING (doc_id) LEFT JOIN k ON k.message_id = m.message_id LEFT JOIN ls ON ls.message_id = m.message_id")
+def _(s, d):
+    """What that replica answers to every message."""
+    return reconcile.syn_generate(table(s, d, "sync_messages"), _logged(s, d))
+
+
 # --- L: the operation log ----------------------------------------------------------------
 
 def _log_sql(x: str = "", where: str = "TRUE") -> str:
@@ -521,8 +562,7 @@ def _(s, d):
 
 @query("crdt_list_order", f"WITH RECURSIVE {_SEQ} SELECT doc_id, obj, id AS elem, row_number() OVER (PARTITION BY doc_id, obj ORDER BY path) AS place FROM tr")
 def _(s, d):
-    w = Window.partitionBy("doc_id", "obj").orderBy(F.col("entry_rank").desc())
-    return sequences.crdt_list_order(_log(s, d)).select("doc_id", "obj", "elem", F.row_number().over(w).cast("long").alias("place"))
+    return sequences.places(sequences.crdt_list_order(_log(s, d))).select("doc_id", "obj", "elem", "place")
 
 
 @query("crdt_list_state", f"WITH RECURSIVE {_SEQ} SELECT doc_id, obj, elem, idx, vtype, s FROM st")
@@ -594,8 +634,7 @@ def _(s, d):
 @query("win_first_last", f"WITH RECURSIVE {_SEQ}, c AS (SELECT tr.doc_id, tr.obj, CAST(floor((row_number() OVER (PARTITION BY tr.doc_id, tr.obj ORDER BY path) - 1) / 5) AS BIGINT) AS block, tr.id, path, st.idx FROM tr LEFT JOIN st ON st.doc_id = tr.doc_id AND st.obj = tr.obj AND st.elem = tr.id) SELECT doc_id, obj, block, min_by(id, path) FILTER (idx IS NOT NULL) AS first_seen, max_by(id, path) FILTER (idx IS NOT NULL) AS last_seen FROM c GROUP BY ALL")
 def _(s, d):
     ops = _log(s, d)
-    w = Window.partitionBy("doc_id", "obj").orderBy(F.col("entry_rank").desc())
-    placed = sequences.crdt_list_order(ops).withColumn("block", F.floor((F.row_number().over(w) - 1) / 5))
+    placed = sequences.places(sequences.crdt_list_order(ops)).withColumn("block", F.floor((F.col("place") - 1) / 5))
     seen = sequences.crdt_list_state(ops).select("doc_id", "obj", "elem", "idx")
     both = placed.join(seen, ["doc_id", "obj", "elem"], "left").withColumn("e", F.when(F.col("idx").isNotNull(), F.col("elem")))
     return both.groupBy("doc_id", "obj", "block").agg(F.min_by("e", "idx").alias("first_seen"), F.max_by("e", "idx").alias("last_seen"))

@@ -1,6 +1,7 @@
 """Column encodings as window queries: runs, differences, alternating counts, dictionaries.
 
-``part`` names what a column is encoded within; order is by ``order``, which must be unique there.
+``part`` names what a column is encoded within; order is by ``order``, a whole number that must be unique there. Each part
+may be of any size: it is split into buckets of the order.
 """
 
 from __future__ import annotations
@@ -8,42 +9,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import before, chunk, running_total, runs
+
 
 def enc_rle(rows: DataFrame, part: list[str], order: str, value: str) -> DataFrame:
     """Runs of equal neighbours (nulls equal nulls): ``*part, run, start, value, n``."""
-    w = Window.partitionBy(*part).orderBy(order)
-    # A value wrapped in a struct is never null, so the first row is told from one after a null.
-    new = ~F.coalesce(F.lag(F.struct(value)).over(w).eqNullSafe(F.struct(value)), F.lit(False))
-    runs = rows.withColumn("new", new.cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*part, "run").agg(F.min(order).alias("start"), F.first(value).alias("value"), F.count(F.lit(1)).alias("n"))
+    found = runs(rows, part, [value], lambda b: b[value].eqNullSafe(F.col(value)), order)
+    return found.groupBy(*part, "run").agg(F.min(order).alias("start"), F.first(value).alias("value"), F.count(F.lit(1)).alias("n"))
 
 
-def dec_rle(runs: DataFrame, part: list[str]) -> DataFrame:
+def dec_rle(found: DataFrame, part: list[str]) -> DataFrame:
     """The values again, in order: ``*part, place, value`` with ``place`` from 1."""
-    w = Window.partitionBy(*part).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    begun = runs.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    return begun.select(*part, "value", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))).alias("place"))
+    ended = running_total(found, part, "n", chunk("run"), [F.col("run")], "ended")
+    return ended.select(*part, "value", F.explode(F.sequence(F.col("ended") - F.col("n") + 1, F.col("ended"))).alias("place"))
 
 
 def enc_delta(rows: DataFrame, part: list[str], order: str, value: str) -> DataFrame:
     """Difference to the last value that is not null, of the first to 0; null stays null and moves nothing."""
-    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("delta", F.col(value) - F.coalesce(F.last(value, ignorenulls=True).over(w), F.lit(0)))
+    seen = before(rows, part, F.col(value), chunk(order), [F.col(order)], "_last")
+    return seen.withColumn("delta", F.col(value) - F.coalesce("_last", F.lit(0))).drop("_last")
 
 
 def dec_delta(rows: DataFrame, part: list[str], order: str) -> DataFrame:
     """Values again from ``delta``."""
-    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("value", F.when(F.col("delta").isNotNull(), F.sum("delta").over(w)))
+    total = running_total(rows, part, "delta", chunk(order), [F.col(order)], "_total")
+    return total.withColumn("value", F.when(F.col("delta").isNotNull(), F.col("_total"))).drop("_total")
 
 
 def enc_bool(rows: DataFrame, part: list[str], order: str, value: str) -> DataFrame:
     """Counts of alternating runs beginning with false (0 if the first is true); null counts as false: ``*part, run, n``."""
     flags = rows.withColumn("_v", F.coalesce(value, F.lit(False)))
-    runs = enc_rle(flags, part, order, "_v")
-    first = runs.filter("run = 1 and value").select(*part, F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("n"))
-    starts = runs.filter("run = 1").select(*part, F.col("value").cast("long").alias("shift"))
-    shifted = runs.join(starts, part).select(*part, (F.col("run") - 1 + F.col("shift")).alias("run"), "n")
+    found = enc_rle(flags, part, order, "_v")
+    first = found.filter("run = 1 and value").select(*part, F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("n"))
+    starts = found.filter("run = 1").select(*part, F.col("value").cast("long").alias("shift"))
+    shifted = found.join(starts, part).select(*part, (F.col("run") - 1 + F.col("shift")).alias("run"), "n")
     return shifted.unionByName(first)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +19,52 @@ def running_total(rows: DataFrame, by: list[str], value: str, bucket: Column, or
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = cut.groupBy(*by, "_b").agg(fold(value).alias("_s")).withColumn("_start", fold("_s").over(before)).drop("_s")
     inside = fold(value).over(Window.partitionBy(*by, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    keys = [*by, "_b"]
-    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_start")
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
     both = F.least("_start", inside) if least else F.coalesce("_start", F.lit(0)) + F.coalesce(inside, F.lit(0))
-    return cut.join(sums, on).withColumn(name, both).drop("_start", *[f"_k{i}" for i in range(len(keys))], "_b")
+    return _with_start(cut, sums, [*by, "_b"]).withColumn(name, both).drop("_start", "_b")
+
+
+def _with_start(cut: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the ``_start`` of their bucket; nulls equal nulls."""
+    starts = starts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_start")
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return cut.join(starts, on).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+CHUNK = 50_000  # numbers of an order that make a bucket
+
+
+def chunk(order: str) -> Column:
+    """Buckets of a whole number that rows are ordered by."""
+    return F.floor(F.col(order) / CHUNK)
+
+
+def before(rows: DataFrame, by: list[str], value: Column, bucket: Column, order: list[Column], name: str) -> DataFrame:
+    """``name``: the last ``value`` that is not null of the rows before each one within ``by``, in the order of (``bucket``, ``order``); null if there is none.
+
+    Wrap values in a struct to get that of the very last row. Split by buckets as in ``running_total``.
+    """
+    cut = rows.withColumn("_b", bucket).withColumn("_carried", value)
+    last = cut.groupBy(*by, "_b").agg(F.max_by("_carried", F.when(F.col("_carried").isNotNull(), F.struct(*order))).alias("_last"))
+    upto = lambda *k: Window.partitionBy(*k[0]).orderBy(*k[1]).rowsBetween(Window.unboundedPreceding, -1)
+    starts = last.withColumn("_start", F.last("_last", ignorenulls=True).over(upto(by, ["_b"])))
+    inside = F.last("_carried", ignorenulls=True).over(upto([*by, "_b"], order))
+    return _with_start(cut, starts, [*by, "_b"]).withColumn(name, F.coalesce(inside, "_start")).drop("_start", "_b", "_carried")
+
+
+def runs(rows: DataFrame, by: list[str], columns: list[str], same: Callable[[Column], Column], order: str, bucket: Column | None = None) -> DataFrame:
+    """``run``, from 1, of every row within ``by``: a row begins a new one unless ``same`` (of the struct of ``columns`` in the row before) is true.
+
+    ``order`` is a whole number, unique within ``by``; no task has more of a key than a bucket of it.
+    """
+    bucket = chunk(order) if bucket is None else bucket
+    seen = before(rows, by, F.struct(*columns), bucket, [F.col(order)], "_before")
+    new = seen.withColumn("_new", F.when(F.col("_before").isNotNull() & F.coalesce(same(F.col("_before")), F.lit(False)), 0).otherwise(1)).drop("_before")
+    return running_total(new, by, "_new", bucket, [F.col(order)], "run").drop("_new")
+
+
+def numbered(rows: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
+    """``name``: place from 1 within ``by`` in the order of a whole number that is unique there."""
+    return running_total(rows.withColumn("_one", F.lit(1).cast("long")), by, "_one", chunk(order), [F.col(order)], name).drop("_one")
 
 
 SLICES = 1024  # of equally many rows, from which parts of a large key are put together

@@ -111,3 +111,35 @@ def set_known_union(known: Column, shared: Column) -> Column:
 def set_sent_filter(to_send: DataFrame, sent: DataFrame) -> DataFrame:
     """Changes not sent before."""
     return to_send.join(sent.select(*dag.KEY), dag.KEY, "left_anti")
+
+
+def _heads(messages: DataFrame) -> DataFrame:
+    return messages.select("message_id", "doc_id", F.explode(F.array_distinct("heads")).alias("hash")).filter("hash is not null")
+
+
+def syn_receive(messages: DataFrame, changes: DataFrame) -> DataFrame:
+    """What a replica that has ``changes`` notes of each message of a new peer: ``message_id, shared, all_known, starts_over``.
+
+    ``shared`` are the heads that it has too, sorted; ``starts_over`` is whether the peer has nothing, so that what was sent is forgotten. ``messages`` has ``message_id, doc_id, heads``.
+    """
+    heads = _heads(messages).join(changes.select(*dag.KEY).withColumn("known", F.lit(True)), dag.KEY, "left")
+    per = heads.groupBy("message_id").agg(F.sort_array(F.collect_list(F.when(F.col("known"), F.col("hash")))).alias("shared"), F.count(F.lit(1)).alias("n"))
+    none = F.array().cast("array<string>")
+    out = messages.select("message_id").join(per, "message_id", "left").withColumn("shared", F.coalesce("shared", none))
+    return out.select("message_id", "shared", (F.size("shared") == F.coalesce("n", F.lit(0))).alias("all_known"), F.col("n").isNull().alias("starts_over"))
+
+
+def syn_generate(messages: DataFrame, changes: DataFrame) -> DataFrame:
+    """What a replica that has ``changes`` answers to each message: ``message_id, n_need, sends_filter, asks_anew``.
+
+    Needed are the peer's heads that it lacks, and what its own changes depend on and is not there. A filter goes along if the peer has all of that among its
+    heads. ``asks_anew`` is whether the peer counts from a state that this replica does not know, so that all is started from nothing. ``messages`` also has ``have``.
+    """
+    missing = dag.anti_missing_deps(changes).select("doc_id", F.col("dep").alias("hash"), F.lit(True).alias("missing"))
+    lacking = missing.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_missing"))
+    heads = _heads(messages).join(changes.select(*dag.KEY).withColumn("known", F.lit(True)), dag.KEY, "left").join(missing, dag.KEY, "left")
+    per = heads.groupBy("message_id").agg(F.count_if(F.col("known").isNull() & F.col("missing").isNull()).alias("n_new"), F.count_if("missing").alias("n_named"))
+    since = messages.select("message_id", "doc_id", F.explode(F.flatten("have.last_sync")).alias("hash")).distinct().join(changes.select(*dag.KEY), dag.KEY, "left_anti")
+    anew = since.groupBy("message_id").agg(F.lit(True).alias("asks_anew"))
+    out = messages.select("message_id", "doc_id").join(lacking, "doc_id", "left").join(per, "message_id", "left").join(anew, "message_id", "left").fillna(0, ["n_missing", "n_new", "n_named"])
+    return out.select("message_id", (F.col("n_missing") + F.col("n_new")).alias("n_need"), (F.col("n_named") == F.col("n_missing")).alias("sends_filter"), F.coalesce("asks_anew", F.lit(False)).alias("asks_anew"))

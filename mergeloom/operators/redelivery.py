@@ -50,12 +50,6 @@ def change_hashes(d: DataFrame) -> tuple[DataFrame, DataFrame]:
     return named, filled.select(named.columns)
 
 
-def with_change_hash(d: DataFrame) -> DataFrame:
-    """All deliveries with the hash of their change, as ``change_hashes`` finds it."""
-    named, filled = change_hashes(d)
-    return named.unionByName(filled)
-
-
 def _places(key: np.ndarray, size: int) -> Iterator[np.ndarray]:
     """Where each identifier's bits are, one array for each probe."""
     step = ((key >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)

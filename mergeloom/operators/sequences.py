@@ -8,14 +8,14 @@ text is, and no task has a whole long text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.keys import opid
 from ..functions.values import parse_opid
 from ..storage import Workspace
 from .hierarchy import BLOCK_NODES, tours
-from .prefix import running_total
+from .prefix import numbered, running_total, runs
 from .visibility import visible
 
 LIST = ["doc_id", "obj"]
@@ -26,7 +26,7 @@ def crdt_list_order(ops: DataFrame, block_nodes: int = BLOCK_NODES, work: Worksp
     """``doc_id, obj, elem, entry_rank`` of every inserted element; greater ranks come first.
 
     Elements in or below a loop, or whose reference is not in the list, have no place and
-    are left out (``unplaced`` names them). Same conditions on ``ops`` as in ``visibility``.
+    are left out. Same conditions on ``ops`` as in ``visibility``.
     """
     work = work or Workspace(ops.sparkSession, "list-order")
     made = ops.filter("insert and key is null").select(*LIST, "ctr", "actor", opid(F.col("ctr"), F.col("actor")).alias("id"), F.col("elem").alias("up"))
@@ -76,36 +76,36 @@ def agg_text(state: DataFrame) -> DataFrame:
 
 def win_spans(state: DataFrame) -> DataFrame:
     """Runs of characters between other values: ``doc_id, obj, span, text`` (null for a value that is no string)."""
-    w = Window.partitionBy(*LIST).orderBy("idx")
-    is_text = F.coalesce(F.col("vtype") == "str", F.lit(False))
-    cut = state.withColumn("is_text", is_text).withColumn("new", (~F.col("is_text") | ~F.coalesce(F.lag("is_text").over(w), F.lit(False))).cast("int"))
-    runs = cut.withColumn("span", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*LIST, "span").agg(F.expr("listagg(CASE WHEN vtype = 'str' THEN s END, '') WITHIN GROUP (ORDER BY idx)").alias("text"))
+    cut = runs(state.withColumn("is_text", F.coalesce(F.col("vtype") == "str", F.lit(False))), LIST, ["is_text"], lambda b: b["is_text"] & F.col("is_text"), "idx")
+    return cut.groupBy(*LIST, F.col("run").alias("span")).agg(F.expr("listagg(CASE WHEN vtype = 'str' THEN s END, '') WITHIN GROUP (ORDER BY idx)").alias("text"))
 
 
 def win_coalesce_edits(state: DataFrame) -> DataFrame:
     """Runs of elements that one multi-insert would make: neighbours of one actor and type with counters that follow each other."""
     islands = state.withColumn("own", parse_opid(F.col("elem"))).select(*LIST, "idx", F.col("own.ctr").alias("c"), F.col("own.actor").alias("by"), "vtype")
-    w = Window.partitionBy(*LIST).orderBy("idx")
-    same = (F.lag("by").over(w) == F.col("by")) & F.lag("vtype").over(w).eqNullSafe(F.col("vtype")) & (F.lag("c").over(w) == F.col("c") - 1)
-    runs = islands.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*LIST, "run").agg(F.min("idx").alias("start_idx"), F.count(F.lit(1)).alias("length")).select(*LIST, "start_idx", "length")
+    same = lambda b: (b["by"] == F.col("by")) & b["vtype"].eqNullSafe(F.col("vtype")) & (b["c"] == F.col("c") - 1)
+    return runs(islands, LIST, ["c", "by", "vtype"], same, "idx").groupBy(*LIST, "run").agg(F.min("idx").alias("start_idx"), F.count(F.lit(1)).alias("length")).select(*LIST, "start_idx", "length")
+
+
+def _runs_of_actor(ops: DataFrame, columns: list[str], same) -> DataFrame:
+    by = [*LIST, "actor"]
+    return runs(ops, by, columns, same, "ctr").groupBy(*by, "run").agg(F.min("ctr").alias("first_ctr"), F.count(F.lit(1)).alias("n")).drop("run")
 
 
 def win_multi_del(ops: DataFrame) -> DataFrame:
     """Runs of deletions that one multiple deletion would make: of one actor, operations and elements both one after the other."""
     d = ops.filter("action = 'del' and key is null and elem is not null").withColumn("e", parse_opid(F.col("elem")))
     d = d.select(*LIST, "ctr", "actor", F.col("e.ctr").alias("ec"), F.col("e.actor").alias("ea"))
-    w = Window.partitionBy(*LIST, "actor").orderBy("ctr")
-    same = (F.lag("ctr").over(w) == F.col("ctr") - 1) & (F.lag("ea").over(w) == F.col("ea")) & (F.lag("ec").over(w) == F.col("ec") - 1)
-    runs = d.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*LIST, "actor", "run").agg(F.min("ctr").alias("first_ctr"), F.count(F.lit(1)).alias("n")).drop("run")
+    return _runs_of_actor(d, ["ctr", "ec", "ea"], lambda b: (b["ctr"] == F.col("ctr") - 1) & (b["ea"] == F.col("ea")) & (b["ec"] == F.col("ec") - 1))
 
 
 def win_multi_ins(ops: DataFrame) -> DataFrame:
     """Runs of insertions that one ``set`` of several values would make: each after the one before, of one actor and type."""
     d = ops.filter("action = 'set' and insert").withColumn("e", parse_opid(F.col("elem"))).select(*LIST, "ctr", "actor", "vtype", F.col("e.ctr").alias("ec"), F.col("e.actor").alias("ea"))
-    w = Window.partitionBy(*LIST, "actor").orderBy("ctr")
-    same = (F.lag("ctr").over(w) == F.col("ctr") - 1) & (F.col("ec") == F.col("ctr") - 1) & (F.col("ea") == F.col("actor")) & F.lag("vtype").over(w).eqNullSafe(F.col("vtype"))
-    runs = d.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*LIST, "actor", "run").agg(F.min("ctr").alias("first_ctr"), F.count(F.lit(1)).alias("n")).drop("run")
+    follows = (F.col("ec") == F.col("ctr") - 1) & (F.col("ea") == F.col("actor"))
+    return _runs_of_actor(d, ["ctr", "vtype"], lambda b: (b["ctr"] == F.col("ctr") - 1) & follows & b["vtype"].eqNullSafe(F.col("vtype")))
+
+
+def places(order: DataFrame) -> DataFrame:
+    """``place`` from 1 of every element of ``crdt_list_order``."""
+    return numbered(order.withColumn("_at", -F.col("entry_rank")), LIST, "_at", "place").drop("_at")

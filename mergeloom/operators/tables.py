@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import opid
-from .prefix import running_total
+from .prefix import running_total, runs
 from .sequences import LIST, crdt_list_order
 from .visibility import agg_lww, visible
 
@@ -140,8 +140,7 @@ def multi_inserts(patch: DataFrame) -> DataFrame:
     part = F.split("elem", "@")
     new = patch.filter("edit = 'insert'").withColumns({"c": part[0].cast("long"), "by": part[1], "plain": F.expr("action = 'set' and after_id = elem")})
     # Such neighbours have one difference of index and counter in common; nothing else has.
-    new = new.withColumn("line", F.col("idx") - F.col("c"))
-    w = Window.partitionBy(*LIST, "by", "line").orderBy("idx")
-    same = (F.lag("idx").over(w) == F.col("idx") - 1) & F.lag("vtype").over(w).eqNullSafe(F.col("vtype")) & F.lag("plain").over(w) & F.col("plain")
-    runs = new.withColumn("run", F.sum(F.when(same, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*LIST, "by", "line", "run").agg(F.min("idx").alias("idx"), F.min_by("elem", "idx").alias("elem"), F.count(F.lit(1)).alias("n")).select(*LIST, "idx", "elem", "n")
+    by = [*LIST, "by", "line"]
+    same = lambda b: (b["idx"] == F.col("idx") - 1) & b["vtype"].eqNullSafe(F.col("vtype")) & b["plain"] & F.col("plain")
+    found = runs(new.withColumn("line", F.col("idx") - F.col("c")), by, ["idx", "vtype", "plain"], same, "idx")
+    return found.groupBy(*LIST, "by", "line", "run").agg(F.min("idx").alias("idx"), F.min_by("elem", "idx").alias("elem"), F.count(F.lit(1)).alias("n")).select(*LIST, "idx", "elem", "n")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import bare_key, clean_hash, object_id, opid
-from ..operators.redelivery import deduplicated, deliveries, with_change_hash
+from ..operators.redelivery import change_hashes, deduplicated, deliveries
 from ..storage import Workspace
 
 
@@ -30,11 +30,19 @@ def logged_ops(log: DataFrame) -> DataFrame:
 
 
 def logged_changes(feed: DataFrame) -> DataFrame:
-    """Changes of ``change_feed`` that have a hash, each once: ``doc_id, hash, actor, seq, start_op, max_op, deps, received_at``."""
-    named = with_change_hash(deliveries(feed)).select("delivery_id", F.col("hash").alias("h"))
-    kept = deduplicated(feed).drop("hash").join(named, "delivery_id").filter("h is not null")
+    """Changes of ``change_feed`` that have a hash, each once: ``doc_id, hash, actor, seq, start_op, max_op, deps, received_at``.
+
+    They are as their first delivery has them; if that has no hash, it is the one another delivery gives.
+    """
     deps = F.filter(F.transform("deps", bare_key), lambda d: d != "")
-    return kept.select("doc_id", F.col("h").alias("hash"), bare_key(F.col("actor")).alias("actor"), "seq", "start_op", (F.col("start_op") + F.col("n_ops") - 1).alias("max_op"), F.array_sort(F.array_distinct(F.coalesce(deps, F.array().cast("array<string>")))).alias("deps"), "received_at")
+    kept = deduplicated(feed).select(
+        "delivery_id", "doc_id", clean_hash(F.col("hash")).alias("hash"), bare_key(F.col("actor")).alias("actor"), "seq", "start_op", (F.col("start_op") + F.col("n_ops") - 1).alias("max_op"),
+        F.array_sort(F.array_distinct(F.coalesce(deps, F.array().cast("array<string>")))).alias("deps"), "received_at",
+    )
+    kept = Workspace(feed.sparkSession, "kept").put(kept, "kept")
+    given = change_hashes(deliveries(feed))[1].filter("hash is not null").select("delivery_id", F.col("hash").alias("given"))
+    bare = kept.filter("hash is null").join(given, "delivery_id").withColumn("hash", F.col("given")).select(kept.columns)
+    return kept.filter("hash is not null").unionByName(bare).drop("delivery_id")
 
 
 #: Eight actors edit 25 keys of a map; within a day each on its own, at midnight all merge.

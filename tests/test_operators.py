@@ -324,3 +324,37 @@ def test_tables_from_operations_with_conflicts(spark):
     doc = _busy_document()
     state = tables.crdt_table_state(_session_ops(spark, doc), {"name": "string"})
     assert {r["id"]: r["name"] for r in state.collect()} == {k: v["name"] for k, v in doc.value()["t"].items()}
+
+
+def test_prefixes_over_many_buckets_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "CHUNK", 7)
+    rnd = random.Random(19)
+    rows = [(k, n, rnd.choice(["a", "a", "b", None]), rnd.choice([1, 5, None])) for k in ("x", "y", None) for n in rnd.sample(range(-100, 200), 80)]
+    df = spark.createDataFrame(rows, "k string, n long, v string, x long")
+    by_key = {k: sorted((r for r in rows if r[0] == k), key=lambda r: r[1]) for k in ("x", "y", None)}
+    runs = encodings.enc_rle(df, ["k"], "n", "v").collect()
+    for k, own in by_key.items():
+        want = []
+        for _, n, v, _ in own:
+            if want and want[-1][1] == v:
+                want[-1][2] += 1
+            else:
+                want.append([n, v, 1])
+        assert [(r["start"], r["value"], r["n"]) for r in sorted((r for r in runs if r["k"] == k), key=lambda r: r["run"])] == [tuple(w) for w in want]
+    back = encodings.dec_rle(encodings.enc_rle(df, ["k"], "n", "v"), ["k"]).collect()
+    assert all([r["value"] for r in sorted((r for r in back if r["k"] == k), key=lambda r: r["place"])] == [v for _, _, v, _ in own] for k, own in by_key.items())
+    delta = encodings.enc_delta(df, ["k"], "n", "x")
+    for r in delta.collect():
+        last = [x for _, n, _, x in by_key[r["k"]] if n < r["n"] and x is not None]
+        assert r["delta"] == (None if r["x"] is None else r["x"] - (last[-1] if last else 0))
+    assert {(r["k"], r["n"]): r["value"] for r in encodings.dec_delta(delta.drop("x"), ["k"], "n").collect()} == {(k, n): x for k, n, _, x in rows}
+    got = {(r["k"], r["n"]): r["place"] for r in prefix.numbered(df, ["k"], "n", "place").collect()}
+    assert got == {(k, r[1]): i + 1 for k, own in by_key.items() for i, r in enumerate(own)}
+
+
+def test_rows_of_hot_keys_are_looked_up(spark):
+    rows = spark.createDataFrame([("hot" if k % 3 else f"c{k}", k) for k in range(3000)], "k string, n long")
+    per = rows.groupBy("k").agg(F.count(F.lit(1)).alias("many"), F.min("n").alias("least")).withColumnRenamed("many", "n_of")
+    got = prefix.looked_up(rows, per, ["k"], 3000, "n_of")
+    assert got.count() == 3000 and got.filter("k = 'hot'").select("least").distinct().collect()[0][0] == 1
+    assert got.filter("k <> 'hot' and least <> n").count() == 0
