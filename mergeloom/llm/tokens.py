@@ -17,8 +17,6 @@ VOCABULARY = os.environ.get("MERGELOOM_VOCABULARY", "/opt/tokenizers/byte_bpe_50
 #: Fixed value: how byte-level BPE vocabularies of this kind cut text into words before merging.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_PIECE = 50_000  # characters handed to the tokenizer at once
-
 
 @lru_cache(maxsize=2)
 def _encoding(vocabulary: str):
