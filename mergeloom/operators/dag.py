@@ -82,20 +82,25 @@ def reach(start: DataFrame, links: DataFrame, work: Workspace | None = None, by:
     rounds as a path changes blocks, not as it has steps: one for documents of one block.
     """
     work = work or Workspace(start.sparkSession, "reach")
-    cut = links.select(*KEY, "nxt", (F.col(order) if order else F.xxhash64("hash")).alias("_order"))
+    keys = ", ".join(f"`{c}` {start.schema[c].dataType.simpleString()}" for c in [*by, "doc_id", "hash"])
+    walk = lambda f, e: f.groupBy("block").cogroup(e.groupBy("block")).applyInPandas(lambda f, e: _walked(f, e, by), f"{keys}, goes_on string")
+    links = work.put(links.select(*KEY, "nxt", *([F.col(order).alias("_order")] if order else [])), "given")
+    if not links.groupBy("doc_id").count().filter(F.col("count") > block_links).limit(1).count():
+        whole = F.hex(F.xxhash64("doc_id"))
+        inside = links.select(*KEY, "nxt", whole.alias("block"), whole.alias("nxt_block"))
+        return work.put(walk(start.select(*by, *KEY).distinct().withColumn("block", whole), inside).select(*by, *KEY), "found")
+    cut = links.select(*KEY, "nxt", (F.col("_order") if order else F.xxhash64("hash")).alias("_order"))
     cut = work.put(even_parts(cut, "doc_id", "_order", block_links).select(*KEY, "nxt", F.hex(F.xxhash64("doc_id", "part")).alias("block")), "cut")
     of = work.put(cut.groupBy(*KEY).agg(F.min("block").alias("block")), "blocks")
     links = work.put(cut.select(*KEY, "nxt").join(of, KEY).join(of.select("doc_id", F.col("hash").alias("nxt"), F.col("block").alias("nxt_block")), ["doc_id", "nxt"], "left"), "links")
     begun = start.select(*by, *KEY).distinct()
     front = work.put(begun.join(of, KEY), "round0")
     found = work.put(begun.join(of, KEY, "left_anti"), "alone")  # nothing follows these
-    keys = ", ".join(f"`{c}` {start.schema[c].dataType.simpleString()}" for c in [*by, "doc_id", "hash"])
     k = 0
     while front.limit(1).count():
         k += 1
         asked = links.join(F.broadcast(front.select("block").distinct()), "block", "left_semi") if k > 1 else links
-        walked = front.groupBy("block").cogroup(asked.groupBy("block")).applyInPandas(lambda f, e: _walked(f, e, by), f"{keys}, goes_on string")
-        walked = work.put(walked, f"walked{k}")
+        walked = work.put(walk(front, asked), f"walked{k}")
         found = work.put(found.unionByName(walked.select(*by, *KEY)).distinct(), f"found{k}")
         nxt = walked.filter("goes_on is not null").withColumnRenamed("goes_on", "block").distinct()
         # What lies in another block is new unless that block was walked from it before.

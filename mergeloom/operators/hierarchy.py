@@ -239,7 +239,7 @@ def tours(nodes: DataFrame, work: Workspace, block_nodes: int = BLOCK_NODES) ->
     return _forest(nodes, work, block_nodes)[0].select("doc_id", "object_id", "root_id", "in_len", "out_len", "in_sum", "path")
 
 
-def tree_of_objects(ops: DataFrame, block_nodes: int = BLOCK_NODES, work: Workspace | None = None) -> DataFrame:
+def tree_of_objects(ops: DataFrame, block_nodes: int = BLOCK_NODES, work: Workspace | None = None, ordered: bool = False) -> DataFrame:
     """One row per operation of ``ops`` that makes an object, visible or not.
 
     Columns ``doc_id, object_id, root_id, tree_depth, key_path, entry_rank, exit_rank, n_descendants``. Its
@@ -247,13 +247,15 @@ def tree_of_objects(ops: DataFrame, block_nodes: int = BLOCK_NODES, work: Worksp
     is topmost, of depth 1 and its own root. Without ``key`` an object contributes its id to the path.
     In or below a loop the depth is -1, root and path are empty, ranks are null and ``n_descendants`` is -1. Ranks count
     from the end of the tour: entries are greater than the exits they enclose. If rows of one operation contradict one
-    another, the smallest (object, key) counts; rows without a whole operation id give nothing.
+    another, the smallest (object, key) counts; rows without a whole operation id give nothing. Siblings are visited in any
+    order, or, at the price of a sort, ``ordered`` by (``ctr``, ``actor``).
     """
     work = work or Workspace(ops.sparkSession, "hierarchy")
     made = ops.filter("action like 'make%' and ctr is not null and actor is not null").select(
         "doc_id", "ctr", bare_key(F.col("actor")).alias("actor"), object_id(F.col("obj")).alias("obj"), "key"
     )
     made = made.groupBy("doc_id", "ctr", "actor").agg(F.min(F.struct("obj", "key")).alias("at"))
+    made = made.orderBy("doc_id", "ctr", "actor") if ordered else made
     nodes = work.put(
         made.select(F.monotonically_increasing_id().alias("nid"), "doc_id", "ctr", opid(F.col("ctr"), F.col("actor")).alias("object_id"), "at.obj", "at.key").withColumn("label", F.coalesce("key", "object_id")), "nodes"
     )

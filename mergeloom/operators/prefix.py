@@ -76,13 +76,14 @@ def even_parts(rows: DataFrame, by: str, value: str, size: int) -> DataFrame:
     Cut by quantiles, so it does not matter how values are spread; rows of one value stay together. A key of more than SLICES times
     ``size`` rows has SLICES parts.
     """
-    large = rows.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx(value, [k / SLICES for k in range(1, SLICES)], 10_000).alias("_q"))
-    parts = F.least(F.ceil(F.col("_n") / size), F.lit(SLICES)).cast("int")
-    large = large.filter(F.col("_n") > size).withColumn("_parts", parts)
+    sizes = rows.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > size)
+    # Quantiles only of those: fewer keys than one for every ``size`` rows.
+    large = rows.join(sizes, F.col(by).eqNullSafe(F.col("_by"))).groupBy("_by", "_n").agg(F.percentile_approx(value, [k / SLICES for k in range(1, SLICES)], 10_000).alias("_q"))
+    large = large.withColumn("_parts", F.least(F.ceil(F.col("_n") / size), F.lit(SLICES)).cast("int"))
     cuts = F.transform(F.sequence(F.lit(1), F.col("_parts") - 1), lambda k: F.element_at("_q", (k * SLICES / F.col("_parts")).cast("int")))
     large = large.select("_by", cuts.alias("_cuts"))  # one row for every ``size`` rows of the table at most
     placed = rows.join(large, F.col(by).eqNullSafe(F.col("_by")), "left")
-    return placed.withColumn("part", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))).drop("_by", "_cuts")
+    return placed.withColumn("part", F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(value))))).drop("_by", "_cuts")
 
 
 def hash_range(h: Column, ranges: int) -> Column:

@@ -101,11 +101,6 @@ def crdt_inc_patch(before: DataFrame, after: DataFrame, cell: list[str]) -> Data
     return both.select(*[F.coalesce(c, f"_{c}").alias(c) for c in cell], "edit", "before_id", "after_id")
 
 
-def crdt_observe(patch: DataFrame, obj: str) -> DataFrame:
-    """Changes of one object only."""
-    return patch.filter(F.col("obj") == obj)
-
-
 _CHUNK = 50_000  # tour ranks whose elements one task counts
 
 

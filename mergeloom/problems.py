@@ -35,16 +35,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many objects lie between entry and exit in the tour of the topmost object."""
-    return hierarchy.tree_of_objects(table(spark, sf_dir, "op_log")).select("doc_id", "object_id", "n_descendants")
-
-
-def p4_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entry and exit in the tour of the topmost object, as ranks from its end, and how many objects lie between.
 
     Descendants of an object are those of the same ``doc_id`` and ``root_id`` with a lower entry and a higher exit.
     """
-    return hierarchy.tree_of_objects(table(spark, sf_dir, "op_log")).select("doc_id", "object_id", "root_id", "entry_rank", "exit_rank", "n_descendants")
+    return hierarchy.tree_of_objects(table(spark, sf_dir, "op_log"), ordered=True).select("doc_id", "object_id", "root_id", "entry_rank", "exit_rank", "n_descendants")
 
 
 def _found5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +54,7 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.report(_found5(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_kept_per_day, p3_found, p4_found, p4_intervals, p4_tour, p5_found, p5_report)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_kept_per_day, p3_found, p4_found, p4_intervals, p5_found, p5_report)}
 
 
 def _bare(c: str) -> str:
@@ -105,10 +100,13 @@ v AS (SELECT * FROM o WHERE key IS NOT NULL AND action NOT IN ('del', 'inc') AND
 SELECT doc_id, obj, key, max_by(concat(ctr, '@', actor), (ctr, actor)) AS op_id FROM v GROUP BY doc_id, obj, key""",
     "p4_found": f"""WITH RECURSIVE {_TREE}
 SELECT n.doc_id, n.id AS object_id, coalesce(t.root, '') AS root_id, coalesce(t.depth, -1) AS tree_depth, coalesce(t.path, '') AS key_path FROM n LEFT JOIN t ON t.doc_id = n.doc_id AND t.id = n.id""",
-    "p4_intervals": f"""WITH RECURSIVE {_TREE},
-c AS (SELECT doc_id, unnest(above) AS id FROM t),
-k AS (SELECT doc_id, id, CAST(count(*) - 1 AS BIGINT) AS below FROM c GROUP BY ALL)
-SELECT n.doc_id, n.id AS object_id, coalesce(k.below, -1) AS n_descendants FROM n LEFT JOIN k ON k.doc_id = n.doc_id AND k.id = n.id""",
+    "p4_intervals": f"""WITH RECURSIVE {_OPS},
+n AS (SELECT doc_id, id, obj, row_number() OVER (PARTITION BY doc_id, obj ORDER BY ctr, actor) AS rk FROM (SELECT DISTINCT doc_id, ctr, actor, concat(ctr, '@', actor) AS id, obj FROM o WHERE action LIKE 'make%')),
+t AS (SELECT doc_id, id, id AS root, CAST(1 AS BIGINT) AS depth, CAST([0] AS BIGINT[]) AS place, [id] AS above FROM n WHERE NOT EXISTS (SELECT 1 FROM n AS p WHERE p.doc_id = n.doc_id AND p.id = n.obj)
+  UNION ALL SELECT n.doc_id, n.id, t.root, t.depth + 1, list_append(t.place, n.rk), list_append(t.above, n.id) FROM t JOIN n ON n.doc_id = t.doc_id AND n.obj = t.id),
+k AS (SELECT doc_id, id, CAST(count(*) - 1 AS BIGINT) AS below FROM (SELECT doc_id, unnest(above) AS id FROM t) GROUP BY ALL),
+p AS (SELECT t.doc_id, t.id, t.root, below, 2 * count(*) OVER (PARTITION BY t.doc_id, t.root) - 2 * (row_number() OVER (PARTITION BY t.doc_id, t.root ORDER BY place) - 1) + depth - 1 AS entry FROM t JOIN k ON k.doc_id = t.doc_id AND k.id = t.id)
+SELECT n.doc_id, n.id AS object_id, coalesce(p.root, '') AS root_id, CAST(p.entry AS BIGINT) AS entry_rank, CAST(p.entry - 2 * p.below - 1 AS BIGINT) AS exit_rank, coalesce(p.below, -1) AS n_descendants FROM n LEFT JOIN p ON p.doc_id = n.doc_id AND p.id = n.id""",
     "p5_found": f"WITH {_FOUND5} SELECT src_table, seen_day, doc_id, src_key, ref_key FROM bad",
     "p5_report": f"""WITH {_FOUND5} SELECT src_table, seen_day, count(*) AS n_refs, count(DISTINCT (doc_id, ref_key)) AS n_missing, count(DISTINCT (doc_id, src_key)) AS n_sources FROM bad GROUP BY ALL""",
 }

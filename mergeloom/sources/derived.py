@@ -6,6 +6,8 @@ compared with start from the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,6 +94,23 @@ def _run(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
     return spark.sql(query.replace("FROM events)", "FROM {events})"), events=events)
 
 
+_derived: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A derived log is written once for each folder of tables and session."""
+
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir, make.__name__)
+        if key not in _derived:
+            _derived[key] = make(spark, sf_dir)
+        return _derived[key]
+
+    get.__doc__ = make.__doc__
+    return get
+
+
+@_once
 def event_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The map log: operations in the form the operators take, with ``value`` and ``change_hash``."""
     op = _run(spark, sf_dir, spark_sql(EVENT_OPS) + " SELECT op.*, sha2(concat_ws('|', actor, CAST(epoch AS STRING)), 256) AS change_hash FROM op")
@@ -104,6 +123,7 @@ def event_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Workspace(spark, "event-ops").put(ops, "ops")  # operators read it more than once
 
 
+@_once
 def event_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The changes of the map log: ``doc_id, hash, actor, epoch, seq, start_op, max_op, n_ops, arrival, deps``."""
     chg = _run(spark, sf_dir, spark_sql(EVENT_OPS, EVENT_CHANGES) + " SELECT * FROM chg")

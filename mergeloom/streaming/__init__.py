@@ -2,7 +2,8 @@
 
 What is stored are tables in a folder: applied changes and their operations, and changes
 that wait for others. A change may come at any time and in any order; none is dropped
-for being late, so no watermark is used. Only cells that a batch touches are computed anew.
+for being late, so no watermark is used. Tables are divided by buckets of documents: a batch
+reads those of its documents only, and only cells that it touches are computed anew.
 """
 
 from __future__ import annotations
@@ -17,6 +18,13 @@ from ..operators import dag, tables, visibility
 
 CHANGES = "doc_id string, hash string, actor string, seq long, deps array<string>"
 OPS = "doc_id string, change_hash string, ctr long, actor string, obj string, key string, elem string, insert boolean, action string, vtype string, i long, s string, pred array<struct<ctr:bigint,actor:string>>"
+#: Floating-point and boolean values, kept if a batch has them.
+STORED_OPS = OPS + ", d double, b boolean"
+BUCKETS = 64
+
+
+def _bucketed(df: DataFrame) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int"))
 
 
 class Store:
@@ -38,19 +46,20 @@ class Store:
         done = [f.getPath().getName() for f in fs.listStatus(path(self.path))]
         return max((int(n[5:]) for n in done if n.startswith("done-")), default=-1)
 
-    def read(self, table: str, schema: str) -> DataFrame:
-        """Rows of a table: all appended parts of it for applied ones, the last part for waiting ones."""
+    def read(self, table: str, schema: str, buckets: list[int] | None = None) -> DataFrame:
+        """Rows of a table, of some buckets if given: all appended parts of it for applied ones, the last part for waiting ones."""
         g = self.generation()
         if g < 0:
             return self.spark.createDataFrame([], schema)
         parts = [f"{self.path}/{table}-{k}" for k in (range(g + 1) if table != "waiting" and table != "waiting_ops" else [g])]
-        return self.spark.read.schema(schema).parquet(*parts)
+        rows = self.spark.read.schema(schema + ", bucket int").parquet(*parts)
+        return (rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))).drop("bucket")
 
-    def applied(self) -> DataFrame:
-        return self.read("applied", CHANGES)
+    def applied(self, buckets: list[int] | None = None) -> DataFrame:
+        return self.read("applied", CHANGES, buckets)
 
-    def ops(self) -> DataFrame:
-        return self.read("ops", OPS)
+    def ops(self, buckets: list[int] | None = None) -> DataFrame:
+        return self.read("ops", STORED_OPS, buckets)
 
     def waiting(self) -> DataFrame:
         return self.read("waiting", CHANGES)
@@ -58,9 +67,11 @@ class Store:
     def apply(self, changes: DataFrame, ops: DataFrame) -> DataFrame:
         """Take in a batch; returns the patch: ``doc_id, obj, cell, edit, before_id, after_id``."""
         g = self.generation() + 1
-        old, old_ops = self.applied(), self.ops()
+        ops = ops.select("*", *[F.lit(None).cast(t).alias(c) for c, t in (("d", "double"), ("b", "boolean")) if c not in ops.columns])
+        mine = [r[0] for r in _bucketed(changes.select("doc_id").unionByName(self.waiting().select("doc_id"))).select("bucket").distinct().collect()]  # at most BUCKETS
+        old, old_ops = self.applied(mine), self.ops(mine)
         new = changes.unionByName(self.waiting()).dropDuplicates(dag.KEY).join(old.select(*dag.KEY), dag.KEY, "left_anti")
-        new_ops = ops.unionByName(self.read("waiting_ops", OPS)).dropDuplicates(["doc_id", "ctr", "actor"])
+        new_ops = ops.unionByName(self.read("waiting_ops", STORED_OPS)).dropDuplicates(["doc_id", "ctr", "actor"])
         known = old.select("doc_id", F.col("hash").alias("dep"))
         # What is stored is closed, so a change is blocked by what the batch lacks alone.
         inner = new.withColumn("dep", F.explode_outer("deps")).join(known, ["doc_id", "dep"], "left_anti")
@@ -70,13 +81,13 @@ class Store:
         ready = new.join(blocked, dag.KEY, "left_anti")
         by = ["doc_id", "change_hash"]
         ready_keys = ready.select("doc_id", F.col("hash").alias("change_hash"))
-        names = {"applied": (ready, CHANGES), "ops": (new_ops.join(ready_keys, by, "left_semi"), OPS), "waiting": (new.join(blocked, dag.KEY, "left_semi"), CHANGES), "waiting_ops": (new_ops.join(blocked.withColumnRenamed("hash", "change_hash"), by, "left_semi"), OPS)}
+        names = {"applied": (ready, CHANGES), "ops": (new_ops.join(ready_keys, by, "left_semi"), STORED_OPS), "waiting": (new.join(blocked, dag.KEY, "left_semi"), CHANGES), "waiting_ops": (new_ops.join(blocked.withColumnRenamed("hash", "change_hash"), by, "left_semi"), STORED_OPS)}
         for name, (df, schema) in names.items():
             cols = [c.split()[0] for c in schema.split(", ")]
-            df.select(*cols).write.mode("overwrite").parquet(f"{self.path}/{name}-{g}")
+            _bucketed(df.select(*cols)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}-{g}")
         fs, path = self._fs()
         fs.create(path(f"{self.path}/done-{g}"), True).close()
-        added = self.spark.read.schema(OPS).parquet(f"{self.path}/ops-{g}")
+        added = self.spark.read.schema(STORED_OPS).parquet(f"{self.path}/ops-{g}")
         touched = visibility.cells(added).select(*visibility.CELL).distinct()
         return tables.crdt_inc_patch(_winners(old_ops, touched), _winners(old_ops.unionByName(added), touched), visibility.CELL)
 

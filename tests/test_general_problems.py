@@ -237,7 +237,7 @@ def test_descendants_are_read_from_the_tour(spark, tmp_path):
     edges = forest(60, 2)
     rows = [(int(v.split("@")[0]), "AA", "makeMap", p and (int(p.split("@")[0]), "aA"), k, None) for v, (p, k) in edges.items()]
     ops(spark, rows).write.parquet(f"{tmp_path}/op_log.parquet")
-    got = {r["object_id"]: r for r in problems.QUERIES["p4_tour"](spark, str(tmp_path)).collect()}
+    got = {r["object_id"]: r for r in problems.QUERIES["p4_intervals"](spark, str(tmp_path)).collect()}
     placed = {v: r for v, r in got.items() if r["root_id"]}
     assert set(got) == set(edges) and len(placed) > 20
     for v, r in placed.items():

@@ -65,6 +65,21 @@ def test_any_arrival_order_gives_one_state(spark, tmp_path):
     assert store.apply(*frames(spark, rows[:2])).collect() == [] and store.ops().count() == 8
 
 
+def test_a_batch_reads_the_buckets_of_its_documents(spark, tmp_path):
+    from mergeloom import streaming
+
+    rows = history(4, 4)
+    store = Store(spark, f"file://{tmp_path}/s")
+    for doc in ("d", "e", "f"):
+        store.apply(*frames(spark, [(doc, *r[1:]) for r in rows])).collect()
+    c, o = frames(spark, [("d", f"{9:064x}", "a9", 1, 9, "x", [rows[-1][1]], [])])
+    patch = store.apply(c, o.withColumn("d", F.lit(2.5)).withColumn("vtype", F.lit("float64"))).collect()
+    assert {r["doc_id"] for r in patch} == {"d"} and store.ops().filter("d = 2.5").count() == 1
+    bucket = streaming._bucketed(c).first()["bucket"]
+    assert store.applied().count() == 13 and {r["doc_id"] for r in store.applied([bucket]).collect()} >= {"d"}
+    assert len(store.applied([bucket]).inputFiles()) <= len(store.applied().inputFiles())
+
+
 def test_stream(spark, tmp_path):
     rows = history(5, 2)
     c, o = frames(spark, rows)
