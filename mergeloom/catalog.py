@@ -127,7 +127,7 @@ def _(s, d):
 
 @query("srt_opid", f"{E} SELECT key, ctr, actor, row_number() OVER (PARTITION BY key ORDER BY ctr, actor) AS place FROM op")
 def _(s, d):
-    return event_ops(s, d).select("key", "ctr", "actor", F.row_number().over(Window.partitionBy("key").orderBy(F.struct("ctr", "actor"))).cast("long").alias("place"))
+    return sequences.by_id(event_ops(s, d), ["key"]).select("key", "ctr", "actor", "place")
 
 
 @query("lim_history", f"{EC}, past AS (SELECT op.* FROM op JOIN chg ON chg.actor = op.actor AND chg.epoch = op.epoch WHERE chg.arrival <= 100), vis AS (SELECT * FROM past o WHERE action <> 'del' AND NOT EXISTS (SELECT 1 FROM pred p JOIN past q ON q.ctr = p.ctr AND q.actor = p.actor WHERE p.pctr = o.ctr AND p.pactor = o.actor)) SELECT key, max_by(ctr || '@' || actor, (ctr, actor)) AS op_id, count(*) AS n_values FROM vis GROUP BY key")
@@ -171,6 +171,13 @@ def _(s, d):
     return tables.crdt_inc_patch(_at(s, d, 9), _at(s, d, 14), ["key"])
 
 
+@query("crdt_apply_patch", f"{E}, {_state_sql(14)} SELECT key, op_id FROM st14")
+def _(s, d):
+    """A patch applied to the state before it."""
+    before, after = _at(s, d, 9), _at(s, d, 14)
+    return tables.crdt_apply_patch(before, tables.crdt_inc_patch(before, after, ["key"]), ["key"])
+
+
 @query("flt_dup_change", f"{EC} SELECT hash FROM chg WHERE arrival > 50")
 def _(s, d):
     c = event_changes(s, d)
@@ -237,11 +244,6 @@ def _(s, d):
     return encodings.enc_multi_op(event_changes(s, d), "start_op", "n_ops").select("actor", "ctr")
 
 
-@query("agg_count_ops", f"{E} SELECT actor, count(*) AS n_ops FROM op GROUP BY actor")
-def _(s, d):
-    return event_changes(s, d).groupBy("actor").agg(F.sum("n_ops").alias("n_ops"))
-
-
 @query("src_last_local", f"{EC} SELECT actor, max_by(hash, seq) AS hash FROM chg GROUP BY actor")
 def _(s, d):
     return event_changes(s, d).groupBy("actor").agg(F.max_by("hash", "seq").alias("hash"))
@@ -511,6 +513,16 @@ def _(s, d):
     return visibility.unmatched_preds(_log(s, d)).select("doc_id", "ctr", "actor", "pctr", "pactor")
 
 
+@query("agg_count_ops", f"WITH {_LOG} SELECT doc_id, count(*) AS n_ops FROM u GROUP BY doc_id")
+def _(s, d):
+    """Operations of a document, counted by the widths of those that insert or delete several at once."""
+    ops = _log(s, d)
+    many = F.expr("coalesce(action = 'set' and insert or action = 'del' and key is null and elem is not null, false)")
+    wide = sequences.win_multi_ins(ops).unionByName(sequences.win_multi_del(ops)).select("doc_id", "n")
+    single = ops.filter(~many).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return wide.unionByName(single).groupBy("doc_id").agg(F.sum("n").alias("n_ops"))
+
+
 @query("join_counter_inc", f"WITH {_LOG} SELECT doc_id, pctr, pactor, ctr, actor, i FROM pr WHERE action = 'inc' AND counter")
 def _(s, d):
     ops = _log(s, d)
@@ -898,6 +910,12 @@ def _(s, d):
     return _list_patch(s, d).filter("edit <> 'keep'").select("doc_id", "obj", "elem", "idx", "edit", "before_id", "after_id")
 
 
+@query("crdt_apply_list_patch", f"WITH RECURSIVE {_SEQ} SELECT doc_id, obj, elem, idx, ctr || '@' || actor AS op_id FROM st")
+def _(s, d):
+    """List patches applied: the lists of the later state."""
+    return tables.apply_list_patch(_list_patch(s, d))
+
+
 @query("crdt_multi_insert", f"WITH RECURSIVE {_SEQ}, {_LISTS}, a AS (SELECT *, CAST(split_part(elem, '@', 1) AS BIGINT) AS c, split_part(elem, '@', 2) AS k, action = 'set' AND after_id = elem AS plain FROM pt WHERE edit = 'insert'), b AS (SELECT *, CASE WHEN lag(idx) OVER w = idx - 1 AND lag(k) OVER w = k AND lag(c) OVER w = c - 1 AND lag(vtype) OVER w IS NOT DISTINCT FROM vtype AND plain AND lag(plain) OVER w THEN 0 ELSE 1 END AS new FROM a WINDOW w AS (PARTITION BY doc_id, obj ORDER BY idx)), r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, obj ORDER BY idx) AS run FROM b) SELECT doc_id, obj, CAST(min(idx) AS BIGINT) AS idx, min_by(elem, idx) AS elem, count(*) AS n FROM r GROUP BY doc_id, obj, run")
 def _(s, d):
     """Insertions that one edit of several values can say."""
@@ -962,6 +980,13 @@ def _(s, d):
     return p.select("ctr", "actor", F.col("p.ctr").alias("pctr"), F.col("p.actor").alias("pactor"))
 
 
+@query("src_chunks_lateral", f"{EC} SELECT count(*) AS n, CAST(1 AS INTEGER) AS kind FROM chg")
+def _(s, d):
+    """Containers found by the table function, from SQL."""
+    binary.register(s)
+    return s.sql("SELECT count(*) AS n, c.kind FROM {files} f, LATERAL containers(f.data) c GROUP BY c.kind", files=_binary(s, d))
+
+
 @query("src_chunks", f"{EC} SELECT actor AS doc_id, CAST(1 AS INTEGER) AS kind, count(*) AS n FROM chg GROUP BY actor")
 def _(s, d):
     """All changes of an actor in one file, split again."""

@@ -6,18 +6,19 @@ Sessions run over small fixed tables (regions and nations), which the driver rea
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import _LOG, E, Query, _log
 from .functions import bits, ids
 from .functions import values as V
 from .functions.keys import opid
-from .operators import tables, visibility
+from .operators import reconcile, sequences, tables, visibility
 from .plans.session import Document
 from .problems import table
 from .sources import codec
 from .sources.derived import event_ops
+from .storage import Workspace
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -82,14 +83,30 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", F.octet_length(t).cast("long").alias("n_bytes"), same(t).alias("same"))
 
 
-@query("win_block_split", f"WITH {_LOG}, k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ctr, actor) - 1 AS rn, count(*) OVER (PARTITION BY doc_id) AS n FROM u WHERE action <> 'del'), b AS (SELECT doc_id, n, CAST(floor(rn * ceil(n / 480) / n) AS BIGINT) AS block FROM k) SELECT doc_id, block, count(*) AS n_ops FROM b GROUP BY ALL")
+_BLOCKS = f"{_LOG}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ctr, actor) - 1 AS rn, count(*) OVER (PARTITION BY doc_id) AS n FROM u WHERE action <> 'del'), b AS (SELECT *, CAST(floor(rn * ceil(n / 480) / n) AS BIGINT) AS block FROM k)"
+
+
+@query("win_block_split", f"WITH {_BLOCKS} SELECT doc_id, ctr, actor, block FROM b")
 def _(s, d):
     """Near-equal blocks of at most 480 operations."""
-    ops = visibility.flt_not_del(_log(s, d))
-    w = Window.partitionBy("doc_id")
-    n, rn = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy("ctr", "actor")) - 1
-    cut = ops.select("doc_id", n.alias("n"), rn.alias("rn")).withColumn("block", F.floor(F.col("rn") * F.ceil(F.col("n") / 480) / F.col("n")))
-    return cut.groupBy("doc_id", "block").agg(F.count(F.lit(1)).alias("n_ops"))
+    return sequences.win_block_split(visibility.flt_not_del(_log(s, d))).select("doc_id", "ctr", "actor", "block")
+
+
+@query("agg_block_meta", f"WITH {_BLOCKS} SELECT doc_id, block, count(*) AS n_ops, min(ctr) AS first_ctr, max(ctr) AS last_ctr, count(DISTINCT actor) AS n_actors, count(*) FILTER (ins) AS n_inserts FROM b GROUP BY ALL")
+def _(s, d):
+    return sequences.agg_block_meta(sequences.win_block_split(visibility.flt_not_del(_log(s, d))))
+
+
+@query("syn_block_bloom", f"WITH {_BLOCKS}, e AS (SELECT DISTINCT doc_id, block, cell FROM b WHERE key IS NULL) SELECT doc_id, block, count(*) AS n_entries, CAST(ceil(count(*) * 10 / 8) * 8 AS BIGINT) AS size, TRUE AS all_found FROM e GROUP BY ALL")
+def _(s, d):
+    """A filter for each block over the elements that its operations are about; each contains all of them."""
+    blocks = visibility.cells(sequences.win_block_split(visibility.flt_not_del(_log(s, d)))).filter("key is null")
+    by = ["doc_id", "block"]
+    hashes = Workspace(s, "block-bloom").put(blocks.select(*by, F.sha2("cell", 256).alias("hash")).distinct(), "hashes")
+    bits = Workspace(s, "block-bits").put(reconcile.bloom_bits(hashes, by), "bits")
+    found = reconcile.syn_bloom_probe(hashes, bits, by).groupBy(*by).agg(F.count(F.lit(1)).alias("n_found"))
+    entries = hashes.groupBy(*by).agg(F.count(F.lit(1)).alias("n_entries"))
+    return entries.join(bits.select(*by, "size").distinct(), by).join(found, by, "left").select(*by, "n_entries", "size", (F.col("n_found") == F.col("n_entries")).alias("all_found"))
 
 
 # --- scalar functions ---------------------------------------------------------------------

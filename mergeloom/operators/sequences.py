@@ -15,7 +15,7 @@ from ..functions.keys import opid
 from ..functions.values import parse_opid
 from ..storage import Workspace
 from .hierarchy import BLOCK_NODES, tours
-from .prefix import numbered, running_total, runs
+from .prefix import chunk, numbered, running_total, runs
 from .visibility import visible
 
 LIST = ["doc_id", "obj"]
@@ -109,3 +109,25 @@ def win_multi_ins(ops: DataFrame) -> DataFrame:
 def places(order: DataFrame) -> DataFrame:
     """``place`` from 1 of every element of ``crdt_list_order``."""
     return numbered(order.withColumn("_at", -F.col("entry_rank")), LIST, "_at", "place").drop("_at")
+
+
+def by_id(ops: DataFrame, by: list[str]) -> DataFrame:
+    """``place`` from 1 of every operation within ``by``, in the order of ids; a key of any size is split by counters."""
+    return running_total(ops.withColumn("_one", F.lit(1).cast("long")), by, "_one", chunk("ctr"), [F.col("ctr"), F.col("actor")], "place").drop("_one")
+
+
+BLOCK_OPS = 480  # of a stored document at most in a block
+
+
+def win_block_split(ops: DataFrame, most: int = BLOCK_OPS) -> DataFrame:
+    """``block`` of every operation: a document's operations in the order of their ids, in as few blocks of nearly equal size as none has more than ``most``."""
+    sizes = ops.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    placed = by_id(ops, ["doc_id"]).join(sizes, "doc_id")
+    return placed.withColumn("block", F.floor((F.col("place") - 1) * F.ceil(F.col("_n") / most) / F.col("_n"))).drop("_n", "place")
+
+
+def agg_block_meta(blocks: DataFrame) -> DataFrame:
+    """What is kept of a block so that it need not be read: ``doc_id, block, n_ops, first_ctr, last_ctr, n_actors, n_inserts``."""
+    return blocks.groupBy("doc_id", "block").agg(
+        F.count(F.lit(1)).alias("n_ops"), F.min("ctr").alias("first_ctr"), F.max("ctr").alias("last_ctr"), F.countDistinct("actor").alias("n_actors"), F.count_if("insert").alias("n_inserts")
+    )

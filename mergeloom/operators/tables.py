@@ -101,6 +101,14 @@ def crdt_inc_patch(before: DataFrame, after: DataFrame, cell: list[str]) -> Data
     return both.select(*[F.coalesce(c, f"_{c}").alias(c) for c in cell], "edit", "before_id", "after_id")
 
 
+def crdt_apply_patch(before: DataFrame, patch: DataFrame, cell: list[str]) -> DataFrame:
+    """The state after a ``crdt_inc_patch``: ``*cell, op_id``. What the patch does not name stays."""
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cell]
+    touched = patch.select(*[F.col(c).alias(f"_{c}") for c in cell])
+    kept = before.select(*cell, "op_id").join(touched, on, "left_anti")
+    return kept.unionByName(patch.filter("edit <> 'remove'").select(*cell, F.col("after_id").alias("op_id")))
+
+
 _CHUNK = 50_000  # tour ranks whose elements one task counts
 
 
@@ -139,3 +147,8 @@ def multi_inserts(patch: DataFrame) -> DataFrame:
     same = lambda b: (b["idx"] == F.col("idx") - 1) & b["vtype"].eqNullSafe(F.col("vtype")) & b["plain"] & F.col("plain")
     found = runs(new.withColumn("line", F.col("idx") - F.col("c")), by, ["idx", "vtype", "plain"], same, "idx")
     return found.groupBy(*LIST, "by", "line", "run").agg(F.min("idx").alias("idx"), F.min_by("elem", "idx").alias("elem"), F.count(F.lit(1)).alias("n")).select(*LIST, "idx", "elem", "n")
+
+
+def apply_list_patch(patch: DataFrame) -> DataFrame:
+    """The lists after a ``list_patch``, which names what is kept too: ``doc_id, obj, elem, idx, op_id``."""
+    return patch.filter("edit <> 'remove'").select(*LIST, "elem", "idx", F.col("after_id").alias("op_id"))

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import codec
@@ -37,6 +37,25 @@ def src_chunks(files: DataFrame) -> DataFrame:
     return files.select("doc_id", "data").mapInPandas(run, "doc_id string, kind int, hash string, n_bytes long")
 
 
+class Containers:
+    """The same as a table function: one row per container in the bytes it is given."""
+
+    def eval(self, data: bytes):
+        for kind, body, hash_ in codec.containers(bytes(data)) if data is not None else ():
+            yield kind, hash_, len(body)
+
+
+def register(spark: SparkSession) -> None:
+    """Make ``containers(data)`` known in SQL, for use with ``LATERAL``: ``kind, hash, n_bytes``."""
+    spark.udtf.register("containers", F.udtf(Containers, returnType="kind int, hash string, n_bytes bigint"))
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files of changes or documents as they lie in folders: ``doc_id`` (the file's name) and ``data``."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("doc_id"), F.col("content").alias("data"))
+
+
 def src_change_meta(files: DataFrame) -> DataFrame:
     """Headers of all changes in ``data``. Of changes the operations are not decoded; in documents only they tell what the changes depend on."""
 
