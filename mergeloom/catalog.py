@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import values as V
 from .functions.keys import clean_hash, opid
-from .operators import dag, documents, encodings, hierarchy, reconcile, sequences, tables, visibility
+from .operators import dag, documents, edits, encodings, hierarchy, reconcile, sequences, tables, visibility
 from .problems import _DROP, _bare, _hash, table
 from .sources import binary
 from .sources.derived import EVENT_CHANGES, EVENT_OPS, duck_sql, event_changes, event_ops, logged_changes, logged_ops, table_ops
@@ -680,6 +680,42 @@ def _(s, d):
     return _told(tables.table_cells(tables.winners(_log(s, d)))).drop("action")
 
 
+_EDITED = f"""{_LOG}, {_TOP}, pd AS (SELECT doc_id, obj, cell, string_agg(id, ',' ORDER BY ctr, actor) AS pred, bool_or(action = 'set' AND vtype = 'counter') AS counted FROM v WHERE key IS NOT NULL GROUP BY ALL),
+mx AS (SELECT doc_id, max(m) AS m FROM (SELECT doc_id, ctr AS m FROM u UNION ALL SELECT doc_id, pctr FROM ed) GROUP BY doc_id),
+ed1 AS (SELECT top.doc_id, CAST(split_part(w.id, '@', 1) AS BIGINT) AS pos, obj, cell AS key, CASE w.vtype WHEN 'counter' THEN 'inc' WHEN 'null' THEN 'del' ELSE 'set' END AS action, CASE WHEN w.vtype = 'counter' THEN 2 END AS i,
+  CASE WHEN w.vtype = 'str' THEN CASE WHEN length(w.s) % 2 = 0 THEN w.s ELSE w.s || '!' END END AS s, w.s AS now, n_values, pred, counted FROM top JOIN pd USING (doc_id, obj, cell) WHERE w.action = 'set' AND w.vtype IN ('counter', 'null', 'str')),
+ed2 AS (SELECT * FROM ed1 WHERE CASE action WHEN 'set' THEN NOT counted AND NOT (n_values = 1 AND s = now) ELSE TRUE END)"""
+
+
+def _edits(s, d) -> tuple[DataFrame, DataFrame]:
+    """The log, and for every key whose value is a counter, null or text: count on by 2, delete, or add a sign if the length is odd."""
+    ops = _log(s, d)
+    top = tables.winners(ops.filter("key is not null")).filter("action = 'set' and vtype in ('counter', 'null', 'str')")
+    action = F.when(F.col("vtype") == "counter", "inc").when(F.col("vtype") == "null", "del").otherwise("set")
+    text = F.when(F.col("vtype") == "str", F.when(F.length("s") % 2 == 0, F.col("s")).otherwise(F.concat("s", F.lit("!"))))
+    made = top.select(
+        "doc_id", F.col("ctr").alias("at"), "obj", F.col("cell").alias("key"), action.alias("action"), F.when(F.col("vtype") == "str", "str").alias("vtype"), F.when(F.col("vtype") == "counter", 2).cast("long").alias("i"),
+        F.lit(None).cast("double").alias("d"), text.alias("s"), F.lit(None).cast("boolean").alias("b"),
+    )
+    return ops, Workspace(s, "edits").put(made, "edits")
+
+
+@query("mut_many", f"WITH {_EDITED} SELECT ed2.doc_id, m + row_number() OVER (PARTITION BY ed2.doc_id ORDER BY pos, obj, key) AS ctr, obj, key, action, s, CAST(i AS BIGINT) AS i, pred FROM ed2 JOIN mx USING (doc_id)")
+def _(s, d):
+    """Operations that edit many keys of all documents at once."""
+    return edits.edit_maps(*_edits(s, d), "ffff").select("doc_id", "ctr", "obj", "key", "action", "s", "i", _ids("pred").alias("pred"))
+
+
+@query("mut_many_seen", f"WITH {_EDITED} SELECT doc_id, obj, key, s, CASE WHEN action = 'inc' THEN CAST((SELECT max_by(value_i, (ctr, actor)) FROM v WHERE v.doc_id = ed2.doc_id AND v.obj = ed2.obj AND v.cell = ed2.key AND vtype = 'counter') + 2 AS BIGINT) END AS value_i FROM ed2 WHERE action <> 'del' AND strpos(pred, ',') = 0")
+def _(s, d):
+    """What the edited keys show afterwards, of those that had one value before."""
+    ops, made = _edits(s, d)
+    new = Workspace(s, "edited").put(edits.edit_maps(ops, made, "ffff"), "ops")
+    after = tables.winners(ops.select(new.columns).unionByName(new))
+    single = new.filter("size(pred) = 1").select("doc_id", "obj", F.col("key").alias("cell"))
+    return after.join(single, ["doc_id", "obj", "cell"], "left_semi").select("doc_id", "obj", F.col("cell").alias("key"), F.when(F.col("vtype") == "str", F.col("s")).alias("s"), F.when(F.col("vtype") == "counter", F.col("value_i")).alias("value_i"))
+
+
 @query("agg_table_rows", f"""WITH {_LOG}, {_TOP}, tb AS (SELECT doc_id, w.id AS id FROM top WHERE w.action = 'makeTable')
 SELECT top.doc_id, top.obj AS table_id, count(*) AS n_rows FROM top JOIN tb ON tb.doc_id = top.doc_id AND tb.id = top.obj WHERE top.w.action = 'makeMap' AND EXISTS (SELECT 1 FROM top c WHERE c.doc_id = top.doc_id AND c.obj = top.w.id) GROUP BY ALL""")
 def _(s, d):

@@ -358,3 +358,51 @@ def test_rows_of_hot_keys_are_looked_up(spark):
     got = prefix.looked_up(rows, per, ["k"], 3000, "n_of")
     assert got.count() == 3000 and got.filter("k = 'hot'").select("least").distinct().collect()[0][0] == 1
     assert got.filter("k <> 'hot' and least <> n").count() == 0
+
+
+def test_edits_of_many_documents_are_those_of_sessions(spark):
+    from mergeloom.operators import edits
+    from mergeloom.plans.session import Document
+
+    rnd = random.Random(23)
+    kinds = ["set", "del", "inc"]
+    docs, wanted, rows = {}, {}, []
+    for k in range(12):
+        a, b = Document("aa"), Document("bb")
+        with a.change(seconds=0) as root:
+            root["n"], root["s"], root["c"], root["gone"] = k, "x", a.counter(k), 1
+        b.merge(a)
+        for doc, v in ((a, 1), (b, 2)):
+            with doc.change(seconds=0) as root:
+                root["n"] = v + rnd.randint(0, 1)
+                root["c"].increment(v)
+                if k % 3 == 0:
+                    root["both"] = doc.counter(v)
+        a.merge(b)
+        docs[str(k)] = a
+        edited = Document("cc").merge(a)
+        with edited.change(seconds=0) as root:
+            for at, key in enumerate(["n", "s", "c", "gone", "new", "nothing"]):
+                action = {"c": "inc", "gone": "del", "nothing": "del", "new": "set"}.get(key) or rnd.choice(["set", "del"])
+                value = rnd.choice(["x", "y"]) if key == "s" else 7
+                field = ("s", "str") if isinstance(value, str) else ("i", "int")
+                rows.append((str(k), at, "_root", key, action, field[1] if action == "set" else None, value if field[0] == "i" and action != "del" else None, None, value if field[0] == "s" and action == "set" else None, None))
+                if action == "inc":
+                    root[key].increment(value)
+                elif action == "set":
+                    root[key] = value
+                elif key in root.keys():
+                    del root[key]
+        rows.append((str(k), 51, "_root", "missing", "inc", None, 1, None, None, None))
+        wanted[str(k)] = [(op["id"].split("@")[0], op["key"], op["action"], op.get("value"), op["pred"]) for op in list(edited.changes.values())[-1]["ops"]]
+    assert set(kinds) == {r[4] for r in rows}
+    ops = _session_ops(spark, docs["0"]).limit(0)
+    for k, doc in docs.items():
+        ops = ops.unionByName(_session_ops(spark, doc).withColumn("doc_id", F.lit(k)))
+    made = spark.createDataFrame(rows, "doc_id string, at long, obj string, key string, action string, vtype string, i long, d double, s string, b boolean")
+    got = {}
+    for r in edits.edit_maps(ops, made, "cc").orderBy("doc_id", "ctr").collect():
+        value = r["s"] if r["s"] is not None else r["i"]
+        got.setdefault(r["doc_id"], []).append((str(r["ctr"]), r["key"], r["action"], None if r["action"] == "del" else value, [f"{p['ctr']}@{p['actor']}" for p in r["pred"]]))
+    assert got == wanted
+    assert edits.refused(ops, made).count() == 12 and edits.edit_maps(ops, made.limit(0), "cc").count() == 0
