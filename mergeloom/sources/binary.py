@@ -51,7 +51,7 @@ def register(spark: SparkSession) -> None:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files of changes or documents as they lie in folders: ``doc_id`` (the file's name) and ``data``."""
+    """Files of changes or documents as they lie in folders: ``doc_id`` (the file's name) and ``data``. Spark leaves out empty files, which hold nothing."""
     files = spark.read.format("binaryFile").load(path)
     return files.select(F.element_at(F.split("path", "/"), -1).alias("doc_id"), F.col("content").alias("data"))
 
