@@ -46,14 +46,14 @@ class Store:
         done = [f.getPath().getName() for f in fs.listStatus(path(self.path))]
         return max((int(n[5:]) for n in done if n.startswith("done-")), default=-1)
 
-    def read(self, table: str, schema: str, buckets: list[int] | None = None) -> DataFrame:
-        """Rows of a table, of some buckets if given: all appended parts of it for applied ones, the last part for waiting ones."""
+    def read(self, table: str, schema: str, buckets: list[int] | None = None, only: int | None = None) -> DataFrame:
+        """Rows of a table, of some buckets if given: of all complete generations, or of ``only`` one. Folders that are not asked for are not read."""
         g = self.generation()
-        if g < 0:
+        if g < 0 and only is None:
             return self.spark.createDataFrame([], schema)
-        parts = [f"{self.path}/{table}-{k}" for k in (range(g + 1) if table != "waiting" and table != "waiting_ops" else [g])]
-        rows = self.spark.read.schema(schema + ", bucket int").parquet(*parts)
-        return (rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))).drop("bucket")
+        rows = self.spark.read.schema(schema + ", gen int, bucket int").parquet(f"{self.path}/{table}")
+        rows = rows.filter(F.col("gen") <= g) if only is None else rows.filter(F.col("gen") == only)
+        return (rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))).drop("gen", "bucket")
 
     def applied(self, buckets: list[int] | None = None) -> DataFrame:
         return self.read("applied", CHANGES, buckets)
@@ -62,7 +62,12 @@ class Store:
         return self.read("ops", STORED_OPS, buckets)
 
     def waiting(self) -> DataFrame:
-        return self.read("waiting", CHANGES)
+        """Changes that wait, as the last generation has them."""
+        return self._last("waiting", CHANGES)
+
+    def _last(self, table: str, schema: str) -> DataFrame:
+        g = self.generation()
+        return self.read(table, schema, only=g if g >= 0 else None)
 
     def apply(self, changes: DataFrame, ops: DataFrame) -> DataFrame:
         """Take in a batch; returns the patch: ``doc_id, obj, cell, edit, before_id, after_id``."""
@@ -71,7 +76,7 @@ class Store:
         mine = [r[0] for r in _bucketed(changes.select("doc_id").unionByName(self.waiting().select("doc_id"))).select("bucket").distinct().collect()]  # at most BUCKETS
         old, old_ops = self.applied(mine), self.ops(mine)
         new = changes.unionByName(self.waiting()).dropDuplicates(dag.KEY).join(old.select(*dag.KEY), dag.KEY, "left_anti")
-        new_ops = ops.unionByName(self.read("waiting_ops", STORED_OPS)).dropDuplicates(["doc_id", "ctr", "actor"])
+        new_ops = ops.unionByName(self._last("waiting_ops", STORED_OPS)).dropDuplicates(["doc_id", "ctr", "actor"])
         known = old.select("doc_id", F.col("hash").alias("dep"))
         # What is stored is closed, so a change is blocked by what the batch lacks alone.
         inner = new.withColumn("dep", F.explode_outer("deps")).join(known, ["doc_id", "dep"], "left_anti")
@@ -84,10 +89,10 @@ class Store:
         names = {"applied": (ready, CHANGES), "ops": (new_ops.join(ready_keys, by, "left_semi"), STORED_OPS), "waiting": (new.join(blocked, dag.KEY, "left_semi"), CHANGES), "waiting_ops": (new_ops.join(blocked.withColumnRenamed("hash", "change_hash"), by, "left_semi"), STORED_OPS)}
         for name, (df, schema) in names.items():
             cols = [c.split()[0] for c in schema.split(", ")]
-            _bucketed(df.select(*cols)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}-{g}")
+            _bucketed(df.select(*cols)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}/gen={g}")
         fs, path = self._fs()
         fs.create(path(f"{self.path}/done-{g}"), True).close()
-        added = self.spark.read.schema(STORED_OPS).parquet(f"{self.path}/ops-{g}")
+        added = self.read("ops", STORED_OPS, mine, only=g)
         touched = visibility.cells(added).select(*visibility.CELL).distinct()
         return tables.crdt_inc_patch(_winners(old_ops, touched), _winners(old_ops.unionByName(added), touched), visibility.CELL)
 
