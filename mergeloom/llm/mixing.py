@@ -72,15 +72,19 @@ def shares(mixture: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def broken(mixture: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source that has documents: how many of them were used more often than allowed, whether its share is off by more than a hundredth, and whether it came in with other than its own documents."""
+    """Per source that has documents: how many of them were used more often than allowed, whether its share is off, and how many of its rows are other than its own documents.
+
+    A source is at its share of the budget but for less than its longest document, and so is the total but for the sum of these; a share is off if its tokens differ by more than both allow.
+    """
     per_doc = mixture.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("times"), F.sum("n_tokens").alias("t"))
     has = sizes.select("doc_id", source_name(F.col("source")).alias("source"), "n_tokens").filter("n_tokens > 0")
     real = has.join(targets_of(targets), "source")
-    there = real.groupBy("source", "target_share", "max_repeats").agg(F.count(F.lit(1)).alias("n_docs"))
+    there = real.groupBy("source", "target_share", "max_repeats").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_tokens").alias("longest"))
     strange = per_doc.join(real.select("source", "doc_id"), ["source", "doc_id"], "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("strange"))
     limits = targets_of(targets).select("source", "max_repeats")
     used = per_doc.join(F.broadcast(limits), "source").groupBy("source").agg(F.count_if(F.expr("times > max_repeats")).alias("over_used"), F.sum("t").alias("t"))
     out = there.join(used, "source", "left").join(strange, "source", "left")
     every = Window.partitionBy(F.lit(1))  # as many rows as targets
-    off = F.abs(F.coalesce("t", F.lit(0)) / F.sum("t").over(every) - F.col("target_share") / F.sum("target_share").over(every)) > 0.01
+    weight = F.col("target_share") / F.sum("target_share").over(every)
+    off = F.abs(F.coalesce("t", F.lit(0)) - weight * F.sum("t").over(every)) > F.col("longest") + weight * F.sum("longest").over(every)
     return out.select("source", "n_docs", F.coalesce("over_used", F.lit(0)).alias("over_used"), F.coalesce("strange", F.lit(0)).alias("strange"), off.alias("share_off"))

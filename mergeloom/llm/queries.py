@@ -66,7 +66,7 @@ def p6_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is wrong with the mixture, which is nothing where documents are many; of few, the last one moves a share."""
+    """What is wrong with the mixture, which is nothing."""
     sizes, targets = _sizes(spark, sf_dir, ["doc_id", "source"]), _table(spark, sf_dir, "mix_target")
     mixture = Workspace(spark, "mixture").put(mixing.mix(sizes, targets), "mixture")
     return mixing.broken(mixture, sizes, targets)

@@ -223,6 +223,18 @@ def test_mixing_reaches_shares_and_caps_repeats(spark, monkeypatch):
     assert half["big"] / sum(half.values()) == pytest.approx(2 / 3, abs=0.05)
 
 
+def test_what_is_broken_in_a_mixture_is_found(spark):
+    docs = spark.createDataFrame([(i, "a" if i % 3 else "b", 10) for i in range(300)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    m = mixing.mix(docs, targets)
+    assert sorted(map(tuple, mixing.broken(m, docs, targets).collect())) == [("a", 200, 0, 0, False), ("b", 100, 0, 0, False)]
+    one = m.filter("doc_id = 1")
+    wrong = m.filter("source = 'a' or place % 3 > 0").unionByName(one).unionByName(one).unionByName(one).unionByName(m.limit(1).withColumn("doc_id", F.lit(999).cast("long")))
+    found = {r["source"]: r for r in mixing.broken(wrong, docs, targets).collect()}
+    assert found["a"]["over_used"] == 1 and found["b"]["over_used"] == 0
+    assert found["a"]["strange"] + found["b"]["strange"] == 1 and found["b"]["share_off"]
+
+
 def test_order_of_a_mixture_does_not_depend_on_buckets(spark, monkeypatch):
     rnd = random.Random(18)
     docs = [(i, rnd.choice(["a", "b"]), rnd.randint(1, 40)) for i in range(500)]
