@@ -285,3 +285,131 @@ def test_bytes_and_unknown_types_keep_their_bytes(spark):
     assert {r["key"]: bytes(r["raw"]) for r in binary.src_ops(saved).collect()} == {"b": b"\x00\xff", "u": b"zz"}
     h = binary.src_doc_header(saved)
     assert h.first()["actors"] == ["aa"] and binary.snk_doc_header(h).first()["header"] == h.first()["header"]
+
+
+def _random_document(seed):
+    """Changes by three actors: keys, nested lists, deletions, counters, values of all types, and bytes nobody knows."""
+    rnd = random.Random(seed)
+    out, top, elems, shown, heads = [], {}, [], {}, []
+    n, made = 0, None
+    for k in range(60):
+        me, ops, start = rnd.choice(["aa", "bb", "cc"]), [], n + 1
+        for _ in range(rnd.randint(0, 9)):
+            n += 1
+            what = rnd.random()
+            if made is None or what < 0.02:
+                ops.append({"action": rnd.choice(["makeList", "makeText"]), "obj": "_root", "key": f"l{k}", "pred": []})
+                made, elems = f"{n}@{me}", ["_head"]
+            elif what < 0.4:
+                ops.append({"action": "set", "obj": made, "elemId": rnd.choice(elems), "insert": True, "value": rnd.choice(["x", "é", 1.5, 7, True]), "pred": []})
+                elems.append(f"{n}@{me}")
+            elif what < 0.5 and len(elems) > 1:
+                e = rnd.choice(elems[1:])
+                gone = shown.pop((made, e), [e])
+                action = rnd.choice(["set", "del"]) if gone else "set"
+                shown[made, e] = [f"{n}@{me}"] if action == "set" else []
+                ops.append({"action": action, "obj": made, "elemId": e, "pred": gone} | ({"value": n} if action == "set" else {}))
+            else:
+                key = rnd.choice(["k", "ключ", "z", "zz"])
+                gone = shown.get(key, [])
+                action = "del" if gone and what > 0.9 else "set"
+                shown[key] = [f"{n}@{me}"] if action == "set" else []
+                value = rnd.choice([{"value": None}, {"value": False}, {"value": 2.25}, {"value": float("inf")}, {"value": "s" * rnd.randint(0, 300)}, {"value": 3, "datatype": "counter"}, {"value": b"\x00\x01", "datatype": "12"}, {"value": b"by"}, {"value": 1 << 50, "datatype": "uint"}, {"value": -5, "datatype": "timestamp"}])
+                ops.append({"action": action, "obj": "_root", "key": key, "pred": gone} | (value if action == "set" else {}))
+        change = {"actor": me, "seq": top.get(me, 0) + 1, "startOp": start, "time": k - 9, "message": rnd.choice([None, "m"]), "deps": heads, "ops": ops} | ({"extraBytes": b"more"} if k % 17 == 3 else {})
+        data, h = codec.encode_change(change)
+        top[me] = change["seq"]
+        heads = sorted([h, *heads[:1]]) if k % 5 == 2 else [h]
+        out.append(data)
+    return out
+
+
+def test_documents_are_the_same_bytes_in_pieces(spark, monkeypatch):
+    """The bytes of a document, and what is read of it, do not hang on pieces: as from all changes and operations at once."""
+    docs = {f"d{k}": _random_document(k) for k in range(4)}
+    files = spark.createDataFrame([(d, x) for d, own in docs.items() for x in own[::-1]], "doc_id string, data binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        saved = {r["doc_id"]: bytes(r["data"]) for r in binary.snk_save(files).collect()}
+        assert saved == {d: _in_memory(own) for d, own in docs.items()}
+        whole = spark.createDataFrame([*saved.items(), ("both", saved["d1"] + docs["d0"][0] + saved["d1"])], "doc_id string, data binary")
+        got = sorted(map(repr, binary.src_ops(whole).collect()))
+        meta = sorted(map(repr, binary.src_change_meta(whole).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(map(repr, binary.src_ops(_as_changes(spark, whole)).collect()))
+    assert meta == sorted(map(repr, binary.src_change_meta(_as_changes(spark, whole)).collect()))
+
+
+def _in_memory(own):
+    return codec.encode_document(_levels([codec.decode_change(x) for x in own]))
+
+
+def _levels(decoded):
+    done, todo = {}, sorted(decoded, key=lambda c: (c["startOp"], c["actor"]))
+    while todo:
+        done |= {c["hash"]: c for c in [c for c in todo if all(d in done for d in c["deps"])]}
+        todo = [c for c in todo if c["hash"] not in done]
+    return list(done.values())
+
+
+def _as_changes(spark, files):
+    rows = []
+    for r in files.collect():
+        for kind, body, _ in codec.containers(bytes(r["data"])):
+            whole = codec.container(kind, body)[0]
+            rows += [(r["doc_id"], codec.encode_change(c)[0]) for c in codec.decode_document(whole)] if kind == codec.DOCUMENT else [(r["doc_id"], whole)]
+    return spark.createDataFrame(rows, "doc_id string, data binary")
+
+
+def test_columns_in_pieces():
+    """Columns fed and taken in pieces of any size have the bytes and values of whole ones, and broken ones are refused alike."""
+    import numpy as np
+
+    from mergeloom.sources import columns
+
+    rnd = random.Random(5)
+    for k in range(300):
+        kind = rnd.choice([codec.UINT, codec.DELTA, codec.STRING, codec.BOOL, codec.ACTOR])
+        pool = [None, 0, 1, 127, 128, 1 << 40, (1 << 53) - 1] if kind != codec.BOOL else [0, 1]
+        v = [x for _ in range(rnd.randint(0, 40)) for x in [rnd.choice(pool[: rnd.randint(1, len(pool))])] * rnd.choice([1, 1, 1, 2, 3])]
+        texts = [f"t{x}" for x in pool]
+        want = codec.encode_column(kind, [None if x is None else f"t{x}" for x in v] if kind == codec.STRING else v)
+        enc, step = columns.Encoder(kind), rnd.randint(1, 9)
+        for a in range(0, len(v), step):
+            x = [columns.NONE if y is None else texts.index(f"t{y}") if kind == codec.STRING else y for y in v[a : a + step]]
+            enc.feed(np.array(x, np.int64), texts if kind == codec.STRING else None)
+        assert enc.finish() == want, (kind, v, step)
+        for data in (want, want[:-1], want + want):
+            try:
+                whole = codec.decode_column(kind, data)
+            except codec.FormatError:
+                whole = codec.FormatError
+            dec, got = columns.Decoder(kind, data), []
+            try:
+                while len(x := dec.take(step)):
+                    got += x if kind == codec.STRING else [None if y == columns.NONE else y for y in x.tolist()]
+            except codec.FormatError:
+                got = codec.FormatError
+            assert got == whole, (kind, data)
+
+
+def test_tails_of_changes_by_columns():
+    """A change's bytes from columns are those from its operations, for values with fraction and for all others."""
+    import pyarrow as pa
+
+    rnd = random.Random(9)
+    kinds = {"ctr": pa.int64(), "obj": pa.string(), "key": pa.string(), "elem": pa.string(), "insert": pa.bool_(), "action": pa.string(), "vtype": pa.string(), "i": pa.int64(), "d": pa.float64(), "s": pa.string(), "raw": pa.binary(), "pred": pa.list_(pa.struct({"ctr": pa.int64(), "actor": pa.string()}))}
+    for k in range(200):
+        ids = lambda: f"{rnd.randint(1, 300)}@{rnd.choice(['aa', 'bb', 'cc', '01'])}"
+        rows = []
+        for n in range(rnd.randint(1, 30)):
+            key = rnd.choice(["k", "ключ", None])
+            action = rnd.choice(["set", "set", "del", "inc"] + ["makeMap"] * (k % 3 == 0))
+            vtype = rnd.choice(["float64", "null"] + ["int"] * (k % 5 == 0)) if action in ("set", "inc") else None
+            pred = [{"ctr": int(p.split("@")[0]), "actor": p.split("@")[1]} for p in {ids() for _ in range(rnd.choice([0, 0, 1, 3]))}]
+            if k % 2:
+                pred.sort(key=lambda p: (p["ctr"], p["actor"]))
+            rows.append({"ctr": n, "obj": rnd.choice(["_root", ids()]), "key": key, "elem": None if key else rnd.choice(["_head", ids()]), "insert": not key and rnd.random() < 0.5, "action": action, "vtype": vtype, "i": 5 if vtype == "int" else None, "d": rnd.random() if vtype == "float64" else None, "s": None, "raw": None, "pred": rnd.choice([pred, pred, None]) or None})
+        want = codec.change_tail({"actor": "bb", "startOp": 0, "ops": binary._op_dicts(rows)})
+        assert binary._tail("bb", pa.Table.from_pylist(rows, pa.schema(kinds))) == want
